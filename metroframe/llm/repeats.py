@@ -24,7 +24,7 @@ from .winnow import anchors, byte_units, covered, word_units
 #: Different passages in a shard, about.
 SHARD_PASSAGES = 2000
 #: Different passages of one anchor that are compared in one task; beyond, its windows are dealt.
-MOST = 300
+MOST = 1000
 
 
 @dataclass(frozen=True)
@@ -137,20 +137,24 @@ def _windows(different: DataFrame, kind: Kind) -> DataFrame:
 
     made = different.select("h", "q", "passage", "size", "n", "doc_id", "first").mapInArrow(run, "w binary, o int, h long, q long, size int, n long, doc_id long, first int")
     place = F.struct("doc_id", (F.col("first") + F.col("o")).alias("start"))
-    seen = cut(made.groupBy("w").agg(F.sum("n").alias("times"), F.min(place).alias("origin")).where("times > 1"), "repeats-windows")
-    again = made.join(seen, "w")
-    if kind.first:
-        again = again.where(place != F.col("origin"))
-    by_passage = again.groupBy("h", "q", "size").agg(F.sort_array(F.collect_list("o")).alias("starts"))
+    stay = made.groupBy("w").agg(F.sum("n").alias("times"), F.min(F.struct(place.alias("place"), "h", "q", "o")).alias("own"))
+    if not kind.first:
+        stay = stay.where("times = 1")
+    by_passage = stay.select("own.h", "own.q", "own.o").groupBy("h", "q").agg(F.collect_list("o").alias("stay"))
 
     def spans(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = [spans_of_windows(s, kind.window, n) for s, n in zip(batch["starts"].to_pylist(), batch["size"].to_pylist())]
+            out = []
+            for stay, n in zip(batch["stay"].to_pylist(), batch["size"].to_pylist()):
+                gone = np.ones(n - kind.window + 1, bool)
+                gone[stay or []] = False
+                out.append(spans_of_windows(np.flatnonzero(gone), kind.window, n))
             yield pa.RecordBatch.from_arrays([batch["h"], batch["q"], pa.array(out, pa.list_(pa.int32()))], names=["h", "q", "spans"])
 
-    return by_passage.mapInArrow(spans, "h long, q long, spans array<int>")
+    joined = different.select("h", "q", "size").join(by_passage, ["h", "q"], "left")
+    return joined.mapInArrow(spans, "h long, q long, spans array<int>").where(F.size("spans") > 0)
 
 
 def find(docs: DataFrame, kind: Kind, text: bool = False) -> tuple[DataFrame, DataFrame]:
