@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,11 +41,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it again: the lineage ends here and survives lost executors."""
+    """Write df to the shared folder and read it again: the lineage ends here and survives lost executors.
+
+    What was shuffled to make it isn't needed any more, and Spark's cleaner removes those files as soon as the driver's
+    garbage collector tells it to.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def parallelism(spark: SparkSession) -> int:

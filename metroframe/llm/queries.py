@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, pfor, quality, sharding, substring_dedup, suffix_dedup, token_ids
+from . import near_dedup, packing, pfor, quality, sharding, substring_dedup, suffix_dedup, token_ids
 from .common import documents
 
 
@@ -23,6 +23,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.deduplicate(documents(spark, sf_dir), window=200).select("doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(documents(spark, sf_dir), percent=85)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
@@ -35,4 +39,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), token_ids.vocabulary("word_bpe_49k.json"), vocabulary=49408, spaced=False, end=2, window=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_substring_dedup, op4_suffix_dedup, op6_quality, op9_token_ids, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_sharding, op3_substring_dedup, op4_suffix_dedup, op5_near_dedup, op6_quality, op9_token_ids, op10_packing)}

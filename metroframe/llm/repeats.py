@@ -25,6 +25,9 @@ from .winnow import anchors, byte_units, covered, word_units
 SHARD_PASSAGES = 2000
 #: Different passages of one anchor that are compared in one task; beyond, its windows are dealt.
 MOST = 1000
+#: An anchor's place is its first window, the number of windows after that and the way to the anchor, in one long.
+PLACE_BITS = 12
+PLACE_MASK = (1 << PLACE_BITS) - 1
 
 
 @dataclass(frozen=True)
@@ -75,11 +78,11 @@ def _base(docs: DataFrame, kind: Kind) -> DataFrame:
                 found.append(anchors(units, kind.window, kind.k))
             h, at, first, last = (np.concatenate(c) for c in zip(*found)) if found else [np.empty(0, np.int64)] * 4
             offsets = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32)
-            fields = [pa.array(h.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in (at, first, last))]
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(fields, names=["h", "at", "first", "last"]))
+            place = first << 2 * PLACE_BITS | last - first << PLACE_BITS | at - first
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(place)], names=["h", "place"]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), lists], names=["doc_id", "key", "n_units", "digest", "anchors"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, n_units long, digest string, anchors array<struct<h:long,at:int,first:int,last:int>>")
+    return docs.mapInArrow(run, "doc_id long, key long, n_units long, digest string, anchors array<struct<h:long,place:long>>")
 
 
 def _passages(found: DataFrame, kind: Kind) -> DataFrame:
@@ -91,11 +94,12 @@ def _passages(found: DataFrame, kind: Kind) -> DataFrame:
             for i, (raw, places) in enumerate(zip(read_bytes(batch["text"]), batch["anchors"].to_pylist())):
                 units = raw.split() if kind.words else raw
                 for a in places:
+                    begin, end = a["place"] >> 2 * PLACE_BITS, kind.window + (a["place"] >> PLACE_BITS & PLACE_MASK)
                     h.append(a["h"])
-                    passage.append(kind.slice(units, a["first"], a["last"] + kind.window))
-                    lead.append(a["at"] - a["first"])
-                    first.append(a["first"])
-                    size.append(a["last"] - a["first"] + kind.window)
+                    passage.append(kind.slice(units, begin, begin + end))
+                    lead.append(a["place"] & PLACE_MASK)
+                    first.append(begin)
+                    size.append(end)
                     row.append(i)
             at = pa.array(row, pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -157,17 +161,29 @@ def _windows(different: DataFrame, kind: Kind) -> DataFrame:
     return joined.mapInArrow(spans, "h long, q long, spans array<int>").where(F.size("spans") > 0)
 
 
-def find(docs: DataFrame, kind: Kind, text: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Of docs (doc_id, text): a row for each document (doc_id, key, n_units, digest), and one for each that loses units
-    (doc_id, key, n_removed, n_spans, kept_sha256, with text also kept_text)."""
+def find(docs: DataFrame, kind: Kind, text: bool = False) -> tuple[DataFrame, DataFrame, bool]:
+    """Of docs (doc_id, text): a row for each document (doc_id, key, n_units, digest, gone: whether all of it goes as a copy),
+    one for each other one that loses units (doc_id, key, n_removed, n_spans, kept_sha256, with text also kept_text), and
+    whether an id stands for several rows, so that key is the hash of the text and not 0.
+
+    Copies come first: of documents with equal units only the one of least id is compared with others.
+    """
     spark = docs.sparkSession
     n = parallelism(spark)
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key"))
     base = cut(_base(keyed, kind), "repeats-base")
-    places = base.select("doc_id", "key", F.explode("anchors").alias("a")).select("doc_id", "key", "a.*")
+    repeated = not base.groupBy("doc_id").count().where("count > 1").isEmpty()
+    if not repeated:  # ids tell documents apart, as they should
+        keyed, base = (df.withColumn("key", F.lit(0).cast("long")) for df in (keyed, base))
+    copies = base.where("doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("one"), F.count("*").alias("n_copies"))
+    copies = cut(copies, "repeats-copies")
+    places = cut(base.join(copies.select("one.*"), ["doc_id", "key"], "left_semi").select("doc_id", "key", "anchors"), "repeats-places")
+    places = places.select("doc_id", "key", F.explode("anchors").alias("a")).select("doc_id", "key", "a.*")
     again = cut(places.groupBy("h").count().where("count > 1").select("h"), "repeats-anchors")
-    mine = places.join(again, "h", "left_semi").groupBy("doc_id", "key").agg(F.collect_set(F.struct("h", "at", "first", "last")).alias("anchors"))
-    found = cut(keyed.join(mine, ["doc_id", "key"]), "repeats-texts")
+    mine = places.join(again, "h", "left_semi").groupBy("doc_id", "key").agg(F.collect_set(F.struct("h", "place")).alias("anchors"))
+    found = cut(keyed.join(mine, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]), "repeats-texts")
+    copied = F.col("one") != F.struct("doc_id", "key") if kind.first else F.col("n_copies") > 1
+    base = base.drop("anchors").join(copies, "digest", "left").withColumn("gone", F.coalesce((F.col("n_units") >= kind.window) & F.col("doc_id").isNotNull() & copied, F.lit(False))).drop("one", "n_copies")
     passages = _passages(found, kind)
     origin = F.min(F.struct("doc_id", "first")).alias("origin")
     different = passages.groupBy("h", "q", "passage").agg(F.count("*").alias("n"), origin, F.min("lead").alias("lead"), F.min("size").alias("size"))
@@ -206,19 +222,28 @@ def find(docs: DataFrame, kind: Kind, text: bool = False) -> tuple[DataFrame, Da
 
     once = found.select("doc_id", "key", "text").join(hits, ["doc_id", "key"])
     changed = once.mapInArrow(remove, "doc_id long, key long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
-    return base.drop("anchors"), changed.dropDuplicates(["doc_id", "key"])
+    return base, changed, repeated
 
 
 def report(docs: DataFrame, kind: Kind) -> DataFrame:
     """A row per document: doc_id, n_units, n_removed, n_spans, kept_sha256."""
-    base, changed = find(docs, kind)
+    base, changed, _ = find(docs, kind)
+    gone = lambda all_, other, none: F.when(F.col("gone"), all_).otherwise(F.coalesce(other, none))
     return base.join(changed.drop("kept_text"), ["doc_id", "key"], "left").select(
-        "doc_id", "n_units", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_removed", "n_spans")), F.coalesce("kept_sha256", "digest").alias("kept_sha256")
+        "doc_id",
+        "n_units",
+        gone(F.col("n_units"), "n_removed", F.lit(0)).alias("n_removed"),
+        gone(F.lit(1), "n_spans", F.lit(0)).cast("long").alias("n_spans"),
+        gone(F.lit(hashlib.sha256(b"").hexdigest()), "kept_sha256", "digest").alias("kept_sha256"),
     )
 
 
 def clean(docs: DataFrame, kind: Kind) -> DataFrame:
     """docs with all their columns, the text without what is removed; a character that loses a byte goes whole."""
-    base, changed = find(docs.select("doc_id", "text"), kind, text=True)
-    changed = changed.select("doc_id", F.col("key").alias("_key"), "kept_text")
-    return docs.withColumn("_key", F.xxhash64("text")).join(changed, ["doc_id", "_key"], "left").withColumn("text", F.coalesce("kept_text", "text")).select(*docs.columns)
+    base, changed, repeated = find(docs.select("doc_id", "text"), kind, text=True)
+    kept = base.where("gone").select("doc_id", "key", F.lit("").alias("kept_text")).unionByName(changed.join(base.where("gone"), ["doc_id", "key"], "left_anti").select("doc_id", "key", "kept_text"))
+    kept = kept.dropDuplicates(["doc_id", "key"])
+    key = F.xxhash64(docs["text"]) if repeated else F.lit(0).cast("long")
+    named = kept.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("kept_text").alias("_kept"))
+    joined = docs.join(named, (docs["doc_id"] == named["_doc"]) & (key == named["_key"]), "left")
+    return joined.select(*(F.coalesce("_kept", docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns))

@@ -81,7 +81,7 @@ def _index(rows, kind: Kind) -> list[list[int]]:
 
 
 def kind(window: int = 20) -> Kind:
-    return Kind(words=True, window=window, k=max(1, window // 5), first=True, index=_index)
+    return Kind(words=True, window=window, k=max(1, 3 * window // 10), first=True, index=_index)
 
 
 def deduplicate(docs: DataFrame, window: int = 20) -> DataFrame:
