@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, packing, pfor, quality, sharding, substring_dedup, suffix_dedup, token_ids
-from .common import documents
+from . import decontamination, licenses, mixing, near_dedup, packing, pfor, quality, sharding, substring_dedup, suffix_dedup, token_ids
+from .common import documents, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), window=13).drop("key")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate(documents(spark, sf_dir), window=20).select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256", "n_spans")
 
@@ -31,6 +35,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(documents(spark, sf_dir))
+
+
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.encode_documents(documents(spark, sf_dir), token_ids.vocabulary("byte_bpe_50k.json"), spaced=True, end=0)
 
@@ -39,4 +51,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), token_ids.vocabulary("word_bpe_49k.json"), vocabulary=49408, spaced=False, end=2, window=4096)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_substring_dedup, op4_suffix_dedup, op5_near_dedup, op6_quality, op9_token_ids, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sharding, op2_decontamination, op3_substring_dedup, op4_suffix_dedup, op5_near_dedup, op6_quality, op7_license_scan, op8_mixing, op9_token_ids, op10_packing)
+}
+ORACLE_SQL = {"op7_license_scan": licenses.oracle_sql()}
