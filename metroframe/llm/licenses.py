@@ -43,11 +43,14 @@ TEMPLATES = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def bigrams(text: Column) -> Column:
-    """The different pairs of neighbouring words (a-z and 0-9) of the text, lower-cased."""
-    words = F.split(F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " ")), " ")
-    pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat_ws(" ", F.get(words, i), w))
-    return F.array_distinct(pairs)
+def words(text: Column) -> Column:
+    """The words (a-z and 0-9) of the text, lower-cased."""
+    return F.split(F.trim(F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9]+", " ")), " ")
+
+
+def bigrams(words: Column) -> Column:
+    """The different pairs of neighbouring words; words must be a column, as it is used twice."""
+    return F.array_distinct(F.array_compact(F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))))
 
 
 def _bigrams(text: str) -> list[str]:
@@ -75,7 +78,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFr
     known = spark.createDataFrame(templates_by_size(templates, threshold), "size int, template int, license string, own array<string>")
     row = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
     texts = row.select("doc_id", "key", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("place", "unit"))
-    sized = texts.select("doc_id", "key", "place", bigrams(F.col("unit")).alias("found")).withColumn("size", F.size("found"))
+    split = texts.select("doc_id", "key", "place", words(F.col("unit")).alias("words"))
+    sized = split.select("doc_id", "key", "place", bigrams(F.col("words")).alias("found")).withColumn("size", F.size("found"))
     shared = F.size(F.array_intersect("found", "own"))
     compared = sized.join(F.broadcast(known), "size").withColumn("dice", F.lit(2.0) * shared / (F.col("size") + F.size("own"))).where(F.col("dice") >= threshold)
     best = F.max(F.struct("dice", (-F.col("template")).alias("order"), "license")).alias("best")
@@ -99,6 +103,6 @@ def oracle_sql(templates=TEMPLATES, threshold: float = 0.8) -> str:
         found AS (SELECT doc_id, place, {pairs} AS f FROM (SELECT doc_id, place, {words("unit")} AS w FROM units)),
         dices AS (SELECT doc_id, place, i, licence, 2.0::DOUBLE * len(list_intersect(f, own)) / (len(f) + len(own)) AS dice FROM found, known
                   WHERE len(f) * (2 - {threshold}) >= len(own) * {threshold} - 1e-6 AND len(f) * {threshold} <= len(own) * (2 - {threshold}) + 1e-6),
-        best AS (SELECT doc_id, arg_max(licence, (dice, -i)) AS license, max(dice) AS dice, arg_max(i, (dice, -i)) AS template, count(DISTINCT place) AS n_matches
+        best AS (SELECT doc_id, arg_max(licence, (dice, -i)) AS license, max(dice) AS dice, arg_max(i::INTEGER, (dice, -i)) AS template, count(DISTINCT place) AS n_matches
                  FROM dices WHERE dice >= {threshold} GROUP BY doc_id)
         SELECT d.doc_id, license, dice, template, coalesce(n_matches, 0) AS n_matches FROM documents d LEFT JOIN best USING (doc_id)"""
