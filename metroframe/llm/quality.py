@@ -103,6 +103,13 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarr
     return p
 
 
+def _verdicts(measured: DataFrame) -> dict[int, float]:
+    counts = measured.groupBy("votes").count().collect()  # at most 3^rules rows
+    patterns = np.array([r["votes"] for r in counts], dtype=np.int64)
+    good = fit(patterns, np.array([r["count"] for r in counts], dtype=np.float64)) if len(patterns) else []
+    return {int(v): float(g) for v, g in zip(patterns, good)}
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text): measures, base_failed, good (the posterior probability) and kept.
 
@@ -119,11 +126,29 @@ def judge(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.int32())], names=names)
 
     measured = cut(docs.select("doc_id", "text").mapInArrow(run, BASE), "quality")
-    counts = measured.groupBy("votes").count().collect()  # at most 3^rules rows
-    patterns = np.array([r["votes"] for r in counts], dtype=np.int64)
-    good = fit(patterns, np.array([r["count"] for r in counts], dtype=np.float64)) if len(patterns) else []
-    verdicts = docs.sparkSession.createDataFrame([(int(v), float(g)) for v, g in zip(patterns, good)], "votes int, good double")
+    verdicts = docs.sparkSession.createDataFrame(list(_verdicts(measured).items()), "votes int, good double")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return measured.join(F.broadcast(verdicts), "votes").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (F.col("good") >= 0.5)).alias("kept"), "good"
     )
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that judge() keeps. The texts stay where they are: they are measured twice, not shuffled."""
+
+    def votes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"votes": pa.array([measure(t or b"")[5] for t in read_bytes(batch["text"])], pa.int32())})
+
+    good = _verdicts(cut(docs.select("text").mapInArrow(votes, "votes int"), "quality-votes"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [measure(t or b"") for t in read_bytes(batch["text"])]
+            yield batch.filter(pa.array([r[0] >= 20 and 100 * r[4] <= 30 * r[0] and good[r[5]] >= 0.5 for r in rows], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
