@@ -19,7 +19,7 @@ from . import token_ids
 from .common import cut, parallelism
 
 #: Rows of one shard on average, if there are partitions enough; more partitions make smaller shards.
-SHARD_DOCS = 4096
+SHARD_DOCS = 2048
 #: Of a seed's tokens, so many of the highest weight query the index.
 QUERY_TOKENS = 24
 K1, B = 1.2, 0.75
@@ -152,6 +152,7 @@ def pack(docs: DataFrame, tokenizer: str, vocabulary: int, spaced: bool = False,
         from pyspark import TaskContext
 
         names = PIECES.replace(" long", "").split(", ")
+        token_ids.release()
         shard, part = TaskContext.get().partitionId(), 0
         docs, texts, total = [], [], 0
 

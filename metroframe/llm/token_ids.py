@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Different pieces kept by a worker; beyond that those not in use go. Bounds memory, changes no result.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
 
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
@@ -91,6 +91,12 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return _encoders[path, spaced]
 
 
+def release() -> None:
+    """Forget what this worker has encoded, before work that needs the memory."""
+    for e in _encoders.values():
+        e.known.clear()
+
+
 def runs(sizes: np.ndarray, most: int):
     """Consecutive runs of items that together have at most so much (a larger item alone), as (begin, end)."""
     begin = total = 0
@@ -103,7 +109,7 @@ def runs(sizes: np.ndarray, most: int):
         yield begin, len(sizes)
 
 
-def encode_batches(batches, path: str, spaced: bool, end: int, most: int = 16_000_000):
+def encode_batches(batches, path: str, spaced: bool, end: int, most: int = 8_000_000):
     """For record batches with a text (null: empty): slices of them with their ids and offsets."""
     made = encoder(path, spaced)
     for batch in batches:
