@@ -25,9 +25,13 @@ from .winnow import grams, word_units
 SHINGLE = 5
 ROWS, BANDS = 4, 16  # a pair at 0.85 misses all bands with probability 8e-6
 BITS = 4
-#: Estimates this far below the threshold are not confirmed: over six standard deviations of 64 minima.
-SLACK = 0.3
-ROUNDS = 2
+#: Minima in the packed signature; the first ROWS * BANDS also make the bands.
+MINIMA = 128
+#: Estimates this far below the threshold are not confirmed: over four standard deviations.
+SLACK = 0.14
+ROUNDS = 4
+#: Leaders that a document is confirmed with in a round, the most similar of those of its buckets.
+LEADERS = 2
 SIGNED = "doc_id long, key long, n long, digest binary, bands array<long>, signature array<long>"
 
 
@@ -38,13 +42,13 @@ def shingles(raw: bytes) -> np.ndarray:
 
 
 _rng = np.random.default_rng(5)
-_A, _B = (_rng.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)[:, None] | np.uint32(1) for _ in range(2))
+_A, _B = (_rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)[:, None] | np.uint32(1) for _ in range(2))
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """The minima of ROWS * BANDS permutations."""
+    """The minima of MINIMA permutations."""
     x = (found >> np.uint64(32)).astype(np.uint32)
-    least = np.full(ROWS * BANDS, 0xFFFFFFFF, np.uint32)
+    least = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(x), 4096):
         least = np.minimum(least, (x[i : i + 4096] * _A + _B).min(axis=1))
     return least
@@ -68,7 +72,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 n.append(len(found))
                 digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 least = signature(found)
-                rows = least.reshape(BANDS, ROWS)
+                rows = least[: ROWS * BANDS].reshape(BANDS, ROWS)
                 bands.append([int.from_bytes(hashlib.blake2b(bytes([i]) + r.tobytes(), digest_size=8).digest(), "little", signed=True) for i, r in enumerate(rows)])
                 signatures.append(packed(least).view(np.int64))
             longs = pa.list_(pa.int64())
@@ -82,14 +86,14 @@ def estimate(a: Column, b: Column) -> Column:
     mask = sum(1 << (i * BITS) for i in range(64 // BITS))
     mask = mask - (1 << 64) if mask >= 1 << 63 else mask
     differ = None
-    for w in range(ROWS * BANDS * BITS // 64):
+    for w in range(MINIMA * BITS // 64):
         x = a[w].bitwiseXOR(b[w])
         any_bit = x
         for i in range(1, BITS):
             any_bit = any_bit.bitwiseOR(F.shiftrightunsigned(x, i))
         count = F.bit_count(any_bit.bitwiseAND(F.lit(mask)))
         differ = count if differ is None else differ + count
-    equal = 1 - differ / F.lit(float(ROWS * BANDS))
+    equal = 1 - differ / F.lit(float(MINIMA))
     chance = 2.0**-BITS
     return (equal - chance) / (1 - chance)
 
@@ -160,7 +164,8 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     links = cut(same_id.select(F.col("id").alias("a"), F.col("doc_id").alias("b")).where("a != b"), "near-links")
     label = None
     tried = None
-    for step in range(ROUNDS + 1):
+    step = 0
+    while step <= ROUNDS:
         at = members if label is None else members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
         at = at if label is not None else at.withColumn("component", F.col("id"))
         apart = at.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
@@ -172,8 +177,9 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
             leaders = apart.groupBy("band").agg(F.min(F.struct(pick.alias("order"), F.col("id").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("signature").alias("t"))).alias("lead"))
             leaders = cut(leaders.select("band", "lead.b", "lead.c", "lead.m", "lead.t"), "near-leaders")
             pairs = apart.withColumnRenamed("signature", "s").join(leaders, "band").where("component != c").where(_near(percent / 100))
-            best = F.max_by("b", F.struct(estimate(F.col("s"), F.col("t")), -F.col("b"))).alias("b")
-            pairs = pairs.groupBy(F.col("id").alias("a")).agg(best)
+            best = F.collect_set(F.struct(estimate(F.col("s"), F.col("t")).alias("e"), (-F.col("b")).alias("minus")))  # at most one for each band
+            best = pairs.groupBy(F.col("id").alias("a")).agg(F.slice(F.sort_array(best, asc=False), 1, LEADERS).alias("best"))
+            pairs = best.select("a", F.explode("best").alias("x")).select("a", (-F.col("x.minus")).alias("b"))
         else:
             most = apart.groupBy("band", "component").count()
             most = cut(most.groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("largest")), "near-largest")
@@ -187,6 +193,7 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
         new = cut(_confirm(pairs, sets, percent), "near-links")
         links = cut(links.union(new), "near-links")
         label = components(links)
+        step = ROUNDS if step < ROUNDS and new.isEmpty() else step + 1  # if leaders find nothing, on to what is left
     if label is None and not links.isEmpty():
         label = components(links)
     owned = signed.join(grouped.select("digest", "id"), "digest", "left")
