@@ -50,11 +50,19 @@ def cut(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     path = scratch_path(spark, label)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the table that cut() wrote, once all that was made from it has been written itself."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

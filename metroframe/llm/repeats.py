@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parallelism, read_bytes
+from .common import cut, forget, parallelism, read_bytes
 from .winnow import anchors, byte_units, covered, word_units
 
 #: Different passages in a shard, about.
@@ -171,19 +171,22 @@ def find(docs: DataFrame, kind: Kind, text: bool = False) -> tuple[DataFrame, Da
     spark = docs.sparkSession
     n = parallelism(spark)
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key"))
-    base = cut(_base(keyed, kind), "repeats-base")
+    base = whole = cut(_base(keyed, kind), "repeats-base")
     repeated = not base.groupBy("doc_id").count().where("count > 1").isEmpty()
     if not repeated:  # ids tell documents apart, as they should
         keyed, base = (df.withColumn("key", F.lit(0).cast("long")) for df in (keyed, base))
     copies = base.where("doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("one"), F.count("*").alias("n_copies"))
     copies = cut(copies, "repeats-copies")
-    places = cut(base.join(copies.select("one.*"), ["doc_id", "key"], "left_semi").select("doc_id", "key", "anchors"), "repeats-places")
-    places = places.select("doc_id", "key", F.explode("anchors").alias("a")).select("doc_id", "key", "a.*")
+    anchored = cut(base.join(copies.select("one.*"), ["doc_id", "key"], "left_semi").select("doc_id", "key", "anchors"), "repeats-places")
+    base = cut(base.drop("anchors"), "repeats-documents")
+    forget(whole)
+    places = anchored.select("doc_id", "key", F.explode("anchors").alias("a")).select("doc_id", "key", "a.*")
     again = cut(places.groupBy("h").count().where("count > 1").select("h"), "repeats-anchors")
     mine = places.join(again, "h", "left_semi").groupBy("doc_id", "key").agg(F.collect_set(F.struct("h", "place")).alias("anchors"))
     found = cut(keyed.join(mine, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]), "repeats-texts")
+    forget(anchored)
     copied = F.col("one") != F.struct("doc_id", "key") if kind.first else F.col("n_copies") > 1
-    base = base.drop("anchors").join(copies, "digest", "left").withColumn("gone", F.coalesce((F.col("n_units") >= kind.window) & F.col("doc_id").isNotNull() & copied, F.lit(False))).drop("one", "n_copies")
+    base = base.join(copies, "digest", "left").withColumn("gone", F.coalesce((F.col("n_units") >= kind.window) & F.col("doc_id").isNotNull() & copied, F.lit(False))).drop("one", "n_copies")
     passages = _passages(found, kind)
     origin = F.min(F.struct("doc_id", "first")).alias("origin")
     different = passages.groupBy("h", "q", "passage").agg(F.count("*").alias("n"), origin, F.min("lead").alias("lead"), F.min("size").alias("size"))
