@@ -68,7 +68,7 @@ def _balanced(starts, ends, shards: int, capacity: int) -> list[int] | None:
 
 
 def _cells(groups: DataFrame, lows: np.ndarray, highs: np.ndarray, parts: int) -> list:
-    """Of the groups that start in one of the ranges, each range dealt into parts: first position, last position, number."""
+    """Of the groups that start in one of the ranges, each range dealt into parts: first and last start, last position, number."""
 
     def run(batches):
         import pyarrow as pa
@@ -83,12 +83,12 @@ def _cells(groups: DataFrame, lows: np.ndarray, highs: np.ndarray, parts: int) -
                 order = np.lexsort((start, cell))
                 begins = np.flatnonzero(np.diff(cell[order], prepend=-1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell[order][begins]), pa.array(start[order][begins]), pa.array(np.maximum.reduceat((start + size)[order], begins)), pa.array(np.diff(begins, append=len(order)))],
-                    names=["cell", "start", "end", "n"],
+                    [pa.array(cell[order][begins]), pa.array(start[order][begins]), pa.array(start[order][np.append(begins[1:], len(order)) - 1]), pa.array(np.maximum.reduceat((start + size)[order], begins)), pa.array(np.diff(begins, append=len(order)))],
+                    names=["cell", "start", "last", "end", "n"],
                 )
 
-    made = groups.select("start", "size").mapInArrow(run, "cell long, start long, end long, n long")
-    return made.groupBy("cell").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).collect()
+    made = groups.select("start", "size").mapInArrow(run, "cell long, start long, last long, end long, n long")
+    return made.groupBy("cell").agg(F.min("start").alias("start"), F.max("last").alias("last"), F.max("end").alias("end"), F.sum("n").alias("n")).collect()
 
 
 def minimax_cuts(groups: DataFrame, shards: int) -> list[int]:
@@ -96,10 +96,10 @@ def minimax_cuts(groups: DataFrame, shards: int) -> list[int]:
     total = groups.agg(F.max(F.col("start") + F.col("size"))).first()[0]
     if not total:
         return []
-    known: dict[int, tuple[int, bool]] = {}  # first position: last position, several groups
+    known: dict[int, tuple[int, bool, int]] = {}  # first position: last position, several groups, where the last of them starts
     lows, highs, parts = np.array([0]), np.array([total]), CELLS
     while True:
-        known.update((r["start"], (r["end"], r["n"] > 1)) for r in _cells(groups, lows, highs, parts))
+        known.update((r["start"], (r["end"], r["n"] > 1, r["last"])) for r in _cells(groups, lows, highs, parts))
         starts = np.array(sorted(known), dtype=np.int64)
         ends = np.array([known[s][0] for s in starts.tolist()], dtype=np.int64)
         fuzzy = np.array([known[s][1] for s in starts.tolist()])
@@ -114,7 +114,8 @@ def minimax_cuts(groups: DataFrame, shards: int) -> list[int]:
             a, b = np.searchsorted(starts, [early, late], "right") - 1
             split.update(int(i) for i in range(a, b + 1) if fuzzy[i])
         at = sorted(split)
-        lows, highs, parts = starts[at], ends[at], SPLIT
+        lows, parts = starts[at], SPLIT
+        highs = np.array([known[s][2] + 1 for s in lows.tolist()], dtype=np.int64)  # so that the first and the last part company
         for s in lows.tolist():
             del known[s]
 

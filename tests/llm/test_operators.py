@@ -91,7 +91,7 @@ def test_sharding(spark, docs, empty, odd):
 def test_sharding_refines_cells(spark, monkeypatch):
     monkeypatch.setattr(sharding, "CELLS", 4)
     monkeypatch.setattr(sharding, "SPLIT", 3)
-    sizes = [random.Random(1).randint(1, 50) for _ in range(200)]
+    sizes = [2, 1, 4000] + [random.Random(i).randint(1, 50) for i in range(200)] + [3, 2, 900]
     starts = np.cumsum(sizes) - sizes
     cuts = sharding.minimax_cuts(spark.createDataFrame(list(zip(starts.tolist(), sizes)), "start long, size long"), 7)
     edges = [0, *cuts, sum(sizes)]
