@@ -77,9 +77,12 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8) -> DataFr
     spark = docs.sparkSession
     known = spark.createDataFrame(templates_by_size(templates, threshold), "size int, template int, license string, own array<string>")
     row = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    texts = row.select("doc_id", "key", F.posexplode(F.concat(F.array("text"), F.split("text", "\n"))).alias("place", "unit"))
-    split = texts.select("doc_id", "key", "place", words(F.col("unit")).alias("words"))
-    sized = split.select("doc_id", "key", "place", bigrams(F.col("words")).alias("found")).withColumn("size", F.size("found"))
+    sizes = [size for size, *_ in templates_by_size(templates, threshold)]
+    units = F.transform(F.concat(F.array("text"), F.split("text", "\n")), words)
+    split = row.select("doc_id", "key", F.posexplode(units).alias("place", "words"))
+    # n words have at most n - 1 pairs, and d different words at least d - 1 different pairs
+    near = (F.size("words") > min(sizes)) & (F.when(F.size("words") <= max(sizes) + 1, True).otherwise(F.size(F.array_distinct("words")) <= max(sizes) + 1))
+    sized = split.where(near).select("doc_id", "key", "place", bigrams(F.col("words")).alias("found")).withColumn("size", F.size("found"))
     shared = F.size(F.array_intersect("found", "own"))
     compared = sized.join(F.broadcast(known), "size").withColumn("dice", F.lit(2.0) * shared / (F.col("size") + F.size("own"))).where(F.col("dice") >= threshold)
     best = F.max(F.struct("dice", (-F.col("template")).alias("order"), "license")).alias("best")
