@@ -300,14 +300,29 @@ def test_packing(docs, empty, odd):
     assert packing.pack(empty, path, 49408).collect() == [] and sum(r["length"] for r in packing.pack(odd, path, 49408).collect()) == 22
 
 
-def test_pipeline(spark, docs, tmp_path):
+def test_pipeline(spark, tmp_path):
+    """Junk goes, one of the near copies stays, the contaminated document goes, clean ones stay."""
     import corpus_pipeline
 
-    rows = [(i, t) for i, t in corpus()]
-    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, dict(rows)[9])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rng = random.Random(8)
+    word = lambda: rng.choice(["the", "of", "and", "to"]) if rng.random() < 0.3 else "".join(rng.choice(["ta", "ri", "mo", "len", "ku"]) for _ in range(3))
+    prose = lambda n: " ".join(word() + ("." if i % 10 == 9 else "") for i in range(n))
+    clean = {i: prose(120) for i in range(30)}
+    base = prose(300).split()
+    near = {100 + i: " ".join(base[: 20 * i] + ["edit%d" % i] + base[20 * i + 1 :]) for i in range(8)}
+    junk = {200 + i: " ".join(word() + rng.choice(["###", "$$$"]) for _ in range(100)) for i in range(8)}
+    item = prose(60)
+    rows = [*clean.items(), *near.items(), *junk.items(), (300, prose(40) + " " + item), (301, None), (302, "")]
+    spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, key string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert out and len({r["doc_id"] for r in out} & set(range(10, 18))) == 1  # one of the near copies
+    left = {r["doc_id"] for r in out}
+    assert left >= set(clean) and len(left & set(near)) == 1 and left <= set(clean) | set(near)
+    ids = token_ids.encoder(token_ids.vocabulary("word_bpe_49k.json"), False).tokenizer
+    for i, t in clean.items():
+        rows = sorted((r for r in out if r["doc_id"] == i), key=lambda r: r["start"])
+        whole = [*ids.encode(t, add_special_tokens=False).ids, 2]
+        assert sum(r["length"] for r in rows) == len(whole) and all(crc(whole[r["start"] : r["start"] + r["length"]]) == r["ids_crc32"] for r in rows)
 
 
 def test_every_query_on_the_smallest_tables(spark):
