@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mobility, profiling, relations, retrieval, series
 from ..sources.tables import load
+from . import activity, business
 
 
 def _events(spark, folder):
@@ -61,8 +62,7 @@ def shared_partners(spark, folder):
 
 
 def hops(spark, folder):
-    nodes = _part_suppliers(spark, folder).where("l_partkey <= 60")
-    edges = nodes.select(F.col("l_suppkey").alias("s"), (-F.col("l_partkey")).alias("t"))
+    edges = _part_suppliers(spark, folder).select(F.col("l_suppkey").alias("s"), (-1 - F.col("l_partkey")).alias("t"))
     both = edges.union(edges.select("t", "s"))
     return relations.hops(both, "s", "t", spark.range(1, 2).select(F.col("id").alias("node")), 3)
 
@@ -105,6 +105,7 @@ QUERIES = {
         shared_partners, hops, subject_metrics, screening_score, daily_series, rolling_anomalies, seasonal_forecast, nearest_centroid, rank_fusion,
     )
 }
+QUERIES |= activity.QUERIES | business.QUERIES
 
 _PROFILE = " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count({c})::DOUBLE AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS deviation, round(min({c}), 6) AS least, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS q75, round(max({c}), 6) AS most, count(*) FILTER ({c} IS NULL)::DOUBLE AS nulls FROM lineitem"
@@ -138,7 +139,7 @@ ORACLE_SQL = {
         count(*) FILTER (d > DATE '2024-01-12' AND d <= DATE '2024-01-19') AS n_after, round((n_during / 3.0::DOUBLE) / nullif(n_before / 7.0::DOUBLE, 0), 6) AS ratio FROM (SELECT event_type, ts::DATE AS d FROM events) GROUP BY 1""",
     "contact_pairs": "SELECT least(l_suppkey, o) AS a, greatest(l_suppkey, o) AS b, count(*) AS contacts FROM (SELECT l_suppkey, l_partkey % 100 + 1 AS o FROM lineitem) WHERE l_suppkey != o GROUP BY 1, 2",
     "shared_partners": "WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem) SELECT x.s AS a, y.s AS b, count(*) AS shared FROM e x JOIN e y ON x.p = y.p AND x.s < y.s GROUP BY 1, 2 HAVING count(*) >= 3",
-    "hops": """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS s, -l_partkey AS t FROM lineitem WHERE l_partkey <= 60 UNION SELECT DISTINCT -l_partkey, l_suppkey FROM lineitem WHERE l_partkey <= 60),
+    "hops": """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS s, -1 - l_partkey AS t FROM lineitem UNION SELECT DISTINCT -1 - l_partkey, l_suppkey FROM lineitem),
         r(node, hop) AS (SELECT 1::BIGINT, 0 UNION SELECT e.t, r.hop + 1 FROM r JOIN e ON e.s = r.node WHERE r.hop < 3) SELECT node, min(hop)::INT AS hop FROM r GROUP BY 1""",
     "subject_metrics": _METRICS,
     "screening_score": f"WITH m AS ({_METRICS}) SELECT user_id, n_events, night_ratio, round((4.0 * {_RANK.format('n_events')} + 3.0 * {_RANK.format('night_ratio')}) / count(*) OVER ()::DOUBLE, 4) AS screening_score FROM m",
@@ -152,3 +153,4 @@ ORACLE_SQL = {
     "rank_fusion": """WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer), b AS (SELECT o_custkey AS c_custkey, row_number() OVER (ORDER BY round(sum(o_totalprice), 2) DESC, o_custkey) AS r FROM orders GROUP BY 1)
         SELECT c_custkey, round(sum(1.0::DOUBLE / (60 + r)), 8) AS score FROM (SELECT * FROM a WHERE r <= 50 UNION ALL SELECT * FROM b WHERE r <= 50) GROUP BY 1""",
 }
+ORACLE_SQL |= activity.ORACLE_SQL | business.ORACLE_SQL

@@ -1,7 +1,26 @@
-"""Tables by name in a folder of Parquet."""
+"""Tables by name in a folder of Parquet, and tables written to cut lineage."""
+
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that spark.checkpoint.dir names; a temporary folder only where it is unset, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """The same rows, written and read again."""
+    path = scratch(spark, "table")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
