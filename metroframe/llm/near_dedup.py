@@ -7,8 +7,9 @@ full sets. Documents with equal sets are one class from the start.
 
 A band's bucket may hold very many documents that are all alike. Its pairs are never made: in each round every document is
 tried against one other of its bucket's components (the bucket's leader), links join components, and buckets whose members
-have all met drop out. What is left at the end, documents of a bucket that are still apart, is tried pair by pair, so that no
-link between components is lost.
+have all met drop out. Documents that are still apart at the end may be many versions of one text, each pair of them a candidate
+and few of them links. They are joined by what sets them apart from their group (_residual_pairs), which loses no link and makes
+few pairs.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ BITS = 4
 MINIMA = 128
 #: Estimates this far below the threshold are not confirmed: over four standard deviations.
 SLACK = 0.14
-ROUNDS = 4
+ROUNDS = 2
 #: Leaders that a document is confirmed with in a round, the most similar of those of its buckets.
 LEADERS = 2
+#: Parts that a group's common shingles are dealt in, so that one large group is joined in many tasks.
+SALTS = 32
 SIGNED = "doc_id long, key long, n long, digest binary, bands array<long>, signature array<long>"
 
 
@@ -138,6 +141,74 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "id long, found array<long>")
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """docs (group, found): (group, shingle, count), how many of a group's sets hold a shingle, added up in each batch first."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            groups, values = batch["group"].to_numpy(), batch["found"]
+            of = np.repeat(groups, values.value_lengths().to_numpy(zero_copy_only=False))
+            table = pa.table({"group": pa.array(of), "shingle": values.flatten()})
+            found = table.group_by(["group", "shingle"]).aggregate([([], "count_all")]).select(["group", "shingle", "count_all"])
+            yield from found.rename_columns(["group", "shingle", "count"]).combine_chunks().to_batches()
+
+    partial = docs.mapInArrow(run, "group long, shingle long, count long")
+    return partial.groupBy("group", "shingle").agg(F.sum("count").alias("count"))
+
+
+def _residual_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) to confirm among documents of open bands (band, id, component, n, signature) that are apart.
+
+    Documents that share bands, directly or through others, are a group; a group's core is the shingles that over half of its
+    sets hold, and a document's residual R is where its set differs from the core, so that two sets differ exactly where their
+    residuals do. A link means that they differ in at most q * (n + m) places, q = (100 - percent) / (100 + percent). Let
+    w = |R| - q * n. There are two cases, for any core:
+
+    * The residuals share nothing. Then w(a) + w(b) <= 0, so both are linked with the document of the least w, too.
+    * They share something. In the order of rarity in the group, what precedes the first shared place is theirs alone: at most
+      q * (n + m) places in both. At most q * n of them are of the one with the smaller w, as its residual shares at least w.
+
+    So each document is tried with its group's least w, and a join of the residuals' rare ends gives the rest. Versions of a text
+    that were edited in different places meet only where one has few edits.
+    """
+    less, more = 100 - percent, 100 + percent
+    first = apart.groupBy("band").agg(F.min("id").alias("b"))
+    group = components(apart.join(cut(first, "near-firsts"), "band").select(F.col("id").alias("a"), "b").distinct())
+    heads = apart.select("id", "component", "n", "signature").dropDuplicates(["id"])
+    heads = heads.join(group.select("id", F.col("component").alias("group")), "id").join(sets, "id")
+    heads = cut(heads, "near-heads")
+    sizes = heads.groupBy("group").agg(F.count("*").alias("total"))
+    counts = cut(_counted(heads.select("group", "found")).join(sizes, "group"), "near-counts")
+    common = F.col("count") * 2 > F.col("total")
+    core = counts.where(common).groupBy("group").agg(F.collect_list("shingle").alias("core"))
+    core = core.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = heads.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(cut(core, "near-cores"), ["group", "salt"], "left")
+    core = F.coalesce("core", F.array().cast("array<long>"))
+    own = own.withColumn("residual", F.concat(F.array_except("found", core), F.array_except(core, "found")))
+    own = own.withColumn("w", more * F.size("residual") - less * F.col("n"))
+    own = cut(own.select("group", "id", "component", "n", F.col("signature").alias("s"), "w", "residual"), "near-residuals")
+
+    least = own.groupBy("group").agg(F.min(F.struct("w", F.col("id").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("s").alias("t"))).alias("x"))
+    least = cut(least.select("group", "x.b", "x.c", "x.m", "x.t").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "near-least")
+    salted = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    central = salted.join(least, ["group", "salt"]).where("component != c").where(_near(percent / 100)).select(F.col("id").alias("a"), "b")
+
+    rarity = counts.select("group", F.col("shingle").alias("place"), F.when(common, F.col("total") - F.col("count")).otherwise(F.col("count")).alias("rarity"))
+    places = own.select("group", "id", "n", F.explode("residual").alias("place")).join(rarity.where("rarity > 1"), ["group", "place"], "left")
+    order = F.sort_array(F.collect_list(F.struct(F.coalesce("rarity", F.lit(1)).alias("rarity"), "place")))
+    # Places of one document alone count in the order and meet none.
+    reach = F.floor(less * F.col("n") / percent).cast("int") + 1  # q * (n + m) is at most less * n / percent
+    ends = places.groupBy("group", "id", "n").agg(order.alias("order")).select("group", "id", F.posexplode(F.slice("order", 1, reach)).alias("rank", "x")).where("x.rarity > 1")
+    ends = cut(ends.select("group", "id", "rank", F.col("x.place").alias("place")).join(own.drop("residual", "group"), "id"), "near-ends")
+    few = ends.where(more * F.col("rank") <= less * F.col("n"))
+    few = few.select("group", "place", F.col("id").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("w").alias("v"), F.col("rank").alias("at"))
+    met = ends.join(few, ["group", "place"]).where((F.col("component") != F.col("c")) & (F.struct("v", "b") < F.struct("w", "id")))
+    met = met.where(more * (F.col("rank") + F.col("at")) <= less * (F.col("n") + F.col("m"))).where(_near(percent / 100))
+    return central.union(met.select(F.col("id").alias("a"), "b")).distinct()
+
+
 def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
     """A row per document of docs (doc_id, text): n_shingles, component_id, kept.
 
@@ -181,13 +252,7 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
             best = pairs.groupBy(F.col("id").alias("a")).agg(F.slice(F.sort_array(best, asc=False), 1, LEADERS).alias("best"))
             pairs = best.select("a", F.explode("best").alias("x")).select("a", (-F.col("x.minus")).alias("b"))
         else:
-            most = apart.groupBy("band", "component").count()
-            most = cut(most.groupBy("band").agg(F.max_by("component", F.struct("count", "component")).alias("largest")), "near-largest")
-            placed = cut(apart.join(most, "band"), "near-placed")
-            stray = placed.where("component != largest").select("band", F.col("id").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("signature").alias("t"))
-            pairs = placed.withColumnRenamed("signature", "s").join(cut(stray, "near-stray"), "band")
-            pairs = pairs.where((F.col("component") < F.col("c")) | ((F.col("component") > F.col("c")) & (F.col("component") == F.col("largest")))).where(_near(percent / 100))
-            pairs = pairs.select(F.col("id").alias("a"), "b").distinct()
+            pairs = _residual_pairs(apart, sets, percent)
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = pairs if tried is None else tried.union(pairs)
         new = cut(_confirm(pairs, sets, percent), "near-links")

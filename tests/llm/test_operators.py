@@ -205,6 +205,32 @@ def test_near_dedup(docs, empty, odd):
     assert near_dedup.classes(empty).collect() == [] and len(near_dedup.classes(odd).collect()) == 4
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_near_dedup_versions(spark, monkeypatch, rounds):
+    """Versions of one text with few to many edits, most pairs of them just too far apart; also with only the last pass."""
+    monkeypatch.setattr(near_dedup, "ROUNDS", rounds)
+    rng = random.Random(11)
+    base = ["b%d" % rng.randrange(60) for _ in range(150)]
+    texts = []
+    for i in range(120):
+        copy = list(base)
+        for place in rng.sample(range(150), 2 + i % 5):
+            copy[place] = "e%d" % rng.randrange(400)
+        texts.append(copy)
+        if i % 10 == 0:  # a version of this version
+            texts.append([*copy[:-1], "last"])
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    assert 5 < len(set(root)) < len(root) - 5
+    got = by_id(near_dedup.classes(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")))
+    assert [got[i]["component_id"] for i in range(len(texts))] == root
+
+
 def test_quality(docs, empty, odd):
     got = by_id(quality.judge(docs))
     for i, t in corpus():
