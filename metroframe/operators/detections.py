@@ -41,3 +41,14 @@ def merge(found: DataFrame, keys: list[str], track: str, start: str, end: str, c
 def reasons(rules: dict[str, Column]) -> Column:
     """The names of the rules that hold, comma-joined; empty if none does."""
     return F.concat_ws(",", *(F.when(rule, name) for name, rule in rules.items()))
+
+
+def health(summary: DataFrame, score: str) -> DataFrame:
+    """Adds state (ok, degraded below 55, unavailable at 0 or null) and weight, by which a camera's confidences are multiplied."""
+    state = F.when(F.coalesce(F.col(score), F.lit(0)) <= 0, "unavailable").when(F.col(score) < 55, "degraded").otherwise("ok")
+    return summary.withColumn("state", state).withColumn("weight", F.when(F.col("state") == "ok", 1.0).when(F.col("state") == "degraded", 0.85).otherwise(0.0))
+
+
+def sampled(spans: DataFrame, start: str, end: str, every: str) -> DataFrame:
+    """A row for each time at which a frame is taken: from start to end, every so long."""
+    return spans.withColumn("frame_at", F.explode(F.sequence(start, end, F.expr(f"INTERVAL {every}"))))

@@ -26,3 +26,24 @@ def seasonal_forecast(series: DataFrame, season: int, horizon: int) -> DataFrame
     tail = series.join(last, "unique_id").where(F.date_diff("last", "ds") < season)
     ahead = tail.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     return ahead.where(F.date_diff(F.date_add("last", F.col("step")), F.col("ds")) % season == 0).select("unique_id", F.date_add("last", F.col("step")).alias("ds"), F.col("y").alias("forecast"))
+
+
+def spacing(points: DataFrame, key: str, ts: str) -> DataFrame:
+    """The most frequent distance in seconds between neighbouring points of each key (the least of equally frequent ones), and how many have it."""
+    w = Window.partitionBy("unique_id").orderBy("at")
+    seconds = points.where(F.col(ts).isNotNull()).select(F.col(key).alias("unique_id"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at"))
+    steps = seconds.withColumn("seconds", F.round(F.col("at") - F.lag("at").over(w), 3)).where("seconds > 0")
+    counts = steps.groupBy("unique_id", "seconds").agg(F.count("*").alias("n"))
+    return counts.groupBy("unique_id").agg(F.max_by("seconds", F.struct("n", -F.col("seconds"))).alias("seconds"), F.max("n").alias("n"))
+
+
+def sufficient(series: DataFrame, least: int) -> DataFrame:
+    """The points of each series and whether they are at least so many."""
+    return series.groupBy("unique_id").agg(F.count("y").alias("n_points")).withColumn("sufficient", F.col("n_points") >= least)
+
+
+def changes(rows: DataFrame, key: str, order: list[str], content: str) -> DataFrame:
+    """Rows whose content differs from their key's row before (a key's first row has none before, and is new)."""
+    before = F.lag(F.md5(content)).over(Window.partitionBy(key).orderBy(*order))
+    seen = rows.withColumn("digest", F.md5(content)).withColumn("before", before)
+    return seen.withColumn("state", F.when(F.col("before").isNull(), "new").when(F.col("before") != F.col("digest"), "changed")).where("state is not null").drop("before")

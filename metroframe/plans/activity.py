@@ -172,3 +172,20 @@ def grid_counts(spark, folder):
 def flow_distribution(spark, folder):
     k = F.get_json_object("props", "$.k").cast("long")
     return events(spark, folder).groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("""WITH d AS (SELECT event_type AS unique_id, round(epoch_us(ts) / 1e6::DOUBLE - lag(epoch_us(ts) / 1e6::DOUBLE) OVER (PARTITION BY event_type ORDER BY ts), 3) AS seconds FROM events),
+    c AS (SELECT unique_id, seconds, count(*) AS n FROM d WHERE seconds > 0 GROUP BY 1, 2) SELECT unique_id, arg_max(seconds, (n, -seconds)) AS seconds, max(n) AS n FROM c GROUP BY 1""")
+def frequency(spark, folder):
+    return series.spacing(events(spark, folder), "event_type", "ts")
+
+
+@query(f"WITH {DAILY} SELECT unique_id, count(y) AS n_points, count(y) >= 30 AS sufficient FROM series GROUP BY 1")
+def sufficient_series(spark, folder):
+    return series.sufficient(daily(spark, folder), 30)
+
+
+@query("""WITH d AS (SELECT event_id, user_id, md5(props) AS digest, lag(md5(props)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
+    SELECT event_id, user_id, digest, CASE WHEN b IS NULL THEN 'new' ELSE 'changed' END AS state FROM d WHERE b IS NULL OR b != digest""")
+def changed_content(spark, folder):
+    return series.changes(events(spark, folder), "user_id", ["ts", "event_id"], "props").select("event_id", "user_id", "digest", "state")

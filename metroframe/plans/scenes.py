@@ -98,3 +98,15 @@ def merged_events(spark, folder):
 def review_routing(spark, folder):
     rules = {"unsure": F.col("confidence") < 0.5, "restricted": (F.col("roi") == 2) & (F.col("label") == "person"), "extreme": F.col("value") > 90}
     return seen(spark, folder).select("event_id", detections.reasons(rules).alias("reasons")).where("reasons != ''")
+
+
+@query(f"SELECT camera, round(avg(value), 2) AS score, CASE WHEN round(avg(value), 2) <= 0 THEN 'unavailable' WHEN round(avg(value), 2) < 55 THEN 'degraded' ELSE 'ok' END AS state, CASE WHEN round(avg(value), 2) <= 0 THEN 0.0 WHEN round(avg(value), 2) < 55 THEN 0.85 ELSE 1.0 END::DOUBLE AS weight FROM ({SEEN}) GROUP BY 1")
+def camera_health(spark, folder):
+    return detections.health(seen(spark, folder).groupBy("camera").agg(F.round(F.avg("value"), 2).alias("score")), "score")
+
+
+@query(f"SELECT camera, unnest(generate_series(min(ts::DATE)::TIMESTAMP, max(ts::DATE)::TIMESTAMP, INTERVAL 6 HOUR)) AS frame_at FROM ({SEEN}) GROUP BY 1")
+def sampled_frames(spark, folder):
+    day = F.to_date("ts").cast("timestamp_ntz")
+    spans = seen(spark, folder).groupBy("camera").agg(F.min(day).alias("started"), F.max(day).alias("ended"))
+    return detections.sampled(spans, "started", "ended", "6 hours").select("camera", "frame_at")
