@@ -64,7 +64,7 @@ def packed(least: np.ndarray) -> np.ndarray:
     return (low.reshape(-1, per) << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))).sum(axis=1, dtype=np.uint64)
 
 
-def _signed(docs: DataFrame) -> DataFrame:
+def _signed(docs: DataFrame, n_bands: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
@@ -75,7 +75,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 n.append(len(found))
                 digest.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 least = signature(found)
-                rows = least[: ROWS * BANDS].reshape(BANDS, ROWS)
+                rows = least[: ROWS * n_bands].reshape(n_bands, ROWS)
                 bands.append([int.from_bytes(hashlib.blake2b(bytes([i]) + r.tobytes(), digest_size=8).digest(), "little", signed=True) for i, r in enumerate(rows)])
                 signatures.append(packed(least).view(np.int64))
             longs = pa.list_(pa.int64())
@@ -101,10 +101,10 @@ def estimate(a: Column, b: Column) -> Column:
     return (equal - chance) / (1 - chance)
 
 
-def _near(share: float) -> Column:
+def _near(share: float, slack: float) -> Column:
     """Whether a pair (n, m sizes; s, t signatures) can reach the threshold."""
     sizes = F.least("n", "m") >= share * F.greatest("n", "m")
-    return sizes & (estimate(F.col("s"), F.col("t")) >= share - SLACK)
+    return sizes & (estimate(F.col("s"), F.col("t")) >= share - slack)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     return partial.groupBy("group", "shingle").agg(F.sum("count").alias("count"))
 
 
-def _residual_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _residual_pairs(apart: DataFrame, sets: DataFrame, percent: int, slack: float) -> DataFrame:
     """Pairs (a, b) to confirm among documents of open bands (band, id, component, n, signature) that are apart.
 
     Documents that share bands, directly or through others, are a group; a group's core is the shingles that over half of its
@@ -193,7 +193,7 @@ def _residual_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFram
     least = own.groupBy("group").agg(F.min(F.struct("w", F.col("id").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("s").alias("t"))).alias("x"))
     least = cut(least.select("group", "x.b", "x.c", "x.m", "x.t").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "near-least")
     salted = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    central = salted.join(least, ["group", "salt"]).where("component != c").where(_near(percent / 100)).select(F.col("id").alias("a"), "b")
+    central = salted.join(least, ["group", "salt"]).where("component != c").where(_near(percent / 100, slack)).select(F.col("id").alias("a"), "b")
 
     rarity = counts.select("group", F.col("shingle").alias("place"), F.when(common, F.col("total") - F.col("count")).otherwise(F.col("count")).alias("rarity"))
     places = own.select("group", "id", "n", F.explode("residual").alias("place")).join(rarity.where("rarity > 1"), ["group", "place"], "left")
@@ -205,21 +205,21 @@ def _residual_pairs(apart: DataFrame, sets: DataFrame, percent: int) -> DataFram
     few = ends.where(more * F.col("rank") <= less * F.col("n"))
     few = few.select("group", "place", F.col("id").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("w").alias("v"), F.col("rank").alias("at"))
     met = ends.join(few, ["group", "place"]).where((F.col("component") != F.col("c")) & (F.struct("v", "b") < F.struct("w", "id")))
-    met = met.where(more * (F.col("rank") + F.col("at")) <= less * (F.col("n") + F.col("m"))).where(_near(percent / 100))
+    met = met.where(more * (F.col("rank") + F.col("at")) <= less * (F.col("n") + F.col("m"))).where(_near(percent / 100, slack))
     return central.union(met.select(F.col("id").alias("a"), "b")).distinct()
 
 
-def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
+def classes(docs: DataFrame, percent: int = 85, bands: int = BANDS, slack: float = SLACK) -> DataFrame:
     """A row per document of docs (doc_id, text): n_shingles, component_id, kept.
 
     The words are lower-cased (A-Z); a set is the distinct shingles of SHINGLE words, or of all words where there are fewer.
     Two documents are linked if 100 times the intersection of their sets is at least percent times the union; component_id
     is the least doc_id reachable. Null and empty texts have an empty set and no links. Rows that repeat an id and have
     different texts keep a row each and are linked by their id; a null id has no component and is not kept. An empty table
-    gives no rows.
+    gives no rows. A lower percent needs more bands (at most MINIMA / ROWS) and more slack to miss as few links.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key"))
-    signed = cut(_signed(keyed), "near-signed")
+    signed = cut(_signed(keyed, bands), "near-signed")
     own = signed.where("n > 0 and doc_id is not null")
     grouped = own.groupBy("digest").agg(F.min(F.struct("doc_id", "key")).alias("one"))
     grouped = cut(grouped.select("digest", F.col("one.doc_id").alias("id"), F.col("one.key").alias("key")), "near-classes")
@@ -247,12 +247,12 @@ def classes(docs: DataFrame, percent: int = 85) -> DataFrame:
             pick = F.struct("id") if step == 0 else F.struct(F.xxhash64(F.col("id"), F.lit(step)), F.col("id"))
             leaders = apart.groupBy("band").agg(F.min(F.struct(pick.alias("order"), F.col("id").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("signature").alias("t"))).alias("lead"))
             leaders = cut(leaders.select("band", "lead.b", "lead.c", "lead.m", "lead.t"), "near-leaders")
-            pairs = apart.withColumnRenamed("signature", "s").join(leaders, "band").where("component != c").where(_near(percent / 100))
+            pairs = apart.withColumnRenamed("signature", "s").join(leaders, "band").where("component != c").where(_near(percent / 100, slack))
             best = F.collect_set(F.struct(estimate(F.col("s"), F.col("t")).alias("e"), (-F.col("b")).alias("minus")))  # at most one for each band
             best = pairs.groupBy(F.col("id").alias("a")).agg(F.slice(F.sort_array(best, asc=False), 1, LEADERS).alias("best"))
             pairs = best.select("a", F.explode("best").alias("x")).select("a", (-F.col("x.minus")).alias("b"))
         else:
-            pairs = _residual_pairs(apart, sets, percent)
+            pairs = _residual_pairs(apart, sets, percent, slack)
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = pairs if tried is None else tried.union(pairs)
         new = cut(_confirm(pairs, sets, percent), "near-links")

@@ -351,6 +351,29 @@ def test_pipeline(spark, tmp_path):
         assert sum(r["length"] for r in rows) == len(whole) and all(crc(whole[r["start"] : r["start"] + r["length"]]) == r["ids_crc32"] for r in rows)
 
 
+def test_pipeline_near_copies(spark):
+    """Copies between 0.80 and 0.85 of their base go, those below stay, whatever op5's threshold is."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    rows = []
+    for g in range(12):
+        base = ["g%dw%d" % (g, rng.randrange(5000)) for _ in range(300)]
+        rows.append((100 * g, " ".join(base)))
+        for i, edits in enumerate((6, 6, 6, 8)):  # 266 of 326 shingles, 256 of 336
+            copy = list(base)
+            for k in range(edits):
+                copy[10 + 35 * k + 6 * i] = "e%d" % i
+            rows.append((100 * g + 1 + i, " ".join(copy)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(296)} for i, t in rows}
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(0.8 <= share(100 * g, 100 * g + i) < 0.85 and share(100 * g, 100 * g + 4) < 0.8 for g in range(12) for i in (1, 2, 3))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert left == {100 * g + i for g in range(12) for i in (0, 4)}
+    assert {r["doc_id"] for r in near_dedup.classes(docs).where("kept").collect()} == {i for i, _ in rows}
+
+
 def test_every_query_on_the_smallest_tables(spark):
     from metroframe.llm.queries import QUERIES
 
