@@ -374,6 +374,31 @@ def test_pipeline_near_copies(spark):
     assert {r["doc_id"] for r in near_dedup.classes(docs).where("kept").collect()} == {i for i, _ in rows}
 
 
+def test_pipeline_rows(spark, tmp_path):
+    """Repeated rows, repeated ids and null ids: each row is decided on by itself, and one of equal rows keeps its whole text."""
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    word = lambda: rng.choice(["the", "of", "and", "to"]) if rng.random() < 0.3 else "".join(rng.choice(["ta", "ri", "mo", "len", "ku"]) for _ in range(3))
+    prose = lambda n: " ".join(word() + ("." if i % 10 == 9 else "") for i in range(n))
+    one, two = prose(60), prose(60)  # two, as what they share would go as a repeated passage
+    rows = [(i, prose(120)) for i in range(1, 9)]
+    twice, shared, other, nameless, lost = (prose(n) for n in (130, 140, 150, 160, 170))
+    stay = [*rows, (20, twice), (30, shared), (40, other), (40, prose(155)), (None, nameless)]
+    gone = [(20, twice), (20, twice), (30, prose(40) + " " + one), (None, prose(45) + " " + two), (None, nameless), (None, other), (None, lost + " more words"), (50, lost)]
+    stay, gone = [*stay, gone[-1]], gone[:-1]
+    spark.createDataFrame([(i, t, "x") for i, t in stay + gone], "doc_id long, text string, key string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, one), (2, two)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    ids = token_ids.encoder(token_ids.vocabulary("word_bpe_49k.json"), False).tokenizer
+    tokens = lambda t: [*ids.encode(t, add_special_tokens=False).ids, 2]
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    firsts = Counter((r["doc_id"], r["doc_tokens"]) for r in out if r["start"] == 0)
+    assert firsts == Counter((i, len(tokens(t))) for i, t in stay)
+    whole = {(i, len(tokens(t))): tokens(t) for i, t in stay}
+    assert sum(r["length"] for r in out) == sum(map(len, whole.values()))
+    assert all(crc(whole[r["doc_id"], r["doc_tokens"]][r["start"] : r["start"] + r["length"]]) == r["ids_crc32"] for r in out)
+
+
 def test_every_query_on_the_smallest_tables(spark):
     from metroframe.llm.queries import QUERIES
 
