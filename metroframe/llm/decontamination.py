@@ -108,8 +108,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
         if hits is None:
             hits = new
             continue
-        more = new.where(F.size("spans") > 0).select("doc_id", "key", F.col("spans").alias("more"), F.col("items").alias("also")).dropDuplicates(["doc_id", "key"])
-        hits = cut(hits.join(more, ["doc_id", "key"], "left").select("doc_id", "key", "n_words", F.concat("spans", F.coalesce("more", F.array().cast("array<int>"))).alias("spans"), F.array_union("items", F.coalesce("also", F.array().cast("array<string>"))).alias("items")), "hits")
+        more = new.where(F.size("spans") > 0).select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("spans").alias("more"), F.col("items").alias("also")).dropDuplicates(["_doc", "_key"])
+        same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_key"))
+        hits = cut(hits.join(more, same, "left").select("doc_id", "key", "n_words", F.concat("spans", F.coalesce("more", F.array().cast("array<int>"))).alias("spans"), F.array_union("items", F.coalesce("also", F.array().cast("array<string>"))).alias("items")), "hits")
 
     def count(batches):
         import pyarrow as pa

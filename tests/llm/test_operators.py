@@ -141,6 +141,18 @@ def test_decontamination(spark, docs, empty, odd, monkeypatch, part_bytes):
     assert len(decontamination.contamination(odd, benchmark.limit(0)).collect()) == 4
 
 
+@pytest.mark.parametrize("part_bytes", [10**6, 12])
+def test_decontamination_without_ids(spark, monkeypatch, part_bytes):
+    """Documents without id, and repeated ones, have the hits of every part of the benchmark."""
+    monkeypatch.setattr(decontamination, "PART_BYTES", part_bytes)
+    names = ["p%d q%d r%d" % (i, i, i) for i in range(12)]
+    benchmark = spark.createDataFrame(list(enumerate(names)), "item_id long, text string")
+    rows = [(None, " x ".join(names)), (None, names[3] + " y"), (None, names[8]), (None, names[8]), (None, None), (7, " z ".join(names))]
+    found = decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    got = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in found)
+    assert got == Counter({(None, 47, 36, 12, True): 1, (None, 4, 3, 1, True): 1, (None, 3, 3, 1, True): 2, (None, 0, 0, 0, False): 1, (7, 47, 36, 12, True): 1})
+
+
 def brute_repeats(texts, words, window):
     units = {i: ((t or "").encode().split() if words else (t or "").encode()) for i, t in texts.items()}
     first, count = {}, Counter()
