@@ -158,7 +158,7 @@ def pack(docs: DataFrame, tokenizer: str, vocabulary: int, spaced: bool = False,
 
         def made():
             raw = [t.astype("<u4") for t in texts]
-            out = [(docs[d], start, length, zlib.crc32(raw[d][start : start + length].tobytes()), len(raw[d]), (shard << 32) + (part << 24) + sequence, offset) for d, start, length, sequence, offset in pack_shard(docs, texts, idf, window)]
+            out = [(docs[d], start, length, zlib.crc32(raw[d][start : start + length].tobytes()), len(raw[d]), (shard << 44) + (part << 24) + sequence, offset) for d, start, length, sequence, offset in pack_shard(docs, texts, idf, window)]
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], names=names)
 
         for batch in batches:

@@ -1,8 +1,8 @@
 """Encoding of whole texts with a tokenizers file, each different piece of text once per batch and worker.
 
 A byte-level vocabulary splits a text before every space that stands between two other characters, and a word-end
-vocabulary drops white space, so the ids of a text are those of its pieces in order. Where that isn't certain at a
-piece's ends, the text goes through the tokenizer as a whole.
+vocabulary drops white space and the case of A-Z, so the ids of a text are those of its pieces in order. Where that isn't
+certain at a piece's ends, or where a text has the content of an added token, it goes through the tokenizer as a whole.
 """
 
 from __future__ import annotations
@@ -16,36 +16,73 @@ import pyarrow.compute as pc
 
 #: Different pieces kept by a worker; beyond that those not in use go. Bounds memory, changes no result.
 CACHE_PIECES = 300_000
+#: Words encoded as one text, and marks after a word that are looked up alone, if it ends with a letter up to LAST_LETTER.
+TOGETHER = 200
+MARKS, LAST_LETTER = ".,;:!?", "\u024f"
 
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
 class Encoder:
-    """path: a tokenizers file. spaced: white space is part of the tokens (byte level), else it is dropped."""
+    """path: a tokenizers file. spaced: white space is part of the tokens (byte level), else it and the case of A-Z are dropped."""
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
         self.known: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Ids that begin a word (byte level) or end one: they part the ids of words that are encoded together.
+        self.edge = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.edge[i] = token.startswith("\u0120") if spaced else token.endswith("</w>")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The same for words of letters alone, many at a time."""
+        out: list[bytes] = []
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([self._spell(" ".join(g)) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            edges = np.flatnonzero(self.edge[ids])
+            edges = [*edges.tolist(), len(ids)] if self.spaced else [0, *(edges + 1).tolist()]
+            if len(edges) != len(group) + 1 or edges[0] or edges[-1] != len(ids):
+                out += self._whole([self._spell(w) for w in group])
+                continue
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip(edges, edges[1:])]
+        return out
+
+    def _spell(self, piece: str) -> str:
+        return " " + piece if self.spaced else piece
+
     def _safe(self, piece: str) -> bool:
         return not self.spaced or piece != "" and piece[0].isprintable() and piece[-1].isprintable()
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece. Between a letter and marks after it every vocabulary parts a text, so both are looked up alone."""
         known = self.known
         new = [p for p in pieces if p not in known]
         if len(known) + len(new) > CACHE_PIECES:
             known = self.known = {p: known[p] for p in pieces if p in known}
         for i in range(0, len(new), 100_000):
-            part = new[i : i + 100_000]
-            known.update(zip(part, self._whole([" " + p for p in part] if self.spaced else part)))
+            words, rest, made = [], [], []
+            for p in new[i : i + 100_000]:
+                core = p.rstrip(MARKS)
+                if core == p or not core.isalpha() or core[-1] > LAST_LETTER:
+                    (words if p.isalpha() else rest).append(p)
+                else:
+                    made.append((p, core))
+            words += {c for _, c in made if c not in known}
+            known.update(zip(words, self._words(words)))
+            known.update(zip(rest, self._whole([self._spell(p) for p in rest])))
+            tails = list({p[len(c) :] for p, c in made})
+            tails = dict(zip(tails, self._whole(tails)))
+            known.update((p, known[c] + tails[p[len(c) :]]) for p, c in made)
         return [known[p] for p in pieces]
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,21 +90,29 @@ class Encoder:
         n = len(texts)
         if not n:
             return np.empty(0, np.uint32), np.zeros(1, np.int64)
-        split = pc.split_pattern(texts.cast(pa.large_string()), " ")
+        texts = texts.cast(pa.large_string())
+        split = pc.split_pattern(texts, " ") if self.spaced else pc.ascii_split_whitespace(pc.ascii_lower(texts))
         at = split.offsets.to_numpy().astype(np.int64)
         words = split.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
         at -= at[0]
         codes, pieces = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
-        firsts = [pieces[c] for c in codes[at[:-1]]]
         ids = self._pieces(pieces)
-        unsafe = np.fromiter((not self._safe(p) for p in pieces), bool, len(pieces))[codes]
-        unsafe[at[:-1]] &= np.diff(at) > 1
-        codes[at[:-1]] = len(pieces) + np.arange(n)
-        if unsafe.any():  # the text as a whole stands in the place of its first piece
-            for d in np.flatnonzero(np.logical_or.reduceat(unsafe, at[:-1])):
-                firsts[d] = texts[int(d)].as_py()
-                codes[at[d] + 1 : at[d + 1]] = len(pieces) + n
-        ids += self._whole(firsts)
+        unsafe = np.fromiter((not self._safe(p) for p in pieces), bool, len(pieces))
+        for token in self.added:  # in any case: it may be matched before or after the text is lower-cased
+            unsafe |= pc.match_substring(words.dictionary, token, ignore_case=True).to_numpy(zero_copy_only=False)
+        unsafe = unsafe[codes]
+        one = np.diff(at) == 1  # the text as a whole stands in the place of its first piece, if it is the only one or parting is not certain
+        whole = np.logical_or.reduceat(unsafe, at[:-1]) | one if self.spaced else np.logical_or.reduceat(unsafe, at[:-1])
+        if self.spaced:  # a first piece has no space before it
+            firsts = [pieces[c] for c in codes[at[:-1]]]
+        else:
+            firsts = [""] * n
+        for d in np.flatnonzero(whole):
+            firsts[d] = texts[int(d)].as_py()
+            codes[at[d] : at[d + 1]] = len(pieces) + n
+        place = np.arange(n) if self.spaced else np.flatnonzero(whole)
+        codes[at[place]] = len(pieces) + place
+        ids += self._whole(firsts) if self.spaced else self._some(firsts, whole)
         ids.append(b"")
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         starts = np.cumsum(lengths) - lengths
@@ -84,6 +129,13 @@ class Encoder:
         out[keep] = flat[index]
         return out, offsets
 
+    def _some(self, texts: list[str], which: np.ndarray) -> list[bytes]:
+        """The ids of those texts, nothing for others."""
+        out = [b""] * len(texts)
+        for d, ids in zip(np.flatnonzero(which), self._whole([texts[d] for d in np.flatnonzero(which)])):
+            out[d] = ids
+        return out
+
 
 def encoder(path: str, spaced: bool) -> Encoder:
     if (path, spaced) not in _encoders:
@@ -109,7 +161,7 @@ def runs(sizes: np.ndarray, most: int):
         yield begin, len(sizes)
 
 
-def encode_batches(batches, path: str, spaced: bool, end: int, most: int = 8_000_000):
+def encode_batches(batches, path: str, spaced: bool, end: int, most: int = 6_000_000):
     """For record batches with a text (null: empty): slices of them with their ids and offsets."""
     made = encoder(path, spaced)
     for batch in batches:

@@ -28,7 +28,7 @@ def corpus():
         copy = list(near)
         copy[i * 11] = "edit%d" % i
         texts.append(" ".join(copy))
-    texts += [texts[6]] * 5 + ["ab" * 400, "ab" * 150 + "c", "Released under the MIT License.", "x y\nreleased under the MIT license\nz", "!!! ### $$$ " * 30]
+    texts += [texts[6]] * 5 + ["ab" * 400, "ab" * 150 + "c", "Released under the MIT License.", "a <|endoftext|> b<|startoftext|>", "x y\nreleased under the MIT license\nz", "!!! ### $$$ " * 30]
     texts += [prose(rng.randint(1, 120)) for _ in range(30)]
     return list(enumerate(texts))
 
@@ -300,8 +300,24 @@ def test_pfor_round_trip():
 
 
 def encoded(name):
-    t = token_ids.encoder(token_ids.vocabulary(name), name.startswith("byte")).tokenizer
-    return {i: t.encode(x or "", add_special_tokens=False).ids for i, x in corpus()}
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(token_ids.vocabulary(name))  # as the library has it: added tokens in a text are their own ids
+    return {i: made.encode(t or "", add_special_tokens=False).ids for i, t in corpus()}
+
+
+@pytest.mark.parametrize("name, spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_is_the_tokenizer(name, spaced):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    made, rng = Tokenizer.from_file(token_ids.vocabulary(name)), random.Random(9)
+    parts = list("abé ABÉ\n\t ,.;'’!<|>01中\xa0\u0301Ⅷ") + ["don't", "word, ", "It's. ", " the", "<|startoftext|>"]
+    parts += [f(t.content) for t in made.get_added_tokens_decoder().values() for f in (str, str.upper)]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(800)] + ["", " ", "a <|endoftext|> b", "<|endoftext|>"]
+    ids, offsets = token_ids.Encoder(token_ids.vocabulary(name), spaced).encode(pa.array(texts), 7)
+    for i, t in enumerate(texts):
+        assert ids[offsets[i] : offsets[i + 1]].tolist() == [*made.encode(t, add_special_tokens=False).ids, 7]
 
 
 def crc(ids):
