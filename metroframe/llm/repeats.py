@@ -3,9 +3,15 @@
 Every window of consecutive units (words or bytes) belongs to its anchor (see winnow), so equal windows belong to equal
 anchors. A passage is an anchor with all windows that it anchors in a row; only passages whose anchor occurs again can hold
 a repeated window, and only these are looked at. Equal passages are collapsed with a count and their first occurrence before
-they are compared, so a passage that a third of all documents share is one row. The different passages are dealt by anchor
-into shards of bounded size, where the operator's own index compares them. An anchor with very many different passages is
-dealt by its windows instead.
+they are compared, so a passage that a third of all documents share is one row, and so is one that a periodic text has at
+every place. The different passages are dealt by anchor into shards of bounded size, where the operator's own index compares
+them.
+
+The passages of one anchor may be many and all different (a common sentence in ever new surroundings). They are then dealt on:
+the windows that start in one half of the places before the anchor share a longer middle, and so do those of the other half.
+Passages with different middles need not be compared, and what of two passages is equal within a half is one row again. Halves
+that are still too large are halved in turn, down to single windows, so no task ever holds a large group, and the same index
+decides on every window.
 """
 
 from __future__ import annotations
@@ -19,12 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, forget, parallelism, read_bytes
+from .token_ids import runs as slices
 from .winnow import anchors, byte_units, covered, word_units
 
 #: Different passages in a shard, about.
 SHARD_PASSAGES = 2000
-#: Different passages of one anchor that are compared in one task; beyond, its windows are dealt.
+#: Different passages of one anchor that are compared in one task; beyond, its windows are dealt by halves.
 MOST = 1000
+#: Bytes of text whose passages are made together.
+TOGETHER = 4_000_000
 #: An anchor's place is its first window, the number of windows after that and the way to the anchor, in one long.
 PLACE_BITS = 12
 PLACE_MASK = (1 << PLACE_BITS) - 1
@@ -41,6 +50,10 @@ class Kind:
     #: Of a shard's rows (h, passage, lead, n), first occurrences in order: units of each row's first occurrence to remove.
     index: Callable[[list[tuple[int, bytes, int, int]], "Kind"], list[list[int]]]
 
+    def __post_init__(self):
+        if not 0 < self.k <= self.window <= PLACE_MASK:
+            raise ValueError(f"a window has 1 to {PLACE_MASK} units")
+
     def units(self, raw: bytes) -> np.ndarray:
         return word_units(raw)[0] if self.words else byte_units(raw)
 
@@ -70,47 +83,68 @@ def _base(docs: DataFrame, kind: Kind) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            found, sizes, digests = [], [], []
+            groups, per_doc, places, per_group, sizes, digests = [], [], [], [], [], []
             for raw in read_bytes(batch["text"]):
                 units = kind.units(raw or b"")
                 sizes.append(len(units))
                 digests.append(kind.digest(raw or b""))
-                found.append(anchors(units, kind.window, kind.k))
-            h, at, first, last = (np.concatenate(c) for c in zip(*found)) if found else [np.empty(0, np.int64)] * 4
-            offsets = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32)
-            place = first << 2 * PLACE_BITS | last - first << PLACE_BITS | at - first
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(place)], names=["h", "place"]))
+                h, at, first, last = anchors(units, kind.window, kind.k)
+                order = np.argsort(h, kind="stable")
+                own, n = np.unique(h, return_counts=True)
+                groups.append(own)
+                per_doc.append(len(own))
+                per_group.append(n)
+                places.append((first << 2 * PLACE_BITS | last - first << PLACE_BITS | at - first)[order])
+            if not sizes:
+                continue
+            offsets = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            at = pa.ListArray.from_arrays(offsets(np.concatenate(per_group)), pa.array(np.concatenate(places)))
+            found = pa.StructArray.from_arrays([pa.array(np.concatenate(groups).view(np.int64)), at], names=["h", "places"])
+            lists = pa.ListArray.from_arrays(offsets(per_doc), found)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), lists], names=["doc_id", "key", "n_units", "digest", "anchors"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, n_units long, digest string, anchors array<struct<h:long,place:long>>")
+    return docs.mapInArrow(run, "doc_id long, key long, n_units long, digest string, anchors array<struct<h:long,places:array<long>>>")
 
 
 def _passages(found: DataFrame, kind: Kind) -> DataFrame:
+    """A row for each different passage of a document: h, passage, lead (units before the anchor), doc_id, key, firsts (its places), size, q."""
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            h, passage, lead, row, first, size = [], [], [], [], [], []
-            for i, (raw, places) in enumerate(zip(read_bytes(batch["text"]), batch["anchors"].to_pylist())):
-                units = raw.split() if kind.words else raw
-                for a in places:
-                    begin, end = a["place"] >> 2 * PLACE_BITS, kind.window + (a["place"] >> PLACE_BITS & PLACE_MASK)
-                    h.append(a["h"])
-                    passage.append(kind.slice(units, begin, begin + end))
-                    lead.append(a["place"] & PLACE_MASK)
-                    first.append(begin)
-                    size.append(end)
-                    row.append(i)
-            at = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h, pa.int64()), pa.array(passage, pa.binary()), pa.array(lead, pa.int32()), batch["doc_id"].take(at), batch["key"].take(at), pa.array(first, pa.int32()), pa.array(size, pa.int32())],
-                names=["h", "passage", "lead", "doc_id", "key", "first", "size"],
-            )
-
-    return found.mapInArrow(run, "h long, passage binary, lead int, doc_id long, key long, first int, size int").withColumn("q", F.xxhash64("passage"))
+            texts = read_bytes(batch["text"])
+            for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), TOGETHER):
+                h, passage, lead, row, firsts, size = [], [], [], [], [], []
+                for i, (raw, found) in enumerate(zip(texts[a:b], batch["anchors"].slice(a, b - a).to_pylist()), a):
+                    units = raw.split() if kind.words else raw
+                    for group in found:
+                        own: dict[bytes, list[int]] = {}
+                        for place in sorted(group["places"]):
+                            begin, n = place >> 2 * PLACE_BITS, kind.window + (place >> PLACE_BITS & PLACE_MASK)
+                            text = kind.slice(units, begin, begin + n)
+                            if text in own:
+                                own[text].append(begin)
+                                continue
+                            own[text] = [begin]
+                            h.append(group["h"])
+                            passage.append(text)
+                            lead.append(place & PLACE_MASK)
+                            firsts.append(own[text])
+                            size.append(n)
+                            row.append(i)
+                at = pa.array(row, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h, pa.int64()), pa.array(passage, pa.binary()), pa.array(lead, pa.int32()), batch["doc_id"].take(at), batch["key"].take(at), pa.array(firsts, pa.list_(pa.int32())), pa.array(size, pa.int32())],
+                    names=["h", "passage", "lead", "doc_id", "key", "firsts", "size"],
+                )
+
+    return found.mapInArrow(run, "h long, passage binary, lead int, doc_id long, key long, firsts array<int>, size int").withColumn("q", F.xxhash64("passage"))
+
+
+def _compared(different: DataFrame, kind: Kind, shards: int) -> DataFrame:
+    """Spans of units to remove of each different passage's first occurrence, by the operator's index in shards of whole anchors."""
 
-
-def _shards(different: DataFrame, kind: Kind, shards: int) -> DataFrame:
     def run(pdf):
         import pandas as pd
 
@@ -118,47 +152,80 @@ def _shards(different: DataFrame, kind: Kind, shards: int) -> DataFrame:
         rows = list(zip(pdf["h"].tolist(), pdf["passage"].tolist(), pdf["lead"].tolist(), pdf["n"].tolist()))
         spans = kind.index(rows, kind)
         out = pd.DataFrame({"h": pdf["h"], "q": pdf["q"], "spans": pd.Series(spans, index=pdf.index, dtype=object)})
-        return out[(pdf["n"] > 1) | out["spans"].map(bool)]
+        return out[out["spans"].map(bool)]
 
     dealt = different.select("h", "q", "passage", "lead", "n", "doc_id", "first", F.pmod(F.xxhash64("h"), F.lit(shards)).alias("shard"))
     return dealt.groupBy("shard").applyInPandas(run, "h long, q long, spans array<int>")
 
 
-def _windows(different: DataFrame, kind: Kind) -> DataFrame:
-    """The same for anchors with very many different passages: equal windows meet, whatever stands around them."""
+def _halves(hot: DataFrame, kind: Kind) -> DataFrame:
+    """Each passage's windows in two halves of the places lo to hi (their starts before the anchor), each under a key of what all of them share."""
+    window = kind.window
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            made = []
-            for i, passage in enumerate(batch["passage"].to_pylist()):
+            key, text, lead, size, at, lo, hi, row = ([] for _ in range(8))
+            columns = (batch[c].to_pylist() for c in ("h", "passage", "lead", "size", "lo", "hi"))
+            for i, (h, passage, before, n, low, high) in enumerate(zip(*columns)):
                 units = passage.split() if kind.words else passage
-                made += [(hashlib.blake2b(kind.slice(units, o, o + kind.window), digest_size=16).digest(), i, o) for o in range(len(units) - kind.window + 1)]
-            w, row, o = zip(*made) if made else ((), (), ())
-            at = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(o, pa.int32()), *(batch[c].take(at) for c in ("h", "q", "size", "n", "doc_id", "first"))], names=["w", "o", "h", "q", "size", "n", "doc_id", "first"])
-
-    made = different.select("h", "q", "passage", "size", "n", "doc_id", "first").mapInArrow(run, "w binary, o int, h long, q long, size int, n long, doc_id long, first int")
-    place = F.struct("doc_id", (F.col("first") + F.col("o")).alias("start"))
-    stay = made.groupBy("w").agg(F.sum("n").alias("times"), F.min(F.struct(place.alias("place"), "h", "q", "o")).alias("own"))
-    if not kind.first:
-        stay = stay.where("times = 1")
-    by_passage = stay.select("own.h", "own.q", "own.o").groupBy("h", "q").agg(F.collect_list("o").alias("stay"))
-
-    def spans(batches):
-        import pyarrow as pa
+                mid = (low + high) // 2
+                for a, b in ((low, mid), (mid + 1, high)):
+                    first, last = max(a, -before), min(b, n - window - before)
+                    if first > last:
+                        continue
+                    core = kind.slice(units, b + before, a + window + before)
+                    key.append(int.from_bytes(hashlib.blake2b(b"%d %d %d " % (h, a, b) + core, digest_size=8).digest(), "little", signed=True))
+                    text.append(kind.slice(units, first + before, last + window + before))
+                    for to, value in ((lead, -first), (size, last - first + window), (at, first + before), (lo, a), (hi, b), (row, i)):
+                        to.append(value)
+            take = pa.array(row, pa.int32())
+            ints = [pa.array(x, pa.int32()) for x in (lead, size, at, lo, hi)]
+            yield pa.RecordBatch.from_arrays(
+                [batch["h"].take(take), batch["q"].take(take), pa.array(key, pa.int64()), pa.array(text, pa.binary()), *ints, *(batch[c].take(take) for c in ("n", "doc_id", "first"))],
+                names=["up_h", "up_q", "h", "passage", "lead", "size", "at", "lo", "hi", "n", "doc_id", "first"],
+            )
 
-        for batch in batches:
-            out = []
-            for stay, n in zip(batch["stay"].to_pylist(), batch["size"].to_pylist()):
-                gone = np.ones(n - kind.window + 1, bool)
-                gone[stay or []] = False
-                out.append(spans_of_windows(np.flatnonzero(gone), kind.window, n))
-            yield pa.RecordBatch.from_arrays([batch["h"], batch["q"], pa.array(out, pa.list_(pa.int32()))], names=["h", "q", "spans"])
+    made = hot.select("h", "q", "passage", "lead", "size", "lo", "hi", "n", "doc_id", "first")
+    made = made.mapInArrow(run, "up_h long, up_q long, h long, passage binary, lead int, size int, at int, lo int, hi int, n long, doc_id long, first int")
+    return made.withColumn("q", F.xxhash64("passage")).withColumn("first", F.col("first") + F.col("at"))
 
-    joined = different.select("h", "q", "size").join(by_passage, ["h", "q"], "left")
-    return joined.mapInArrow(spans, "h long, q long, spans array<int>").where(F.size("spans") > 0)
+
+def _spans(different: DataFrame, kind: Kind, n_tasks: int) -> DataFrame:
+    """(h, q, spans) of different passages (h, q, passage, lead, size, lo, hi, n, doc_id, first: of the first occurrence)."""
+    sizes = different.groupBy("h").agg(F.count("*").alias("of"), F.min("lo").alias("lo"), F.min("hi").alias("hi"))
+    many = cut(sizes.where((F.col("of") > MOST) & (F.col("lo") < F.col("hi"))).select("h"), "repeats-many")
+    shards = max(4 * n_tasks, -(-different.count() // SHARD_PASSAGES))
+    if many.isEmpty():
+        return _compared(different, kind, shards)
+    hot = different.join(many, "h", "left_semi")
+    parts = cut(_halves(hot, kind), "repeats-parts")
+    below = _different(parts.withColumn("times", F.col("n")))
+    marks = cut(_marks(below, _spans(below, kind, n_tasks)), "repeats-marks")
+    found = parts.select("up_h", "up_q", "h", "q", "at", "size", "doc_id", "first").join(marks, ["h", "q"])
+    found = found.select("up_h", "up_q", _taken(kind, F.col("first"), F.col("at")).alias("spans"))
+    found = found.groupBy(F.col("up_h").alias("h"), F.col("up_q").alias("q")).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return _compared(different.join(many, "h", "left_anti"), kind, shards).unionByName(found.where(F.size("spans") > 0))
+
+
+def _different(passages: DataFrame) -> DataFrame:
+    """Passages (h, q, passage, lead, size, lo, hi, times, doc_id, first) as different ones, with their count and first occurrence."""
+    origin = F.min(F.struct("doc_id", "first")).alias("origin")
+    found = passages.groupBy("h", "q", "passage").agg(F.sum("times").alias("n"), origin, *(F.min(c).alias(c) for c in ("lead", "size", "lo", "hi")))
+    return cut(found.select("h", "q", "passage", "n", "lead", "size", "lo", "hi", "origin.*"), "repeats-passages")
+
+
+def _marks(different: DataFrame, spans: DataFrame) -> DataFrame:
+    marks = different.select("h", "q", "n", F.struct("doc_id", "first").alias("origin")).join(cut(spans, "repeats-spans"), ["h", "q"], "left")
+    return marks.where("n > 1 or spans is not null")
+
+
+def _taken(kind: Kind, first, at):
+    """What goes of an occurrence that begins at first in its document: the spans found if it is the first one (or the only one), else all; moved by at."""
+    own = F.struct(F.col("doc_id"), first.alias("first")) == F.col("origin") if kind.first else F.col("n") == 1
+    spans = F.transform(F.coalesce("spans", F.array().cast("array<int>")), lambda x: x + at)
+    return F.when(own, spans).otherwise(F.array(at, at + F.col("size")))
 
 
 def find(docs: DataFrame, kind: Kind, text: bool = False) -> tuple[DataFrame, DataFrame, bool]:
@@ -181,30 +248,18 @@ def find(docs: DataFrame, kind: Kind, text: bool = False) -> tuple[DataFrame, Da
     base = cut(base.drop("anchors"), "repeats-documents")
     forget(whole)
     places = anchored.select("doc_id", "key", F.explode("anchors").alias("a")).select("doc_id", "key", "a.*")
-    again = cut(places.groupBy("h").count().where("count > 1").select("h"), "repeats-anchors")
-    mine = places.join(again, "h", "left_semi").groupBy("doc_id", "key").agg(F.collect_set(F.struct("h", "place")).alias("anchors"))
+    again = cut(places.groupBy("h").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("h"), "repeats-anchors")
+    mine = places.join(again, "h", "left_semi").groupBy("doc_id", "key").agg(F.collect_set(F.struct("h", "places")).alias("anchors"))
     found = cut(keyed.join(mine, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]), "repeats-texts")
     forget(anchored)
     copied = F.col("one") != F.struct("doc_id", "key") if kind.first else F.col("n_copies") > 1
     base = base.join(copies, "digest", "left").withColumn("gone", F.coalesce((F.col("n_units") >= kind.window) & F.col("doc_id").isNotNull() & copied, F.lit(False))).drop("one", "n_copies")
     passages = _passages(found, kind)
-    origin = F.min(F.struct("doc_id", "first")).alias("origin")
-    different = passages.groupBy("h", "q", "passage").agg(F.count("*").alias("n"), origin, F.min("lead").alias("lead"), F.min("size").alias("size"))
-    different = cut(different.select("h", "q", "passage", "n", "lead", "size", "origin.*"), "repeats-passages")
-    many = cut(different.groupBy("h").count().where(F.col("count") > MOST).select("h"), "repeats-many")
-    shards = max(4 * n, -(-different.count() // SHARD_PASSAGES))
-    if many.isEmpty():
-        spans = _shards(different, kind, shards)
-    else:
-        few, hot = different.join(many, "h", "left_anti"), cut(different.join(many, "h", "left_semi"), "repeats-hot")
-        spans = _shards(few, kind, shards).unionByName(_windows(hot, kind))
-    marks = different.select("h", "q", "n", F.struct("doc_id", "first").alias("origin")).join(cut(spans, "repeats-spans"), ["h", "q"], "left")
-    marks = cut(marks.where("n > 1 or spans is not null"), "repeats-marks")
-    is_origin = F.struct("doc_id", "first") == F.col("origin")
-    own = is_origin if kind.first else F.col("n") == 1
-    taken = F.when(own, F.coalesce("spans", F.array().cast("array<int>"))).otherwise(F.array(F.lit(0), F.col("size")))
-    hits = passages.select("h", "q", "doc_id", "key", "first", "size").join(marks, ["h", "q"])
-    hits = hits.select("doc_id", "key", F.transform(taken, lambda x: x + F.col("first")).alias("spans")).where(F.size("spans") > 0)
+    at_all = {"times": F.size("firsts").cast("long"), "first": F.col("firsts")[0], "lo": F.lit(kind.k - kind.window), "hi": F.lit(0)}
+    different = _different(passages.withColumns(at_all))
+    marks = cut(_marks(different, _spans(different, kind, n)), "repeats-marks")
+    hits = passages.select("h", "q", "doc_id", "key", "firsts", "size").join(marks, ["h", "q"])
+    hits = hits.select("doc_id", "key", F.flatten(F.transform("firsts", lambda x: _taken(kind, x, x))).alias("spans")).where(F.size("spans") > 0)
     hits = hits.groupBy("doc_id", "key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
     def remove(batches):
@@ -249,4 +304,4 @@ def clean(docs: DataFrame, kind: Kind) -> DataFrame:
     key = F.xxhash64(docs["text"]) if repeated else F.lit(0).cast("long")
     named = kept.select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key"), F.col("kept_text").alias("_kept"))
     joined = docs.join(named, (docs["doc_id"] == named["_doc"]) & (key == named["_key"]), "left")
-    return joined.select(*(F.coalesce("_kept", docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns))
+    return joined.select(*(F.coalesce(named["_kept"], docs["text"]).alias("text") if c == "text" else docs[c] for c in docs.columns))

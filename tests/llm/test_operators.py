@@ -173,7 +173,7 @@ def brute_repeats(texts, words, window):
     return out
 
 
-@pytest.mark.parametrize("module, window, most", [(substring_dedup, 20, 1000), (substring_dedup, 3, 1), (suffix_dedup, 200, 1), (suffix_dedup, 30, 1000)])
+@pytest.mark.parametrize("module, window, most", [(substring_dedup, 20, 1000), (substring_dedup, 3, 1), (suffix_dedup, 200, 3), (suffix_dedup, 30, 1000)])
 def test_repeats(docs, empty, odd, module, window, most, monkeypatch):
     monkeypatch.setattr(repeats, "MOST", most)
     got = {i: (r["n_units"], r["n_removed"], r["kept_sha256"]) for i, r in by_id(module.deduplicate(docs, window)).items()}
@@ -182,6 +182,38 @@ def test_repeats(docs, empty, odd, module, window, most, monkeypatch):
     assert len(module.deduplicate(odd, window).collect()) == 4
 
 
+@pytest.mark.parametrize("module, window", [(substring_dedup, 20), (suffix_dedup, 200)])
+def test_repeats_of_hot_groups(spark, module, window, monkeypatch):
+    """Periodic texts, and many versions of one passage, so that its anchor's group is halved again and again."""
+    monkeypatch.setattr(repeats, "MOST", 100)
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    passage = prose(70)
+    texts = {i: prose(12) + " " + passage[: rng.randint(150, len(passage))] + prose(12) for i in range(600)}
+    texts |= {1000: "a" * 30_000, 1001: "x " * 10_000, 1002: "a" * 300, 1003: "b" * 200, 1004: "yz " * 66 + "q", 1005: prose(300)}
+    got = {i: (r["n_units"], r["n_removed"], r["kept_sha256"]) for i, r in by_id(module.deduplicate(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4), window)).items()}
+    words = module is substring_dedup
+    units = {i: t.encode().split() if words else t.encode() for i, t in texts.items()}
+    piece = lambda u, s: b" ".join(u[s : s + window]) if words else u[s : s + window]
+    first, count = {}, Counter()
+    for i in sorted(units):
+        for s in range(len(units[i]) - window + 1):
+            first.setdefault(piece(units[i], s), (i, s))
+            count[piece(units[i], s)] += 1
+    for i, u in units.items():
+        gone = np.zeros(len(u), bool)
+        for s in range(len(u) - window + 1):
+            if first[piece(u, s)] != (i, s) if words else count[piece(u, s)] > 1:
+                gone[s : s + window] = True
+        kept = b" ".join(x for x, g in zip(u, gone) if not g) if words else bytes(b for b, g in zip(u, gone) if not g)
+        assert got[i] == (len(u), int(gone.sum()), hashlib.sha256(kept).hexdigest()), i
+
+
+def test_cleaned_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "x" * 400, "k", 3), (2, "abc", None, 4)], "doc_id long, text string, _kept string, _key long")
+    assert [tuple(r) for r in suffix_dedup.cleaned(docs).orderBy("doc_id").collect()] == [(1, "", "k", 3), (2, "abc", None, 4)]
+
+
 def test_cleaned_keeps_columns(docs):
     got = by_id(suffix_dedup.cleaned(docs))
     assert len(got) == len(corpus()) and got[7]["text"] == "" and got[6]["n"] == 7 and got[0]["text"] is None and got[3]["text"] == "one"
