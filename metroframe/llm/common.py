@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,12 +26,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one of our own only where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="metroframe-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+    """The folder in spark.checkpoint.dir. Where it is unset, the warehouse, which a cluster's executors share as well."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -63,6 +61,38 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Tables:
+    """Tables of one step, deleted together once what is made from them has been written."""
+
+    def __init__(self) -> None:
+        self.held: list[DataFrame] = []
+
+    def cut(self, df: DataFrame, label: str) -> DataFrame:
+        self.held.append(cut(df, label))
+        return self.held[-1]
+
+    def forget(self) -> None:
+        for df in self.held:
+            forget(df)
+        self.held.clear()
+
+
+def trimmed(run):
+    """A function over record batches that gives what it no longer needs back to the system when it ends: workers live on, and share an executor's memory."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_WORDS, cut, read_bytes
+from .common import ASCII_WORDS, cut, read_bytes, trimmed
 from .winnow import covered
 
 #: Bytes of benchmark text that go to every task at once.
@@ -40,7 +40,7 @@ def _frequencies(docs: DataFrame, words: set[bytes]) -> dict[bytes, int]:
                 seen.update(filter(words.__contains__, words_of(raw)))
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    counted = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(trimmed(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(r["word"]): r["n"] for r in counted.collect()}  # no more rows than the part has words
 
 
@@ -80,7 +80,7 @@ def _hits(docs: DataFrame, items: list[tuple[str, list[bytes]]], window: int) ->
                 found.append(sorted(ids))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "key", "n_words", "spans", "items"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, n_words long, spans array<int>, items array<string>")
+    return docs.mapInArrow(trimmed(run), "doc_id long, key long, n_words long, spans array<int>, items array<string>")
 
 
 def _parts(benchmark: DataFrame):

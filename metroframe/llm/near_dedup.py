@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, read_bytes
+from .common import Tables, cut, forget, read_bytes, trimmed
 from .winnow import grams, word_units
 
 SHINGLE = 5
@@ -81,7 +81,7 @@ def _signed(docs: DataFrame, n_bands: int) -> DataFrame:
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, longs), pa.array(signatures, longs)], names=["doc_id", "key", "n", "digest", "bands", "signature"])
 
-    return docs.mapInArrow(run, SIGNED)
+    return docs.mapInArrow(trimmed(run), SIGNED)
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -113,13 +113,17 @@ def components(links: DataFrame) -> DataFrame:
     edges = cut(both, "near-edges")
     labels = cut(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "id"), "near-labels")
     while True:
+        old = labels
         other = labels.withColumnsRenamed({"id": "b", "component": "other"})
         least = edges.join(other, "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
         new = labels.join(least, "id").select("id", F.least("component", "other").alias("component"), F.col("component").alias("was"))
         jump = new.select(F.col("id").alias("component"), F.col("component").alias("root"))
         new = cut(new.join(jump, "component").select("id", F.col("root").alias("component"), (F.col("root") != F.col("was")).alias("moved")), "near-labels")
         labels = new.select("id", "component")
+        labels._scratch = new._scratch
+        forget(old)
         if new.where("moved").isEmpty():
+            forget(edges)
             return labels
 
 
@@ -138,7 +142,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             found = [shingles(raw or b"").view(np.int64) for raw in read_bytes(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.list_(pa.int64()))], names=["id", "found"])
 
-    return docs.mapInArrow(run, "id long, found array<long>")
+    return docs.mapInArrow(trimmed(run), "id long, found array<long>")
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -158,7 +162,7 @@ def _counted(docs: DataFrame) -> DataFrame:
     return partial.groupBy("group", "shingle").agg(F.sum("count").alias("count"))
 
 
-def _residual_pairs(apart: DataFrame, sets: DataFrame, percent: int, slack: float) -> DataFrame:
+def _residual_pairs(apart: DataFrame, sets: DataFrame, percent: int, slack: float, tables: Tables) -> DataFrame:
     """Pairs (a, b) to confirm among documents of open bands (band, id, component, n, signature) that are apart.
 
     Documents that share bands, directly or through others, are a group; a group's core is the shingles that over half of its
@@ -175,23 +179,24 @@ def _residual_pairs(apart: DataFrame, sets: DataFrame, percent: int, slack: floa
     """
     less, more = 100 - percent, 100 + percent
     first = apart.groupBy("band").agg(F.min("id").alias("b"))
-    group = components(apart.join(cut(first, "near-firsts"), "band").select(F.col("id").alias("a"), "b").distinct())
+    group = components(apart.join(tables.cut(first, "near-firsts"), "band").select(F.col("id").alias("a"), "b").distinct())
+    tables.held.append(group)
     heads = apart.select("id", "component", "n", "signature").dropDuplicates(["id"])
     heads = heads.join(group.select("id", F.col("component").alias("group")), "id").join(sets, "id")
-    heads = cut(heads, "near-heads")
+    heads = tables.cut(heads, "near-heads")
     sizes = heads.groupBy("group").agg(F.count("*").alias("total"))
-    counts = cut(_counted(heads.select("group", "found")).join(sizes, "group"), "near-counts")
+    counts = tables.cut(_counted(heads.select("group", "found")).join(sizes, "group"), "near-counts")
     common = F.col("count") * 2 > F.col("total")
     core = counts.where(common).groupBy("group").agg(F.collect_list("shingle").alias("core"))
     core = core.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = heads.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(cut(core, "near-cores"), ["group", "salt"], "left")
+    own = heads.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(tables.cut(core, "near-cores"), ["group", "salt"], "left")
     core = F.coalesce("core", F.array().cast("array<long>"))
     own = own.withColumn("residual", F.concat(F.array_except("found", core), F.array_except(core, "found")))
     own = own.withColumn("w", more * F.size("residual") - less * F.col("n"))
-    own = cut(own.select("group", "id", "component", "n", F.col("signature").alias("s"), "w", "residual"), "near-residuals")
+    own = tables.cut(own.select("group", "id", "component", "n", F.col("signature").alias("s"), "w", "residual"), "near-residuals")
 
     least = own.groupBy("group").agg(F.min(F.struct("w", F.col("id").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("s").alias("t"))).alias("x"))
-    least = cut(least.select("group", "x.b", "x.c", "x.m", "x.t").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "near-least")
+    least = tables.cut(least.select("group", "x.b", "x.c", "x.m", "x.t").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "near-least")
     salted = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     central = salted.join(least, ["group", "salt"]).where("component != c").where(_near(percent / 100, slack)).select(F.col("id").alias("a"), "b")
 
@@ -201,7 +206,7 @@ def _residual_pairs(apart: DataFrame, sets: DataFrame, percent: int, slack: floa
     # Places of one document alone count in the order and meet none.
     reach = F.floor(less * F.col("n") / percent).cast("int") + 1  # q * (n + m) is at most less * n / percent
     ends = places.groupBy("group", "id", "n").agg(order.alias("order")).select("group", "id", F.posexplode(F.slice("order", 1, reach)).alias("rank", "x")).where("x.rarity > 1")
-    ends = cut(ends.select("group", "id", "rank", F.col("x.place").alias("place")).join(own.drop("residual", "group"), "id"), "near-ends")
+    ends = tables.cut(ends.select("group", "id", "rank", F.col("x.place").alias("place")).join(own.drop("residual", "group"), "id"), "near-ends")
     few = ends.where(more * F.col("rank") <= less * F.col("n"))
     few = few.select("group", "place", F.col("id").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("w").alias("v"), F.col("rank").alias("at"))
     met = ends.join(few, ["group", "place"]).where((F.col("component") != F.col("c")) & (F.struct("v", "b") < F.struct("w", "id")))
@@ -227,7 +232,8 @@ def classes(docs: DataFrame, percent: int = 85, bands: int = BANDS, slack: float
     banded = firsts.select(F.col("doc_id").alias("id"), "key", "n", "signature", F.explode("bands").alias("band"))
     shared = cut(banded.groupBy("band").count().where("count > 1").select("band"), "near-bands")
     members = cut(banded.join(shared, "band", "left_semi"), "near-members")
-    texts = keyed.join(members.select(F.col("id").alias("doc_id"), "key").distinct(), ["doc_id", "key"], "left_semi")
+    wanted = cut(members.select(F.col("id").alias("doc_id"), "key").distinct(), "near-wanted")  # written, so that its size is known to the join
+    texts = keyed.join(wanted, ["doc_id", "key"], "left_semi")
     sets = cut(_sets(texts.select("doc_id", "text")).dropDuplicates(["id"]), "near-sets")
 
     same_id = signed.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("doc_id is not null and low != high")
@@ -240,25 +246,34 @@ def classes(docs: DataFrame, percent: int = 85, bands: int = BANDS, slack: float
         at = members if label is None else members.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
         at = at if label is not None else at.withColumn("component", F.col("id"))
         apart = at.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-        apart = cut(at.join(cut(apart.select("band"), "near-apart"), "band", "left_semi"), "near-open")
+        step_tables = Tables()
+        apart = step_tables.cut(at.join(step_tables.cut(apart.select("band"), "near-apart"), "band", "left_semi"), "near-open")
         if apart.isEmpty():
+            step_tables.forget()
             break
         if step < ROUNDS:
             pick = F.struct("id") if step == 0 else F.struct(F.xxhash64(F.col("id"), F.lit(step)), F.col("id"))
             leaders = apart.groupBy("band").agg(F.min(F.struct(pick.alias("order"), F.col("id").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("signature").alias("t"))).alias("lead"))
-            leaders = cut(leaders.select("band", "lead.b", "lead.c", "lead.m", "lead.t"), "near-leaders")
+            leaders = step_tables.cut(leaders.select("band", "lead.b", "lead.c", "lead.m", "lead.t"), "near-leaders")
             pairs = apart.withColumnRenamed("signature", "s").join(leaders, "band").where("component != c").where(_near(percent / 100, slack))
             best = F.collect_set(F.struct(estimate(F.col("s"), F.col("t")).alias("e"), (-F.col("b")).alias("minus")))  # at most one for each band
             best = pairs.groupBy(F.col("id").alias("a")).agg(F.slice(F.sort_array(best, asc=False), 1, LEADERS).alias("best"))
             pairs = best.select("a", F.explode("best").alias("x")).select("a", (-F.col("x.minus")).alias("b"))
         else:
-            pairs = _residual_pairs(apart, sets, percent, slack)
+            pairs = _residual_pairs(apart, sets, percent, slack, step_tables)
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         tried = pairs if tried is None else tried.union(pairs)
+        step_tables.forget()
         new = cut(_confirm(pairs, sets, percent), "near-links")
-        links = cut(links.union(new), "near-links")
+        before, links = links, cut(links.union(new), "near-links")
+        if label is not None:
+            forget(label)
         label = components(links)
         step = ROUNDS if step < ROUNDS and new.isEmpty() else step + 1  # if leaders find nothing, on to what is left
+        forget(before)
+        forget(new)
+    for df in (members, sets, wanted):
+        forget(df)
     if label is None and not links.isEmpty():
         label = components(links)
     owned = signed.join(grouped.select("digest", "id"), "digest", "left")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import token_ids
-from .common import cut, parallelism
+from .common import cut, parallelism, trimmed
 
 #: Rows of one shard on average, if there are partitions enough; more partitions make smaller shards.
 SHARD_DOCS = 2048
@@ -46,7 +46,7 @@ def encode(docs: DataFrame, tokenizer: str, vocabulary: int, spaced: bool, end:
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(least), pa.array([raw[w * a : w * b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary()), pa.nulls(len(batch), pa.list_(pa.int64()))], schema=schema)
         yield pa.RecordBatch.from_pydict({"doc_id": [None], "n": [0], "least": [0], "ids": [None], "frequencies": [seen]}, schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ENCODED)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), ENCODED)
 
 
 def corpus_frequencies(encoded: DataFrame, vocabulary: int) -> np.ndarray:
@@ -174,4 +174,4 @@ def pack(docs: DataFrame, tokenizer: str, vocabulary: int, spaced: bool = False,
 
     # In one order, so that a task that runs again after a loss packs its shard alike.
     dealt = rows.select("doc_id", "least", "ids").repartitionByRange(shards, "least", "doc_id").sortWithinPartitions("least", "doc_id", "ids")
-    return dealt.select("doc_id", "ids").mapInArrow(run, PIECES)
+    return dealt.select("doc_id", "ids").mapInArrow(trimmed(run), PIECES)

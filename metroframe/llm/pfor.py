@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import token_ids
-from .common import parallelism, running_offsets, scratch_path
+from .common import parallelism, running_offsets, scratch_path, trimmed
 
 MAGIC = b"PFOR1\0\0\0"
 BLOCK = 256

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, read_bytes
+from .common import cut, read_bytes, trimmed
 from .winnow import covered, grams, word_units
 
 SYMBOLS = b"#*$%&|<>"
@@ -125,7 +125,7 @@ def judge(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.int32())], names=names)
 
-    measured = cut(docs.select("doc_id", "text").mapInArrow(run, BASE), "quality")
+    measured = cut(docs.select("doc_id", "text").mapInArrow(trimmed(run), BASE), "quality")
     verdicts = docs.sparkSession.createDataFrame(list(_verdicts(measured).items()), "votes int, good double")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return measured.join(F.broadcast(verdicts), "votes").select(
@@ -151,4 +151,4 @@ def keep(docs: DataFrame) -> DataFrame:
             rows = [measure(t or b"") for t in read_bytes(batch["text"])]
             yield batch.filter(pa.array([r[0] >= 20 and 100 * r[4] <= 30 * r[0] and good[r[5]] >= 0.5 for r in rows], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

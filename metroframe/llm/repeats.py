@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget, parallelism, read_bytes
+from .common import cut, forget, parallelism, read_bytes, trimmed
 from .token_ids import runs as slices
 from .winnow import anchors, byte_units, covered, word_units
 
@@ -103,7 +103,7 @@ def _base(docs: DataFrame, kind: Kind) -> DataFrame:
             lists = pa.ListArray.from_arrays(offsets(per_doc), found)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), lists], names=["doc_id", "key", "n_units", "digest", "anchors"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, n_units long, digest string, anchors array<struct<h:long,places:array<long>>>")
+    return docs.mapInArrow(trimmed(run), "doc_id long, key long, n_units long, digest string, anchors array<struct<h:long,places:array<long>>>")
 
 
 def _passages(found: DataFrame, kind: Kind) -> DataFrame:
@@ -139,7 +139,7 @@ def _passages(found: DataFrame, kind: Kind) -> DataFrame:
                     names=["h", "passage", "lead", "doc_id", "key", "firsts", "size"],
                 )
 
-    return found.mapInArrow(run, "h long, passage binary, lead int, doc_id long, key long, firsts array<int>, size int").withColumn("q", F.xxhash64("passage"))
+    return found.mapInArrow(trimmed(run), "h long, passage binary, lead int, doc_id long, key long, firsts array<int>, size int").withColumn("q", F.xxhash64("passage"))
 
 
 def _compared(different: DataFrame, kind: Kind, shards: int) -> DataFrame:
@@ -188,7 +188,7 @@ def _halves(hot: DataFrame, kind: Kind) -> DataFrame:
             )
 
     made = hot.select("h", "q", "passage", "lead", "size", "lo", "hi", "n", "doc_id", "first")
-    made = made.mapInArrow(run, "up_h long, up_q long, h long, passage binary, lead int, size int, at int, lo int, hi int, n long, doc_id long, first int")
+    made = made.mapInArrow(trimmed(run), "up_h long, up_q long, h long, passage binary, lead int, size int, at int, lo int, hi int, n long, doc_id long, first int")
     return made.withColumn("q", F.xxhash64("passage")).withColumn("first", F.col("first") + F.col("at"))
 
 
@@ -279,7 +279,7 @@ def find(docs: DataFrame, kind: Kind, text: bool = False) -> tuple[DataFrame, Da
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["key"], *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string())))], names=["doc_id", "key", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     once = found.select("doc_id", "key", "text").join(hits, ["doc_id", "key"])
-    changed = once.mapInArrow(remove, "doc_id long, key long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    changed = once.mapInArrow(trimmed(remove), "doc_id long, key long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     return base, changed, repeated
 
 
