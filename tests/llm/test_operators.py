@@ -311,6 +311,54 @@ def test_mixing(docs, empty, odd):
     assert mixing.score(empty).collect() == [] and len(mixing.score(odd).collect()) == 4
 
 
+def test_mixing_follows_copies(spark):
+    """A held-out copy costs far less than its words alone; a training document does not follow itself."""
+    rng = random.Random(2)
+    prose = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400))
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    train = [i for i in range(200) if i not in held and zlib.crc32(str(i).encode()) % 7 != 2][:3]
+    texts = {i: prose() for i in train} | {held[1]: prose()}
+    texts[held[0]] = texts[train[0]]
+    got = {r["doc_id"]: r["score"] for r in mixing.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got[held[0]] > 0.3 * got[train[0]] and got[held[0]] > 0.3 * got[held[1]]
+
+
+def test_mixing_against_plain_loops():
+    rng = np.random.default_rng(1)
+    offsets = np.array([0, 3, 3, 40, 60])
+    guess, tokens = rng.integers(0, 3, 60).astype(np.uint32), rng.integers(1, 3, 60).astype(np.uint32)
+    hit, bits = mixing.followed(guess, tokens, offsets)
+    for a, b in zip(offsets, offsets[1:]):
+        row = 0
+        for i in range(a, b):
+            right = (row + 1.5) / (row + 2)
+            want = 0.0 if guess[i] == 0 else -math.log2(right if guess[i] == tokens[i] else 1 - right)
+            assert hit[i] == (guess[i] != 0 and guess[i] == tokens[i]) and math.isclose(bits[i], want, abs_tol=1e-12)
+            row = row + 1 if hit[i] else 0
+
+    begins, n = np.array([0, 2500, 2500, 2900]), 2900
+    bits, depth = rng.integers(0, 2, n).astype(np.uint8), rng.integers(0, 30, n).astype(np.uint8)
+    stretched = [rng.normal(size=n).astype(np.float32) for _ in range(3)]
+    got = mixing.mix(stretched, bits, depth, begins)
+    squash = lambda x: 1 / (1 + math.exp(-x))
+    for text, (a, b) in enumerate(zip(begins, begins[1:])):
+        cost = 0.0
+        for i in range(a, b):
+            if (i - a) % mixing.SEGMENT == 0:
+                weights = [[0.1, 0.3, 0.6] for _ in range(mixing.GATES)]
+                fine = [squash(x) for x in np.linspace(-8, 8, mixing.BUCKETS)]
+            w, x = weights[min(depth[i], mixing.GATES - 1)], [float(s[i]) for s in stretched]
+            mixed = min(8.0, max(-8.0, sum(u * v for u, v in zip(w, x))))
+            p = squash(mixed)
+            for k in range(3):
+                w[k] += mixing.RATE * (bits[i] - p) * x[k]
+            j = int((mixed + 8) * (mixing.BUCKETS - 1) / 16 + 0.5)
+            final = min(1 - 1e-5, max(1e-5, 0.75 * p + 0.25 * fine[j]))
+            fine[j] += (bits[i] - fine[j]) / 64
+            cost -= math.log2(final if bits[i] else 1 - final)
+        assert math.isclose(got[text], cost, rel_tol=2e-3, abs_tol=1e-9)
+
+
 def test_mixing_code_is_a_probability():
     code = mixing.Code(np.array([5, 9, 3], np.uint64), [4, 2, 9, 7, 1])
     assert math.isclose(sum(2.0 ** -int(n) for n in code.length), 1)
