@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mobility, profiling, relations, retrieval, series
 from ..sources.tables import load
-from . import activity, business, scenes, streams
+from . import activity, business, files, overviews, risk, scalars, scenes, searches, streams, trajectories
 
 
 def _events(spark, folder):
@@ -105,7 +105,9 @@ QUERIES = {
         shared_partners, hops, subject_metrics, screening_score, daily_series, rolling_anomalies, seasonal_forecast, nearest_centroid, rank_fusion,
     )
 }
-QUERIES |= activity.QUERIES | business.QUERIES | scenes.QUERIES | streams.QUERIES
+FAMILIES = (activity, business, scenes, streams, scalars, files, searches, risk, overviews, trajectories)
+for _family in FAMILIES:
+    QUERIES |= _family.QUERIES
 
 _PROFILE = " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count({c})::DOUBLE AS n, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS deviation, round(min({c}), 6) AS least, round(quantile_cont({c}, 0.25), 6) AS q25, round(quantile_cont({c}, 0.5), 6) AS median, round(quantile_cont({c}, 0.75), 6) AS q75, round(max({c}), 6) AS most, count(*) FILTER ({c} IS NULL)::DOUBLE AS nulls FROM lineitem"
@@ -153,4 +155,5 @@ ORACLE_SQL = {
     "rank_fusion": """WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer), b AS (SELECT o_custkey AS c_custkey, row_number() OVER (ORDER BY round(sum(o_totalprice), 2) DESC, o_custkey) AS r FROM orders GROUP BY 1)
         SELECT c_custkey, round(sum(1.0::DOUBLE / (60 + r)), 8) AS score FROM (SELECT * FROM a WHERE r <= 50 UNION ALL SELECT * FROM b WHERE r <= 50) GROUP BY 1""",
 }
-ORACLE_SQL |= activity.ORACLE_SQL | business.ORACLE_SQL | scenes.ORACLE_SQL | streams.ORACLE_SQL
+for _family in FAMILIES:
+    ORACLE_SQL |= _family.ORACLE_SQL
