@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
 OPS = {
     "=": lambda c, v: c == v,
     "!=": lambda c, v: c != v,
@@ -26,12 +28,14 @@ def property_filter(df: DataFrame, conditions: list[tuple]) -> DataFrame:
 
 
 def condition_matches(df: DataFrame, key: str, conditions: dict[str, tuple[str, float]]) -> DataFrame:
-    """match_<name> for each {name: (column, quantile)}: the value is at least that quantile of its column; and how many match.
-
-    The thresholds are one row, whatever the size of the input."""
-    limits = df.agg(*(F.round(F.percentile(c, F.lit(q)), 6).alias(f"_{n}") for n, (c, q) in conditions.items()))
-    flags = df.crossJoin(F.broadcast(limits)).select(key, *((F.col(c) >= F.col(f"_{n}")).alias(f"match_{n}") for n, (c, _) in conditions.items()))
-    return flags.withColumn("hits", sum(F.coalesce(F.col(f"match_{n}").cast("int"), F.lit(0)) for n in conditions))
+    """match_<name> for each {name: (column, quantile)}: the value is at least that quantile of its column (null: false); and how many match."""
+    flags = df
+    names = []
+    for n, (c, q) in conditions.items():
+        (limit,) = ranks.quantiles(df, c, [q])
+        flags = flags.withColumn(f"match_{n}", F.coalesce(F.col(c) >= F.round(F.lit(limit).cast("double"), 6), F.lit(False)))
+        names.append(f"match_{n}")
+    return flags.select(key, *names).withColumn("hits", sum(F.col(n).cast("int") for n in names))
 
 
 def condition_audit(matches: DataFrame, names: list[str]) -> DataFrame:
@@ -45,9 +49,9 @@ def condition_audit(matches: DataFrame, names: list[str]) -> DataFrame:
 
 def levels(df: DataFrame, column: str, steps: dict[float, str], rest: str) -> DataFrame:
     """level: the name of the highest quantile that the value reaches."""
-    limits = df.agg(*(F.round(F.percentile(column, F.lit(q)), 6).alias(f"_q{i}") for i, q in enumerate(steps)))
+    named = sorted(steps.items(), reverse=True)
+    limits = ranks.quantiles(df, column, [q for q, _ in named])
     level = F.lit(rest)
-    for i, (_, name) in reversed(list(enumerate(sorted(steps.items(), reverse=True)))):
-        at = list(steps).index(sorted(steps, reverse=True)[i])
-        level = F.when(F.col(column) >= F.col(f"_q{at}"), F.lit(name)).otherwise(level)
-    return df.crossJoin(F.broadcast(limits)).withColumn("level", level).select(*df.columns, "level")
+    for (_, name), limit in reversed(list(zip(named, limits))):
+        level = F.when(F.col(column) >= F.round(F.lit(limit).cast("double"), 6), F.lit(name)).otherwise(level)
+    return df.withColumn("level", level)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, mean, sample deviation, min, quartiles, max and nulls of each column, rounded to six places."""
@@ -13,14 +15,16 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
         "mean": F.avg,
         "deviation": F.stddev_samp,
         "least": lambda c: F.min(c).cast("double"),
-        "q25": lambda c: F.percentile(c, F.lit(0.25)),
-        "median": lambda c: F.percentile(c, F.lit(0.5)),
-        "q75": lambda c: F.percentile(c, F.lit(0.75)),
         "most": lambda c: F.max(c).cast("double"),
         "nulls": lambda c: F.count_if(F.col(c).isNull()).cast("double"),
     }
-    wide = df.agg(*(F.struct(F.lit(c).alias("column_name"), *(F.round(f(c), 6).alias(m) for m, f in measures.items())).alias(c) for c in columns))
-    return wide.select(F.explode(F.array(*columns)).alias("p")).select("p.*")
+    order = ("n", "mean", "deviation", "least", "q25", "median", "q75", "most", "nulls")
+    rows = []
+    for c in columns:
+        made = {m: F.round(f(c), 6) for m, f in measures.items()}
+        made |= {m: F.round(F.lit(v).cast("double"), 6) for m, v in zip(("q25", "median", "q75"), ranks.quantiles(df, c, [0.25, 0.5, 0.75]))}
+        rows.append(F.struct(F.lit(c).alias("column_name"), *(made[m].alias(m) for m in order)).alias(c))
+    return df.agg(*rows).select(F.explode(F.array(*(f"`{c}`" for c in columns))).alias("p")).select("p.*")
 
 
 def categorical_profile(df: DataFrame, columns: list[str]) -> DataFrame:

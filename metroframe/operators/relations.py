@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
+from . import ranks
+
 
 def contact_pairs(edges: DataFrame, src: str, dst: str) -> DataFrame:
     """Undirected pairs without loops, with their number of contacts."""
@@ -25,7 +28,7 @@ def hops(edges: DataFrame, src: str, dst: str, seeds: DataFrame, depth: int) ->
     border = reached
     for hop in range(1, depth + 1):
         new = border.join(steps, "node").select(F.col("next").alias("node")).distinct().join(reached, "node", "left_anti")
-        border = new.withColumn("hop", F.lit(hop))
+        border = cut(edges.sparkSession, new.withColumn("hop", F.lit(hop)))  # written, so that no later step makes it again
         reached = reached.unionByName(border)
     return reached
 
@@ -45,12 +48,6 @@ def subject_metrics(events: DataFrame, user: str, category: str, ts: str, value:
 
 def screening_score(metrics: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Metrics with the weighted sum of their percent ranks, ties at their mean rank. Ranks come from counts of each different value, not of rows."""
-    scored = metrics
-    total = metrics.agg(F.count("*").alias("_all"))
-    score = F.lit(0.0)
-    for c, w in weights.items():
-        counts = metrics.groupBy(c).agg(F.count("*").alias("_n"))
-        ranks = counts.select(c, ((F.sum("_n").over(Window.orderBy(c)) - F.col("_n") + (F.col("_n") + 1) / 2)).alias(f"_rank_{c}"))
-        scored = scored.join(ranks, c)
-        score = score + w * F.col(f"_rank_{c}") / F.col("_all")
-    return scored.crossJoin(F.broadcast(total)).withColumn("screening_score", F.round(score, 4)).select(*metrics.columns, "screening_score")
+    ranked = ranks.percent_ranks(metrics, {c: f"_rank_{c}" for c in weights})
+    score = sum((w * F.col(f"_rank_{c}") for c, w in weights.items()), F.lit(0.0))
+    return ranked.withColumn("screening_score", F.round(score, 4)).select(*metrics.columns, "screening_score")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.calendar import is_night
+
 
 def daily_activity(events: DataFrame, user: str, ts: str) -> DataFrame:
     """Events, distinct users and the share between 22 and 6 o'clock of each day."""
-    night = ((F.hour(ts) >= 22) | (F.hour(ts) <= 6)).cast("double")
+    night = is_night(F.col(ts)).cast("double")
     return events.groupBy(F.to_date(ts).alias("ds")).agg(F.count("*").alias("n_events"), F.count_distinct(user).alias("n_users"), F.round(F.avg(night), 6).alias("night_ratio"))
 
 

@@ -18,7 +18,7 @@ DAILY = """counts AS (SELECT event_type AS unique_id, ts::DATE AS ds, count(*) A
     series AS (SELECT unique_id, ds, coalesce(y, 0) AS y FROM span LEFT JOIN counts USING (unique_id, ds))"""
 METRICS = """SELECT user_id, count(*) AS n_events, round(avg((hour(ts) >= 22 OR hour(ts) <= 6)::INT::DOUBLE), 6) AS night_ratio, round(avg(value), 4) AS mean_value FROM events GROUP BY 1"""
 MATCHES = f"""m AS ({METRICS}), t AS (SELECT round(quantile_cont(n_events, 0.9), 6) AS a, round(quantile_cont(night_ratio, 0.75), 6) AS b, round(quantile_cont(mean_value, 0.8), 6) AS c FROM m),
-    f AS (SELECT user_id, n_events >= a AS match_busy, night_ratio >= b AS match_nightly, mean_value >= c AS match_costly FROM m, t)"""
+    f AS (SELECT user_id, coalesce(n_events >= a, false) AS match_busy, coalesce(night_ratio >= b, false) AS match_nightly, coalesce(mean_value >= c, false) AS match_costly FROM m, t)"""
 POINTS = "SELECT *, 30 + ((user_id * 7919 + event_id * 104729) % 100000) / 1e5::DOUBLE AS lat, 120 + ((user_id * 15485863 + event_id * 32452843) % 100000) / 1e5::DOUBLE AS lon FROM events"
 CONDITIONS = {"busy": ("n_events", 0.9), "nightly": ("night_ratio", 0.75), "costly": ("mean_value", 0.8)}
 
@@ -53,7 +53,7 @@ def condition_audit(spark, folder):
     return filters.condition_audit(_matches(spark, folder), list(CONDITIONS))
 
 
-@query("SELECT ts::DATE AS ds, count(*) AS n_events, count(DISTINCT user_id) AS n_users, round(avg((hour(ts) >= 22 OR hour(ts) <= 6)::INT::DOUBLE), 6) AS night_ratio FROM events GROUP BY 1")
+@query("SELECT ts::DATE AS ds, count(*) AS n_events, count(DISTINCT user_id) AS n_users, round(avg((hour(ts) >= 22 OR hour(ts) < 6)::INT::DOUBLE), 6) AS night_ratio FROM events GROUP BY 1")
 def daily_activity(spark, folder):
     return trends.daily_activity(events(spark, folder), "user_id", "ts")
 

@@ -1,6 +1,5 @@
 """Tables by name in a folder of Parquet, and tables written to cut lineage."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,16 +10,16 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that spark.checkpoint.dir names; a temporary folder only where it is unset, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder that spark.checkpoint.dir names (where it is unset, in the warehouse, which executors share as well); it goes when the session's JVM ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{shared}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     """The same rows, written and read again."""
     path = scratch(spark, "table")
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
