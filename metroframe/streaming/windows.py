@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def window_counts(stream: DataFrame, key: str, ts: str, width: str, lateness: str) -> DataFrame:
-    """Rows of each key in each window (key, start, n). State of windows older than the lateness is dropped, and so are rows that come later still."""
-    timed = stream.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("_ts")).withWatermark("_ts", lateness)
+def window_counts(stream: DataFrame, key: str, ts: str, width: str, lateness: str | None = None) -> DataFrame:
+    """Rows of each key in each window (key, start, n). With a lateness, state of older windows is dropped, and so are rows that come later still; without, all rows count and all windows stay."""
+    timed = stream.select(F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("_ts"))
+    timed = timed.withWatermark("_ts", lateness) if lateness else timed
     return timed.groupBy(F.window("_ts", width).alias("w"), "key").agg(F.count("*").alias("n")).select("key", F.col("w.start").alias("start"), "n")
 
 
