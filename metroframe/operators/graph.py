@@ -44,6 +44,26 @@ def strongest_partner(edges: DataFrame, member: str, partner: str) -> DataFrame:
     return counted.groupBy(member).agg(best).select(member, F.col("b.p").alias("partner"), (-F.col("b.n")).alias("times"))
 
 
+#: A node with more links than this, and than one in so many of all links, has its join spread over SALTS tasks; there are at most HEAVY such nodes.
+HEAVY, SALTS = 50_000, 64
+
+
+def _to_least(rows: DataFrame, n_links: int, kept: str | None) -> DataFrame:
+    """For rows (u, v), those that are kept of them, the pairs (v, m), m the least of u and all its v.
+
+    The least is found by a grouping with partial results. Nodes with most of the links, which a large component has many of towards its end, are marked by a broadcast of
+    those nodes alone (their number has a bound, see HEAVY), and their rows meet copies of the one row that they need under a salted key."""
+    found = rows.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n"))
+    rows = rows.where(kept) if kept else rows
+    bound = max(HEAVY, n_links // HEAVY)
+    if n_links <= bound:
+        return rows.join(found, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    heavy = found.where(F.col("_n") > bound).select("u", F.lit(SALTS).alias("_salts"))
+    salted = rows.join(F.broadcast(heavy), "u", "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("v"), F.col("_salts")), F.lit(0)).cast("int"))
+    copies = found.withColumn("_salt", F.explode(F.when(F.col("_n") > bound, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(copies, ["u", "_salt"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, src: str, dst: str) -> DataFrame:
     """Each node with the least node of its component. Nulls are no nodes; a loop makes a component of one.
 
@@ -53,17 +73,17 @@ def connected_components(spark: SparkSession, edges: DataFrame, src: str, dst: s
     valid = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
     nodes = cut(spark, valid.select(F.explode(F.array("u", "v")).alias("node")).distinct())
     links = cut(spark, valid.where("u != v").distinct())
-    state = None
+    state, n_links = None, links.count()
     while True:
         both = links.union(links.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = cut(spark, large)
+        larger = _to_least(both, 2 * n_links, "v > u")
+        large = cut(spark, larger.where("u != v").distinct())
+        n_large = large.count()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").union(least.select("u", F.col("m").alias("v"))).distinct()
+        small = _to_least(large, n_large, None).where("u != v").union(least.select("u", F.col("m").alias("v"))).distinct()
         links = cut(spark, small)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
-        state = now
+        state, n_links = now, now[0]
     return nodes.join(links.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

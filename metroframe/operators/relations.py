@@ -14,10 +14,22 @@ def contact_pairs(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return edges.where(F.col(src) != F.col(dst)).groupBy(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).agg(F.count("*").alias("contacts"))
 
 
+#: Members of one partner that meet others in one task.
+BLOCK = 2048
+
+
 def shared_partners(edges: DataFrame, member: str, partner: str, least: int) -> DataFrame:
-    """Pairs of members with at least so many partners in common. Edges are made distinct before they meet."""
-    one = edges.select(F.col(partner).alias("p"), F.col(member).alias("a")).distinct()
-    pairs = one.join(one.withColumnRenamed("a", "b"), "p").where("a < b")
+    """Pairs of members with at least so many partners in common. Edges are made distinct before they meet.
+
+    A partner's members are dealt into blocks of about BLOCK, and each pair of blocks is a key of its own, so a popular partner is spread over many tasks.
+    Every pair that the question asks for is made, k * (k - 1) / 2 of them for a partner of k members; they are added up before they are dealt by pair."""
+    one = edges.where(F.col(partner).isNotNull() & F.col(member).isNotNull()).select(F.col(partner).alias("p"), F.col(member).alias("a")).distinct()
+    blocks = one.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks")).where("_blocks > 1")
+    dealt = one.join(blocks, "p", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("a"), "_blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    left = dealt.select("p", "a", F.col("_own").alias("_i"), other.alias("_j"))
+    right = dealt.select("p", F.col("a").alias("b"), other.alias("_i"), F.col("_own").alias("_j"))
+    pairs = left.join(right, ["p", "_i", "_j"]).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 

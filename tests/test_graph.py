@@ -1,7 +1,10 @@
 """Connected components against a plain union of sets."""
 
 import random
+from collections import Counter
+from itertools import combinations
 
+from metroframe.operators import graph, relations, series
 from metroframe.operators.graph import connected_components
 
 
@@ -32,3 +35,27 @@ def test_components(spark):
     chance.shuffle(edges)
     assert found(spark, edges) == components(edges)
     assert found(spark, []) == {}
+
+
+def test_popular_nodes(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HEAVY", 3)
+    edges = [(1, i) for i in range(2, 60)] + [(i, i + 100) for i in range(2, 30)] + [(500, 501)]
+    assert found(spark, edges) == components(edges)
+
+
+def test_popular_partner(spark, monkeypatch):
+    monkeypatch.setattr(relations, "BLOCK", 4)
+    edges = [(m, "all") for m in range(25)] + [(m, "even") for m in range(0, 25, 2)] + [(3, "all"), (None, "all"), (4, None), (7, "one")]
+    of = {}
+    for m, p in set(edges) - {(None, "all"), (4, None)}:
+        of.setdefault(p, set()).add(m)
+    want = Counter(pair for members in of.values() for pair in combinations(sorted(members), 2))
+    rows = relations.shared_partners(spark.createDataFrame(edges, "m long, p string"), "m", "p", 1).collect()
+    assert {(r["a"], r["b"]): r["shared"] for r in rows} == want and len(rows) == len(want)
+
+
+def test_spacing(spark):
+    hours = [0.0, 0.0, 10.0, 20.0, 7199.0, 7200.0, 7210.0, 90000.0, None]
+    rows = spark.createDataFrame([("a", h) for h in hours] + [("b", 5.0), (None, 1.0), (None, 4.0)], "k string, s double").selectExpr("k", "timestamp_seconds(s) AS ts")
+    got = {r["unique_id"]: (r["seconds"], r["n"]) for r in series.spacing(rows, "k", "ts").collect()}
+    assert got == {"a": (10.0, 3), None: (3.0, 1)}
