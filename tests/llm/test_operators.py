@@ -153,6 +153,17 @@ def test_decontamination_without_ids(spark, monkeypatch, part_bytes):
     assert got == Counter({(None, 47, 36, 12, True): 1, (None, 4, 3, 1, True): 1, (None, 3, 3, 1, True): 2, (None, 0, 0, 0, False): 1, (7, 47, 36, 12, True): 1})
 
 
+def test_decontamination_of_repeated_words(spark, monkeypatch):
+    """Equal words, alternating ones, and a rare word in many windows take time in proportion to their number."""
+    monkeypatch.setattr(decontamination, "STEP", 1000)
+    varied = " ".join("rare v%d" % i for i in range(3000))
+    benchmark = spark.createDataFrame([(1, "a " * 20_000), (2, "a b " * 5000), (3, varied), (4, "a"), (5, "A\tb")], "item_id long, text string")
+    rows = [(1, "a " * 50_000), (2, "b a " * 6 + "b"), (3, "rare " * 20_000), (4, varied + " c" * 1000), (5, "b b"), (6, "a " * 12 + "c")]
+    found = by_id(decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), benchmark))
+    got = {i: (r["n_words"], r["n_hit"], r["n_items"]) for i, r in found.items()}
+    assert got == {1: (50_000, 50_000, 2), 2: (13, 13, 3), 3: (20_000, 0, 0), 4: (7000, 6000, 1), 5: (2, 0, 0), 6: (13, 12, 1)}
+
+
 def brute_repeats(texts, words, window):
     units = {i: ((t or "").encode().split() if words else (t or "").encode()) for i, t in texts.items()}
     first, count = {}, Counter()
