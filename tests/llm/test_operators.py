@@ -301,6 +301,37 @@ def test_quality(docs, empty, odd):
     assert quality.judge(empty).collect() == [] and len(quality.judge(odd).collect()) == 4 and quality.keep(empty).collect() == []
 
 
+def test_quality_against_plain_em(docs):
+    """The posterior of each document, from an expectation-maximisation that walks the documents one by one."""
+    texts = dict(corpus())
+    votes = {i: [quality.measure((t or "").encode())[5] // 3**r % 3 for r in range(len(quality.RULES))] for i, t in texts.items()}
+    share = [[[v] * len(quality.RULES) for v in row] for row in ((0.4, 0.4, 0.2), (0.02, 0.48, 0.5))]
+    prior = 0.8
+    for _ in range(200):
+        good = {}
+        for i, cast in votes.items():
+            odds = math.log(prior / (1 - prior)) + sum(math.log(share[1][v][r] / share[0][v][r]) for r, v in enumerate(cast))
+            good[i] = 1 / (1 + math.exp(-odds))
+        new = [[[0.0] * len(quality.RULES) for _ in range(3)] for _ in range(2)]
+        for r in range(len(quality.RULES)):
+            for c in range(2):
+                weight = [2 + sum((p if c else 1 - p) for i, p in good.items() if votes[i][r] == v) for v in range(3)]
+                for v in range(3):
+                    new[c][v][r] = weight[v] / sum(weight)
+            new[1][0][r] = min(max(new[1][0][r], 0.01), max(new[0][0][r], 0.02) / 2)
+            new[0][2][r] = min(new[0][2][r], new[1][2][r])
+            new[0][1][r] = new[1][1][r] = 1
+        prior = min(max((sum(good.values()) + 8) / (len(good) + 10), 0.5), 0.99)
+        moved = max(abs(a - b) for x, y in zip(new, share) for p, q in zip(x, y) for a, b in zip(p, q))
+        share = new
+        if moved < 1e-9:
+            break
+    got = by_id(quality.judge(docs))
+    for i, r in got.items():
+        assert abs(r["good"] - good[i]) < 1e-6 and r["kept"] == (not r["base_failed"] and good[i] >= 0.5)
+    assert len({r["kept"] for r in got.values()}) == 2 and any(0.01 < g < 0.99 for g in good.values())
+
+
 def test_licenses(docs, empty, odd):
     got = by_id(licenses.scan(docs))
     hits = {i for i, t in corpus() if t and "MIT" in t}
@@ -445,6 +476,32 @@ def test_packing(docs, empty, odd):
     assert packing.pack(empty, path, 49408).collect() == [] and sum(r["length"] for r in packing.pack(odd, path, 49408).collect()) == 22
 
 
+def test_packing_scores_against_plain_bm25():
+    texts = [np.array([*ids, 2]) for _, ids in sorted(encoded("word_bpe_49k.json").items())]
+    n, df = len(texts), Counter(t for x in texts for t in set(x.tolist()))
+    idf = {t: math.log(1 + (n - c + 0.5) / (c + 0.5)) for t, c in df.items()}
+    index = packing.Inverted(texts, np.array([idf.get(t, 0) for t in range(49408)]))
+    mean = sum(map(len, texts)) / n
+    for seed in range(0, n, 7):
+        query = sorted(set(texts[seed].tolist()), key=lambda t: (-idf[t], t))[: packing.QUERY_TOKENS]
+        expected = []
+        for x in texts:
+            tf = Counter(x.tolist())
+            expected.append(sum(idf[t] * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t in query))
+        assert np.allclose(index.scores(seed), expected)
+
+
+def test_packing_brings_neighbours_together(spark):
+    """Documents on one subject share a shard, and so sequences, though their ids are far apart."""
+    rng = random.Random(8)
+    texts = [[*rng.sample(range(5 * (i % 40), 5 * (i % 40) + 5), 4), *rng.sample(range(200, 250), 20), 250] for i in range(400)]
+    df = np.bincount([t for x in texts for t in x], minlength=300)
+    rows = spark.createDataFrame([(i, np.array(x, "<u2").tobytes()) for i, x in enumerate(texts)], "doc_id long, ids binary")
+    found = packing.keyed(rows, packing.orders(df, 400), "<u2").orderBy("key", "doc_id").collect()
+    beside = sum(a["doc_id"] % 40 == b["doc_id"] % 40 for a, b in zip(found, found[1:]))
+    assert len(found) == 400 and beside > 200
+
+
 def test_pipeline(spark, tmp_path):
     """Junk goes, one of the near copies stays, the contaminated document goes, clean ones stay."""
     import corpus_pipeline
