@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -339,6 +340,31 @@ def test_licenses(docs, empty, odd):
     assert len(got) == len(corpus()) and licenses.scan(empty).collect() == [] and len(licenses.scan(odd).collect()) == 4
 
 
+def test_licenses_over_lines(spark):
+    """Wrapped notices in comments, licence files and paragraphs; the SQL gives the same rows."""
+    duckdb = pytest.importorskip("duckdb")
+    text = dict(enumerate(t for _, t in licenses.TEMPLATES))
+    wrap = lambda t, mark: "\n".join(mark + line for line in textwrap.wrap(t, 60))
+    gpl, isc, mit = (next(t for k, t in licenses.TEMPLATES if k == name and len(t) > 150) for name in ("GPL-3.0", "ISC", "MIT"))
+    rows = [
+        (1, "#!/bin/sh\n#\n" + wrap(gpl, "# ") + "\n#\nrun and run again\nuntil it is done\n"),
+        (2, "MIT License\n\nCopyright (c) 2020 Some One\n\n" + wrap(mit, "") + "\n \n" + "what follows is\nno licence at all " * 40),
+        (3, "/*\n" + wrap(isc, " * ") + "\n */\n\n\nint main;\nint other;"),
+        (4, "\n\nsome words\nover lines\n\nand more\nof them\n"),
+        (5, wrap(text[0], "")),
+        (6, "é\n—\n" + wrap(gpl, "") + "\n…\nü\r\n\r\nlast"),
+        (7, ""),
+        (8, None),
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r["license"] for i, r in got.items()} == {1: "GPL-3.0", 2: "MIT", 3: "ISC", 4: None, 5: "MIT", 6: "GPL-3.0", 7: None, 8: None}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    same = {r[0]: r for r in con.execute("SELECT doc_id, license, dice, template, n_matches FROM (" + licenses.oracle_sql() + ")").fetchall()}
+    assert {i: tuple(r[c] for c in ("doc_id", "license", "dice", "template", "n_matches")) for i, r in got.items()} == same
+
+
 def test_mixing(docs, empty, odd):
     got = by_id(mixing.score(docs))
     tokens = {i: [w.lower() for w in WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))] + [None] for i, t in corpus()}
