@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licenses, mixing, near_dedup, packing, pfor, quality, sharding, substring_dedup, suffix_dedup, token_ids
+from . import collocations, decontamination, exact_dedup, hard_negatives, licenses, mixing, near_dedup, packing, pfor, quality, sharding, substring_dedup, suffix_dedup, token_ids
 from .common import documents, table
 
 
@@ -51,8 +51,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), token_ids.vocabulary("word_bpe_49k.json"), vocabulary=49408, spaced=False, end=2, window=4096)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.quantised(table(spark, sf_dir, "embeddings")))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(documents(spark, sf_dir), stays="largest")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_decontamination, op3_substring_dedup, op4_suffix_dedup, op5_near_dedup, op6_quality, op7_license_scan, op8_mixing, op9_token_ids, op10_packing)
+    for f in (
+        op1_sharding, op2_decontamination, op3_substring_dedup, op4_suffix_dedup, op5_near_dedup, op6_quality, op7_license_scan, op8_mixing, op9_token_ids, op10_packing,
+        op11_hard_negatives, op12_exact_dedup, op13_collocations,
+    )
+}
+ORACLE_SQL = {
+    "op7_license_scan": licenses.oracle_sql(),
+    "op11_hard_negatives": hard_negatives.oracle_sql(),
+    "op12_exact_dedup": exact_dedup.oracle_sql(),
+    "op13_collocations": collocations.oracle_sql(),
 }
-ORACLE_SQL = {"op7_license_scan": licenses.oracle_sql()}
