@@ -213,7 +213,7 @@ def mine(rows: DataFrame, positives: int = 5, negatives: int = 10, low: int = 30
         asked = Asked(_matrix(list(part["vector"])), *numbers, np.arange(n), np.full(n, LEAST), np.full(n, MOST), *(np.zeros(n, np.int64) for _ in range(3)))
         near = ranked(search(buckets, asked, positives, True), positives).orderBy("anchor_row", "rank").toPandas()
         score = near["score"].to_numpy(np.int64)
-        limits = [np.array([f(int(s)) for s in score], np.int64) for f in (lambda s: -(-low * s // 100), lambda s: high * s // 100)]
+        limits = [np.array([max(LEAST, min(MOST, f(int(s)))) for s in score], np.int64) for f in (lambda s: -(-low * s // 100), lambda s: high * s // 100)]
         at = np.searchsorted(asked.rows, near["anchor_row"].to_numpy(np.int64))
         windows = Asked(asked.vectors, *numbers, at, *limits, near["row"].to_numpy(np.int64), near["id"].to_numpy(np.int64), score)
         out.append(cut(ranked(search(buckets, windows, negatives, False), negatives), "negatives"))
