@@ -68,11 +68,11 @@ def _frequencies(docs: DataFrame, words: np.ndarray) -> np.ndarray:
 class Index:
     """The windows of a part's items, in sorted arrays; equal windows are one entry with all their items."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int, frequencies) -> None:
-        """items: (id, normal text with words); frequencies: of sorted hashes of words in the corpus."""
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int, frequencies) -> None:
+        """items: (id or none, normal text with words); frequencies: of sorted hashes of words in the corpus."""
         self.texts = [raw for _, raw in items]
-        self.names = sorted({name for name, _ in items})
-        name_of = {name: i for i, name in enumerate(self.names)}
+        self.names = sorted({name for name, _ in items} - {None})
+        name_of = {None: -1} | {name: i for i, name in enumerate(self.names)}
         split = [word_units(raw) for raw in self.texts]
         words = np.unique(np.concatenate([units for units, _, _ in split])) if split else np.empty(0, np.uint64)
         order = np.lexsort((words, frequencies(words)))
@@ -136,7 +136,7 @@ class Index:
         begin, size, entry = begin[true], size[true], np.unique(entry[true])
         runs = np.flatnonzero(np.diff(covered(n, begin, begin + size), prepend=False, append=False))
         items = np.unique(np.concatenate([self.owners[self.owned[e] : self.owned[e + 1]] for e in entry])) if len(entry) else []
-        return n, runs, [self.names[i] for i in items]
+        return n, runs, [self.names[i] for i in items if i >= 0]
 
 
 def _hits(docs: DataFrame, items: list[tuple[str, bytes]], window: int) -> DataFrame:
@@ -162,15 +162,15 @@ def _pieces(raw: bytes, window: int) -> list[bytes]:
 
 
 def _parts(benchmark: DataFrame, window: int):
-    """Items with words as (id, normal text), in parts of bounded size, read one at a time."""
-    sized = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text").distinct()
+    """Items with words as (id or none, normal text), in parts of bounded size, read one at a time."""
+    sized = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item"), "text").distinct()
     total = sized.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = -(-total // PART_BYTES) or 1
     given = False
     for part in range(parts):
         rows = sized.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect()
         held, size = [], 0
-        for r in sorted(rows):
+        for r in sorted(rows, key=lambda r: (r["item"] is not None, r)):
             for piece in _pieces(normal(r["text"].encode()), window):
                 if held and size + len(piece) > PART_BYTES:
                     yield held
@@ -187,8 +187,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> Da
 
     A window is so many consecutive words of an item, or all words of a shorter one; a word of a document inside any
     occurrence of a window is hit, and a document is contaminated if at least a twentieth of its words are. Null and empty
-    texts have no words and no windows. Items without id are left out; those that repeat an id are one item. Repeated
-    documents have a row each. With an empty benchmark nothing is hit. Windows are told apart by 64-bit hashes before their words are
+    texts have no words and no windows. Items that repeat an id are one item; the windows of those without id hit as well, but n_items
+    and items_sha256 are about ids. Repeated documents have a row each. With an empty benchmark nothing is hit. Windows are told apart by 64-bit hashes before their words are
     compared; very long texts and windows of one repeated word take time in proportion to their words.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("key"))

@@ -64,7 +64,8 @@ class Encoder:
         return not self.spaced or piece != "" and piece[0].isprintable() and piece[-1].isprintable()
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece. Between a letter and marks after it every vocabulary parts a text, so both are looked up alone."""
+        """The ids of each piece. Between a letter and marks after it every vocabulary parts a text, so both are looked up alone, but for
+        letters that are more than letters in lower case: the dot of a capital I with one joins the marks."""
         known = self.known
         new = [p for p in pieces if p not in known]
         if len(known) + len(new) > CACHE_PIECES:
@@ -73,7 +74,7 @@ class Encoder:
             words, rest, made = [], [], []
             for p in new[i : i + 100_000]:
                 core = p.rstrip(MARKS)
-                if core == p or not core.isalpha() or core[-1] > LAST_LETTER:
+                if core == p or not core.isalpha() or core[-1] > LAST_LETTER or not core.lower().isalpha():
                     (words if p.isalpha() else rest).append(p)
                 else:
                     made.append((p, core))

@@ -123,17 +123,17 @@ def test_decontamination(spark, docs, empty, odd, monkeypatch, part_bytes):
     for i, t in items:
         w = low(t)
         n = min(13, len(w))
-        if i is not None and n:
+        if n:
             for s in range(len(w) - n + 1):
-                windows[tuple(w[s : s + n])].add(str(i))
+                windows[tuple(w[s : s + n])] |= {str(i)} - {"None"}
     got = by_id(decontamination.contamination(docs, benchmark))
     for i, t in texts.items():
         w, hit, ids = low(t), set(), set()
         for n in {len(x) for x in windows}:
             for s in range(len(w) - n + 1):
-                if found := windows.get(tuple(w[s : s + n])):
+                if tuple(w[s : s + n]) in windows:
                     hit.update(range(s, s + n))
-                    ids |= found
+                    ids |= windows[tuple(w[s : s + n])]
         r = got[i]
         assert (r["n_words"], r["n_hit"], r["n_items"]) == (len(w), len(hit), len(ids))
         assert r["items_sha256"] == hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
@@ -144,7 +144,7 @@ def test_decontamination(spark, docs, empty, odd, monkeypatch, part_bytes):
 
 @pytest.mark.parametrize("part_bytes", [10**6, 12])
 def test_decontamination_without_ids(spark, monkeypatch, part_bytes):
-    """Documents without id, and repeated ones, have the hits of every part of the benchmark."""
+    """Documents without id, and repeated ones, have the hits of every part of the benchmark; items without id hit."""
     monkeypatch.setattr(decontamination, "PART_BYTES", part_bytes)
     names = ["p%d q%d r%d" % (i, i, i) for i in range(12)]
     benchmark = spark.createDataFrame(list(enumerate(names)), "item_id long, text string")
@@ -152,6 +152,9 @@ def test_decontamination_without_ids(spark, monkeypatch, part_bytes):
     found = decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
     got = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in found)
     assert got == Counter({(None, 47, 36, 12, True): 1, (None, 4, 3, 1, True): 1, (None, 3, 3, 1, True): 2, (None, 0, 0, 0, False): 1, (7, 47, 36, 12, True): 1})
+    benchmark = spark.createDataFrame([(None, "a b c"), (None, "c d"), (5, "c d")], "item_id long, text string")
+    found = decontamination.contamination(spark.createDataFrame([(1, "x y a b c"), (2, "c d e")], "doc_id long, text string"), benchmark).collect()
+    assert {(r["doc_id"], r["n_hit"], r["n_items"], r["items_sha256"]) for r in found} == {(1, 3, 0, hashlib.sha256(b"").hexdigest()), (2, 2, 1, hashlib.sha256(b"5").hexdigest())}
 
 
 def test_decontamination_of_repeated_words(spark, monkeypatch):
@@ -463,6 +466,8 @@ def test_encoder_is_the_tokenizer(name, spaced):
     parts = list("abé ABÉ\n\t ,.;'’!<|>01中\xa0\u0301Ⅷ") + ["don't", "word, ", "It's. ", " the", "<|startoftext|>"]
     parts += [f(t.content) for t in made.get_added_tokens_decoder().values() for f in (str, str.upper)]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(800)] + ["", " ", "a <|endoftext|> b", "<|endoftext|>"]
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    texts += [" ".join(f"{a}{c}{m}" for c in letters for a in ("", "x", "T\u00dcRK")) for m in (",", ".", ";", ":", "!", "?", ".,", "!?;")] + ["T\u00dcRK\u0130, YEN\u0130.", "x\u0130y, \u0130\u0130!"]
     ids, offsets = token_ids.Encoder(token_ids.vocabulary(name), spaced).encode(pa.array(texts), 7)
     for i, t in enumerate(texts):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == [*made.encode(t, add_special_tokens=False).ids, 7]
