@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(rows):
-    return sorted(tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows)
+    return sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=lambda r: [(v is None, str(type(v)), str(v)) for v in r])
 
 
 @pytest.mark.parametrize("name", catalog.ORACLE_SQL)
@@ -21,7 +21,7 @@ def test_query(spark, name):
     df = catalog.QUERIES[name](spark, FOLDER)
     names = sorted(df.columns)
     got = plain(tuple(r[c] for c in names) for r in df.collect())
-    want = plain(db.execute(f"SELECT {', '.join(names)} FROM ({catalog.ORACLE_SQL[name]})").fetchall())
+    want = plain(db.execute(f"SELECT {', '.join(f'"{n}"' for n in names)} FROM ({catalog.ORACLE_SQL[name]})").fetchall())
     assert got == want and got
 
 
