@@ -22,4 +22,14 @@ def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     """The same rows, written and read again."""
     path = scratch(spark, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote, once what is made from them has been written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
