@@ -18,6 +18,8 @@ from .common import cut, read_bytes, trimmed
 PIECES = bytes(0x2E if b in b".,;:!?\n\x0b\x0c\r" else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 #: Bytes of text whose phrases are counted together.
 TOGETHER = 6_000_000
+#: Rows of a record batch that are taken out of it at once.
+AT_ONCE = 256
 #: Bits of the broadcast table at most, and for each frequent phrase where they are fewer.
 BITS, BITS_EACH = 1 << 28, 32
 #: Rows of a language, and of its parts, that are ranked together: see best().
@@ -136,6 +138,14 @@ def grams(tokens: list[bytes], lang: str, k: int, known: Bits | None, skip: int)
     return pc.binary_join_element_wise(*(table.take(pa.array(at[places[first] + j])) for j in range(k)), b" "), counts
 
 
+def rows(batches):
+    """(lang, text as bytes) of record batches, a few rows at a time, so that a batch is not held twice."""
+    for batch in batches:
+        for i in range(0, len(batch), AT_ONCE):
+            part = batch.slice(i, AT_ONCE)
+            yield from zip(part.column(0).to_pylist(), read_bytes(part.column(1)))
+
+
 def counted(docs: DataFrame, k: int, known: Bits | None = None) -> DataFrame:
     """(lang, phrase, n) of the phrases of k words of docs (lang, text) that known lets through."""
     import pyarrow as pa
@@ -159,21 +169,20 @@ def counted(docs: DataFrame, k: int, known: Bits | None = None) -> DataFrame:
                 yield from emit(lang, b".".join(texts).replace(b".", b" . ").split(), 0)
             held.clear()
 
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), read_bytes(batch.column(1))):
-                text = text.translate(PIECES)
-                if len(text) > TOGETHER:
-                    carried: list[bytes] = []
-                    for part in slices(text, TOGETHER):
-                        tokens = carried + part.replace(b".", b" . ").split()
-                        yield from emit(lang, tokens, len(carried))
-                        carried = tokens[len(tokens) - (k - 1) :] if k > 1 else []
-                    continue
-                held.setdefault(lang, []).append(text)
-                size += len(text)
-                if size > TOGETHER:
-                    yield from flush()
-                    size = 0
+        for lang, text in rows(batches):
+            text = text.translate(PIECES)
+            if len(text) > TOGETHER:
+                carried: list[bytes] = []
+                for part in slices(text, TOGETHER):
+                    tokens = carried + part.replace(b".", b" . ").split()
+                    yield from emit(lang, tokens, len(carried))
+                    carried = tokens[len(tokens) - (k - 1) :] if k > 1 else []
+                continue
+            held.setdefault(lang, []).append(text)
+            size += len(text)
+            if size > TOGETHER:
+                yield from flush()
+                size = 0
         yield from flush()
 
     return docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
