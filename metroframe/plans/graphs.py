@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import paths
+from ..operators import centrality, communities, composite, paths
 from ..operators.graph import connected_components
 from ..sources.tables import load
 from .registry import registry
@@ -129,3 +129,168 @@ def unique_edges(spark, folder):
     rows = edges(spark, folder)
     pair = F.when(F.col("src") != F.col("dst"), F.struct(F.least("src", "dst"), F.greatest("src", "dst")))
     return rows.agg(F.count("*").alias("n_edges"), F.count_distinct(F.struct("src", "dst")).alias("n_directed"), F.count_distinct(pair).alias("n_undirected"))
+
+
+# Communities: any orders link a customer and what it ordered from; nodes of the two ends share their numbers.
+@query(f"""WITH {EDGES}, l AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM e WHERE src != dst), b AS (SELECT u AS a, v AS b FROM l UNION ALL SELECT v, u FROM l),
+    p AS (SELECT a % 25 AS c, count(*) AS k, count(*) FILTER (a % 25 = b % 25) AS i, count(DISTINCT a) AS n FROM b GROUP BY 1)
+    SELECT round(sum(i) / sum(k)::DOUBLE - sum(k * k) / (sum(k) * sum(k))::DOUBLE, 8) AS modularity, count(*) AS communities, sum(n)::BIGINT AS nodes FROM p""")
+def partition_modularity(spark, folder):
+    """How far customers' numbers modulo 25 are a partition by who orders what."""
+    rows = edges(spark, folder)
+    nodes = rows.where("src != dst").select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    found = communities.modularity(communities.undirected_links(rows), nodes.select("node", (F.col("node") % 25).alias("community")))
+    return found.withColumn("modularity", F.round("modularity", 8))
+
+
+def louvain_communities(spark, folder):
+    """Communities of buyers and what they order from, by Louvain's method, with the links inside and outside of each."""
+    rows = edges(spark, folder)
+    found = communities.louvain(rows, seed=1)
+    return communities.statistics(communities.undirected_links(rows), found)
+
+
+QUERIES["louvain_communities"] = louvain_communities
+
+
+def between_sql(links, levels):
+    """Betweenness of the nodes of a table of links (a, b), both ways, that has no shortest path of more than so many steps: CTEs that end in m (node, betweenness, degree)."""
+    made = [f"d0 AS (SELECT DISTINCT a AS s, a AS v, 1.0::DOUBLE AS n FROM {links})"]
+    for i in range(1, levels + 1):
+        seen = " UNION ALL ".join(f"SELECT s, v FROM d{j}" for j in range(i))
+        made.append(f"d{i} AS MATERIALIZED (SELECT s, b AS v, sum(n) AS n FROM d{i - 1} JOIN {links} ON a = v WHERE NOT EXISTS (SELECT 1 FROM ({seen}) x WHERE x.s = d{i - 1}.s AND x.v = {links}.b) GROUP BY ALL)")
+    made.append("d AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT s, v, n, {i} AS d FROM d{i}" for i in range(1, levels + 1)) + ")")
+    made.append("z AS (SELECT x.v AS node, sum(x.n * y.n / w.n) AS part FROM d x JOIN d y ON x.v = y.s JOIN d w ON w.s = x.s AND w.v = y.v WHERE x.d + y.d = w.d GROUP BY 1)")
+    made.append(f"g AS (SELECT a AS node, count(*) AS degree FROM {links} GROUP BY 1)")
+    made.append("m AS (SELECT node, coalesce(part, 0) / greatest(1, (SELECT (count(*) - 1) * (count(*) - 2) FROM g)) AS betweenness, degree FROM g LEFT JOIN z USING (node))")
+    return ", ".join(made)
+
+
+AROUND = f"""{EDGES}, {BOTH}, p(node, hop) AS (SELECT {START}, 0 UNION SELECT b, hop + 1 FROM p JOIN u ON a = node WHERE hop < 2), l AS (SELECT node, min(hop) AS hop FROM p GROUP BY 1), deg AS (SELECT a AS node, count(*) AS deg FROM u GROUP BY 1),
+    k AS MATERIALIZED (SELECT node FROM l JOIN deg USING (node) ORDER BY hop, deg DESC, node LIMIT 300), w AS MATERIALIZED (SELECT a, b FROM u WHERE a IN (FROM k) AND b IN (FROM k))"""
+
+
+def around(spark, folder):
+    rows = edges(spark, folder)
+    start = _start(spark, folder)
+    return start, centrality.neighbourhood(rows, spark.createDataFrame([(start,)], "node long"), 2, 300)
+
+
+@query(f"WITH RECURSIVE {AROUND}, {between_sql('w', 4)} SELECT node, round(betweenness, 6) AS betweenness, degree FROM m")
+def betweenness(spark, folder):
+    """Of the 300 nodes nearest to a start, how many shortest paths between others lead through each."""
+    return centrality.betweenness(around(spark, folder)[1]).withColumn("betweenness", F.round("betweenness", 6))
+
+
+_MARKED = f"(SELECT DISTINCT y.src AS node FROM e x JOIN e y ON x.dst = y.dst WHERE x.src = {START} AND y.src != {START})"
+
+
+def _marked(spark, folder, start):
+    """Who ordered from where the start did."""
+    rows = edges(spark, folder)
+    mine = rows.where(F.col("src") == start).select("dst").distinct()
+    return rows.join(mine, "dst", "left_semi").where(F.col("src") != start).select(F.col("src").alias("node")).distinct()
+
+
+@query(f"""WITH RECURSIVE {AROUND}, {between_sql('w', 4)}, o AS (SELECT node, round(betweenness, 6) AS betweenness, degree FROM m)
+    SELECT * FROM (SELECT 'local_hub' AS role, row_number() OVER (ORDER BY degree DESC, node DESC)::INT AS rank, node, degree, betweenness FROM o WHERE node != {START} ORDER BY rank LIMIT 10)
+    UNION ALL SELECT * FROM (SELECT 'bridge_node', row_number() OVER (ORDER BY betweenness DESC, degree DESC, node DESC)::INT AS rank, node, degree, betweenness FROM o WHERE node != {START} ORDER BY rank LIMIT 10)
+    UNION ALL SELECT * FROM (SELECT 'shared_device_related', row_number() OVER (ORDER BY s.node)::INT AS rank, s.node, coalesce(degree, 0), coalesce(betweenness, 0) FROM {_MARKED} s LEFT JOIN o USING (node) ORDER BY rank LIMIT 10)""")
+def key_roles(spark, folder):
+    start, links = around(spark, folder)
+    return centrality.key_roles(links, start, _marked(spark, folder, start))
+
+
+@query(f"""WITH RECURSIVE {AROUND}, {between_sql('w', 4)}, s AS {_MARKED}, r AS (SELECT node, degree, betweenness, node IN (FROM s) AS marked FROM m WHERE node != {START}),
+    o AS (SELECT node, degree, round(betweenness, 6) AS betweenness, list_filter([CASE WHEN marked THEN 'shared_device_related' END, CASE WHEN degree >= 2 THEN 'multi_link_neighbor' END, CASE WHEN betweenness > 0 THEN 'bridge_like' END], lambda x: x IS NOT NULL) AS roles,
+    round(CASE WHEN marked THEN 5 ELSE 0 END + degree + betweenness * 10, 6) AS score FROM r) SELECT *, row_number() OVER (ORDER BY score DESC, degree DESC, node DESC)::INT AS rank FROM o WHERE len(roles) > 0 ORDER BY rank LIMIT 10""")
+def suspicious_nodes(spark, folder):
+    start, links = around(spark, folder)
+    return centrality.suspicious_nodes(links, start, _marked(spark, folder, start))
+
+
+# Composite paths: orders are calls, parts that two customers ordered are devices.
+RELATED = """e AS MATERIALIZED (SELECT o_custkey AS src, o_orderkey // 10 AS dst FROM orders), dv AS MATERIALIZED (SELECT DISTINCT o_custkey AS member, l_partkey AS device FROM orders JOIN lineitem ON l_orderkey = o_orderkey), cp AS MATERIALIZED (SELECT DISTINCT src, dst FROM e),
+    pa AS MATERIALIZED (SELECT src AS node, dst AS other, 'call' AS relation, 0 AS o, count(*) AS evidence, NULL AS sample FROM e GROUP BY 1, 2
+        UNION ALL SELECT x.member, y.member, 'shared_device', 1, count(*), min(y.device)::VARCHAR FROM dv x JOIN dv y ON x.device = y.device AND x.member != y.member GROUP BY 1, 2
+        UNION ALL SELECT x.src, y.src, 'common_counterparty', 2, count(*), min(y.dst)::VARCHAR FROM cp x JOIN cp y ON x.dst = y.dst AND x.src != y.src GROUP BY 1, 2 HAVING count(*) >= 2),
+    wo AS (SELECT *, CASE o WHEN 0 THEN 5 WHEN 1 THEN 4 ELSE 2 END * ln(1 + evidence) AS worth FROM pa),
+    fi AS (SELECT *, row_number() OVER (PARTITION BY node, o ORDER BY evidence DESC, other) AS r FROM wo QUALIFY r <= 20),
+    st AS MATERIALIZED (SELECT node, other, arg_max(relation, (worth, -o)) AS relation, arg_max(struct_pack(s := sample), (worth, -o)).s AS sam, max(worth) AS worth, min(o * 1000000 + r) AS place FROM fi GROUP BY 1, 2)"""
+
+
+def composite_sql(source, target, order="score DESC, hops"):
+    """Paths of at most three hops, 500 followed."""
+    grow = lambda b: f"SELECT other AS node, list_append(path, other) AS path, list_append(relations, st.relation) AS relations, list_append(evidence, st.sam) AS evidence, score + st.worth AS score, list_append(places, place) AS places FROM {b} b JOIN st ON st.node = b.node WHERE NOT list_contains(path, other)"
+    return f"""{RELATED}, t AS MATERIALIZED (SELECT {source} AS s, {target} AS t),
+    b0 AS (SELECT s AS node, [s] AS path, []::VARCHAR[] AS relations, []::VARCHAR[] AS evidence, 0.0::DOUBLE AS score, []::BIGINT[] AS places FROM t), n1 AS MATERIALIZED ({grow('b0')}),
+    b1 AS MATERIALIZED (SELECT n1.* FROM n1, t WHERE node != t.t), n2 AS MATERIALIZED ({grow('b1')}), c2 AS (SELECT n2.* FROM n2, t WHERE node != t.t AND node != t.s AND node NOT IN (SELECT node FROM b1)),
+    b2 AS MATERIALIZED (SELECT * FROM c2 ORDER BY places LIMIT (SELECT greatest(0, 499 - count(*)) FROM b1)), n3 AS MATERIALIZED ({grow('b2')}),
+    di AS (SELECT other AS node, [node, other] AS path, [relation] AS relations, [sample] AS evidence, worth AS score, [o] AS places FROM wo, t WHERE node = t.s AND other = t.t),
+    al AS (SELECT * FROM n1 UNION ALL SELECT * FROM n2 UNION ALL SELECT * FROM n3),
+    fo AS (SELECT * FROM di UNION ALL SELECT al.* FROM al, t WHERE node = t.t AND NOT EXISTS (FROM di)),
+    an AS (SELECT path, relations, evidence, len(relations)::INT AS hops, round(score - 0.3 * len(relations), 6) AS score, places FROM fo),
+    tp AS MATERIALIZED (SELECT path, relations, evidence, hops, score, row_number() OVER (ORDER BY {order}, places)::INT AS rank FROM an QUALIFY rank <= 10)"""
+
+
+def related(spark, folder):
+    rows = edges(spark, folder)
+    devices = load(spark, folder, "orders").join(load(spark, folder, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("member"), F.col("l_partkey").alias("device"))
+    return composite.Relations(rows.select("src", "dst"), devices)
+
+
+#: Whom to look for: the first buyer that isn't related to the first of all, or the one that shares most devices with it.
+FAR = ("(SELECT min(src) FROM e)", "(SELECT min(src) FROM e WHERE src > (SELECT min(src) FROM e) AND src NOT IN (SELECT other FROM pa WHERE node = (SELECT min(src) FROM e)))")
+NEXT = ("(SELECT min(src) FROM e)", "(SELECT other FROM pa WHERE node = (SELECT min(src) FROM e) AND other != node AND o = 1 ORDER BY evidence DESC, other LIMIT 1)")
+
+
+def _far(spark, folder, strategy):
+    found = related(spark, folder)
+    source = found.calls.agg(F.min("src")).first()[0]
+    near = found.partners(spark.createDataFrame([(source,)], "node long")).select(F.col("other").alias("src"))
+    target = found.calls.where(F.col("src") > source).join(near, "src", "left_anti").agg(F.min("src")).first()[0]
+    return composite.find(found, source, target, strategy=strategy)[0]
+
+
+@query(f"WITH {composite_sql(*FAR)} SELECT path, relations, evidence, hops, score, rank FROM tp")
+def composite_paths(spark, folder):
+    """Strongest paths of calls, shared devices and common counterparts."""
+    return _far(spark, folder, "balanced")
+
+
+@query(f"WITH {composite_sql(*FAR, order='hops, score DESC')} SELECT path, relations, evidence, hops, score, rank FROM tp")
+def shortest_composite_paths(spark, folder):
+    return _far(spark, folder, "shortest")
+
+
+@query(f"WITH {composite_sql(*NEXT)} SELECT path, relations, evidence, hops, score, rank FROM tp")
+def direct_relations(spark, folder):
+    """Two that share devices: their relations are the answer, without a search."""
+    found = related(spark, folder)
+    source = found.calls.agg(F.min("src")).first()[0]
+    near = found.partners(spark.createDataFrame([(source,)], "node long")).where("other != node AND relation = 'shared_device'")
+    return composite.find(found, source, near.orderBy(F.desc("evidence"), "other").first()["other"])[0]
+
+
+@query(f"WITH {RELATED}, a AS (SELECT min(src) AS a FROM e UNION SELECT max(src) FROM e) SELECT node, other, relation, evidence, sample, round(worth, 6) AS worth, place FROM (SELECT node, other, relation, sam AS sample, worth, place FROM st) JOIN pa USING (node, other, relation, sample) WHERE node IN (FROM a) UNION ALL SELECT s.node, s.other, s.relation, pa.evidence, NULL, round(s.worth, 6), s.place FROM st s JOIN pa ON pa.node = s.node AND pa.other = s.other AND pa.relation = s.relation WHERE s.sam IS NULL AND s.node IN (FROM a)")
+def composite_steps(spark, folder):
+    """What two nodes are followed to: the first twenty of each relation, the best relation to each partner."""
+    found = related(spark, folder)
+    ends = found.calls.agg(F.array(F.min("src"), F.max("src")).alias("a")).select(F.explode("a").alias("node")).distinct()
+    return found.steps(ends).withColumn("worth", F.round("worth", 6))
+
+
+@query(f"""WITH {composite_sql(*FAR)}, ep AS (SELECT path[i] AS a, path[i + 1] AS b FROM (SELECT path, unnest(range(1, len(path))) AS i FROM tp)), w AS MATERIALIZED (SELECT a, b FROM ep UNION SELECT b, a FROM ep), {between_sql('w', 6)},
+    f AS (SELECT node, count(*) AS path_frequency FROM (SELECT unnest(path[2:-2]) AS node FROM tp WHERE len(path) > 2) GROUP BY 1)
+    SELECT node, path_frequency, round(betweenness, 6) AS betweenness, degree, round(path_frequency * 3 + betweenness * 10 + degree * 0.05, 6) AS score FROM f JOIN m USING (node) ORDER BY score DESC, node LIMIT 10""")
+def bridge_ranking(spark, folder):
+    """What stands inside the strongest composite paths."""
+    return centrality.bridge_ranking(_far(spark, folder, "balanced"))
+
+
+@query(f"""WITH {composite_sql(*FAR)}, sp AS (SELECT path[i]::VARCHAR AS a, path[i + 1]::VARCHAR AS b, evidence[i] AS x FROM (SELECT path, evidence, unnest(range(1, len(path))) AS i FROM tp)), ep AS (SELECT a, b FROM sp UNION SELECT a, x FROM sp WHERE x IS NOT NULL UNION SELECT x, b FROM sp WHERE x IS NOT NULL),
+    w AS MATERIALIZED (SELECT a, b FROM ep WHERE a != b UNION SELECT b, a FROM ep WHERE a != b), {between_sql('w', 6)}, f AS (SELECT node, count(*) AS path_frequency FROM (SELECT unnest(path[2:-2])::VARCHAR AS node FROM tp WHERE len(path) > 2 UNION ALL SELECT x FROM sp WHERE x IS NOT NULL) GROUP BY 1)
+    SELECT node, path_frequency, round(betweenness, 6) AS betweenness, degree, round(path_frequency * 10 + betweenness * 5 + degree, 6) AS score FROM f JOIN m USING (node) ORDER BY score DESC, node LIMIT 10""")
+def evidence_bridges(spark, folder):
+    """The same with the devices and counterparts that steps rest on."""
+    return centrality.evidence_bridges(_far(spark, folder, "balanced"))
