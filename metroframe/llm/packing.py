@@ -32,6 +32,15 @@ ENCODED = "doc_id long, n long, ids binary, frequencies array<long>"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def different(doc: np.ndarray, ids: np.ndarray, vocabulary: int) -> np.ndarray:
+    """The different ids of each document."""
+    key = doc * vocabulary + ids
+    if len(key) and key[-1] + vocabulary < 2**32:
+        key = key.astype(np.uint32)
+    key.sort()
+    return key[np.append(True, key[1:] != key[:-1])[: len(key)]] % vocabulary
+
+
 def encode(docs: DataFrame, tokenizer: str, vocabulary: int, spaced: bool, end: int) -> DataFrame:
     """A row per document (ids as little-endian integers of the narrowest width), and one per task with document frequencies."""
     width = "<u2" if vocabulary <= 65536 else "<u4"
@@ -43,7 +52,7 @@ def encode(docs: DataFrame, tokenizer: str, vocabulary: int, spaced: bool, end:
         seen = np.zeros(vocabulary, np.int64)
         for batch, ids, offsets in token_ids.encode_batches(batches, tokenizer, spaced, end):
             doc = np.repeat(np.arange(len(batch)), np.diff(offsets))
-            seen += np.bincount(np.unique(doc * vocabulary + ids) % vocabulary, minlength=vocabulary)
+            seen += np.bincount(different(doc, ids, vocabulary), minlength=vocabulary)
             raw = memoryview(ids.astype(width).tobytes())
             w = int(width[-1])
             yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array(np.diff(offsets)), pa.array([raw[w * a : w * b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary()), pa.nulls(len(batch), pa.list_(pa.int64()))], schema=schema)

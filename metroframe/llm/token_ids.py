@@ -61,7 +61,8 @@ class Encoder:
         return " " + piece if self.spaced else piece
 
     def _safe(self, piece: str) -> bool:
-        return not self.spaced or piece != "" and piece[0].isprintable() and piece[-1].isprintable()
+        """Whether a text may be parted at the ends of a piece, where white space is part of the tokens."""
+        return piece != "" and piece[0].isprintable() and piece[-1].isprintable()
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece. Between a letter and marks after it every vocabulary parts a text, so both are looked up alone, but for
@@ -98,7 +99,7 @@ class Encoder:
         at -= at[0]
         codes, pieces = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
         ids = self._pieces(pieces)
-        unsafe = np.fromiter((not self._safe(p) for p in pieces), bool, len(pieces))
+        unsafe = np.fromiter((not self._safe(p) for p in pieces), bool, len(pieces)) if self.spaced else np.zeros(len(pieces), bool)
         for token in self.added:  # in any case: it may be matched before or after the text is lower-cased
             unsafe |= pc.match_substring(words.dictionary, token, ignore_case=True).to_numpy(zero_copy_only=False)
         unsafe = unsafe[codes]
@@ -119,16 +120,15 @@ class Encoder:
         starts = np.cumsum(lengths) - lengths
         flat = np.frombuffer(b"".join(ids), "<u4")
         own = lengths[codes]
-        begin = np.cumsum(own) - own
         size = np.add.reduceat(own, at[:-1])
-        index = np.repeat(starts[codes] - begin, own)
-        index += np.arange(len(index))
         offsets = np.concatenate([[0], np.cumsum(size + 1)])
-        out = np.full(offsets[-1], end, np.uint32)
-        keep = np.ones(len(out), bool)
-        keep[offsets[1:] - 1] = False
-        out[keep] = flat[index]
-        return out, offsets
+        # where the ids of each text's pieces, and then its end id, stand in flat and one more
+        step = np.insert(own, at[1:], 1)
+        place = np.insert(starts[codes], at[1:], len(flat))
+        small = np.int32 if len(flat) + offsets[-1] < 2**31 else np.int64
+        index = np.repeat((place - (np.cumsum(step) - step)).astype(small), step)
+        index += np.arange(len(index), dtype=small)
+        return np.append(flat, np.uint32(end))[index], offsets
 
     def _some(self, texts: list[str], which: np.ndarray) -> list[bytes]:
         """The ids of those texts, nothing for others."""
