@@ -19,6 +19,8 @@ CACHE_PIECES = 300_000
 #: Words encoded as one text, and marks after a word that are looked up alone, if it ends with a letter up to LAST_LETTER.
 TOGETHER = 200
 MARKS, LAST_LETTER = ".,;:!?", "\u024f"
+#: Letters that are the same in lower case, for a pattern.
+LETTERS = "a-z\u00e0-\u00f6\u00f8-\u00ff"
 
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
 
@@ -87,6 +89,23 @@ class Encoder:
             known.update((p, known[c] + tails[p[len(c) :]]) for p, c in made)
         return [known[p] for p in pieces]
 
+    def _parted(self, codes: np.ndarray, found: pa.Array, at: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """The stream of pieces (codes of found, texts begin at at) with marks after letters as pieces of their own, of which there are fewer different ones."""
+        marked = pc.match_substring_regex(found, f"^[{LETTERS}]+[{MARKS}]+$")
+        core = pc.if_else(marked, pc.utf8_rtrim(found, characters=MARKS), found)
+        tails = pc.utf8_ltrim(found.filter(marked), characters="".join(map(chr, range(0x61, 0x100))))
+        both = pa.concat_arrays([core, tails]).dictionary_encode()
+        code = both.indices.to_numpy().astype(np.int64)
+        has = marked.to_numpy(zero_copy_only=False)
+        tail = np.zeros(len(found), np.int64)
+        tail[has] = code[len(found) :]
+        two = has[codes]
+        end = np.cumsum(two + 1)
+        out = np.empty(end[-1] if len(end) else 0, np.int64)
+        out[end - 1 - two] = code[codes]
+        out[end[two] - 1] = tail[codes[two]]
+        return out, both.dictionary, np.append(0, end)[at]
+
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids (uint32) of all texts without nulls, each with the id end after it, and where each begins and the last ends."""
         n = len(texts)
@@ -97,11 +116,14 @@ class Encoder:
         at = split.offsets.to_numpy().astype(np.int64)
         words = split.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
         at -= at[0]
-        codes, pieces = words.indices.to_numpy().astype(np.int64), words.dictionary.to_pylist()
+        codes, found = words.indices.to_numpy().astype(np.int64), words.dictionary
+        if not self.spaced:
+            codes, found, at = self._parted(codes, found, at)
+        pieces = found.to_pylist()
         ids = self._pieces(pieces)
         unsafe = np.fromiter((not self._safe(p) for p in pieces), bool, len(pieces)) if self.spaced else np.zeros(len(pieces), bool)
         for token in self.added:  # in any case: it may be matched before or after the text is lower-cased
-            unsafe |= pc.match_substring(words.dictionary, token, ignore_case=True).to_numpy(zero_copy_only=False)
+            unsafe |= pc.match_substring(found, token, ignore_case=True).to_numpy(zero_copy_only=False)
         unsafe = unsafe[codes]
         one = np.diff(at) == 1  # the text as a whole stands in the place of its first piece, if it is the only one or parting is not certain
         whole = np.logical_or.reduceat(unsafe, at[:-1]) | one if self.spaced else np.logical_or.reduceat(unsafe, at[:-1])
