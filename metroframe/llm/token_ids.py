@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Different pieces kept by a worker; beyond that those not in use go. Bounds memory, changes no result.
 CACHE_PIECES = 300_000
+#: New pieces encoded at once: the tokenizer holds far more than their ids meanwhile.
+AT_ONCE = 10_000
 #: Words encoded as one text, and marks after a word that are looked up alone, if it ends with a letter up to LAST_LETTER.
 TOGETHER = 200
 MARKS, LAST_LETTER = ".,;:!?", "\u024f"
@@ -73,9 +75,9 @@ class Encoder:
         new = [p for p in pieces if p not in known]
         if len(known) + len(new) > CACHE_PIECES:
             known = self.known = {p: known[p] for p in pieces if p in known}
-        for i in range(0, len(new), 100_000):
+        for i in range(0, len(new), AT_ONCE):
             words, rest, made = [], [], []
-            for p in new[i : i + 100_000]:
+            for p in new[i : i + AT_ONCE]:
                 core = p.rstrip(MARKS)
                 if core == p or not core.isalpha() or core[-1] > LAST_LETTER or not core.lower().isalpha():
                     (words if p.isalpha() else rest).append(p)
@@ -184,13 +186,14 @@ def runs(sizes: np.ndarray, most: int):
         yield begin, len(sizes)
 
 
-def encode_batches(batches, path: str, spaced: bool, end: int, most: int = 6_000_000):
+def encode_batches(batches, path: str, spaced: bool, end: int, most: int = 4_000_000):
     """For record batches with a text (null: empty): slices of them with their ids and offsets."""
     made = encoder(path, spaced)
     for batch in batches:
-        texts = pc.fill_null(batch["text"].cast(pa.large_string()), "")
-        for a, b in runs(pc.binary_length(texts).to_numpy(), most):
-            yield (batch.slice(a, b - a), *made.encode(texts.slice(a, b - a), end))
+        sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False)
+        for a, b in runs(sizes, most):
+            texts = batch["text"].take(pa.array(np.arange(a, b)))  # a copy that begins at 0, which not all functions on slices mind
+            yield (batch.slice(a, b - a), *made.encode(pc.fill_null(texts.cast(pa.large_string()), ""), end))
 
 
 def vocabulary(name: str) -> str:
