@@ -60,11 +60,11 @@ def _look(state: DataFrame, both: DataFrame, total: float, resolution: float) ->
     return found.select("node", "k", "loop", "c", "inside", F.when(gain > LEAST_GAIN, F.col("best.to")).alias("to"), F.when(gain > LEAST_GAIN, gain).alias("gain"))
 
 
-def _value(looked: DataFrame, total: float, resolution: float) -> float:
-    """The modularity of the state that was looked at."""
-    per = looked.groupBy("c").agg(F.sum("k").alias("k"), F.sum(F.col("inside") + F.col("loop")).alias("inside"))
-    inside, expected = per.agg(F.sum("inside"), F.sum(F.col("k") * F.col("k"))).first()
-    return inside / total - resolution * expected / total / total
+def _value(looked: DataFrame, total: float, resolution: float) -> tuple[float, int]:
+    """The modularity of the state that was looked at, and how many nodes would rather be elsewhere."""
+    per = looked.groupBy("c").agg(F.sum("k").alias("k"), F.sum(F.col("inside") + F.col("loop")).alias("inside"), F.count("to").alias("movers"))
+    inside, expected, movers = per.agg(F.sum("inside"), F.sum(F.col("k") * F.col("k")), F.sum("movers")).first()
+    return inside / total - resolution * expected / total / total, movers
 
 
 def _apart(looked: DataFrame) -> DataFrame:
@@ -80,23 +80,23 @@ def _settle(state: DataFrame, both: DataFrame, total: float, resolution: float,
     spark = state.sparkSession
     kept = cut(spark, _look(state, both, total, resolution))
     forget(state)
-    value, failed = _value(kept, total, resolution), 0
+    value, movers = _value(kept, total, resolution)
+    failed = 0
     for step in range(steps):
-        if kept.where("to IS NOT NULL").isEmpty():
+        if not movers:
             break
         if failed < 2:
             goes = (F.pmod(F.xxhash64("node", F.lit(step), F.lit(seed)), F.lit(2)) == 0) & F.col("to").isNotNull()
-            moved = kept.select("node", "k", "loop", F.when(goes, F.col("to")).otherwise(F.col("c")).alias("c"))
+            looked = cut(spark, _look(kept.select("node", "k", "loop", F.when(goes, F.col("to")).otherwise(F.col("c")).alias("c")), both, total, resolution))
         else:
             goes = _apart(kept).withColumnRenamed("to", "goes")
-            moved = kept.join(goes, "node", "left").select("node", "k", "loop", F.coalesce("goes", "c").alias("c"))
-        moved = cut(spark, moved)
-        looked = cut(spark, _look(moved, both, total, resolution))
-        forget(moved)
-        new = _value(looked, total, resolution)
+            moved = cut(spark, kept.join(goes, "node", "left").select("node", "k", "loop", F.coalesce("goes", "c").alias("c")))
+            looked = cut(spark, _look(moved, both, total, resolution))
+            forget(moved)
+        new, then = _value(looked, total, resolution)
         if new > value + tolerance:
             forget(kept)
-            kept, value = looked, new
+            kept, value, movers = looked, new, then
         else:
             forget(looked)
             failed += 1

@@ -27,4 +27,4 @@ def test_query(spark, name):
 
 def test_queries_without_sql():
     """What SQL can't say is compared with plain loops elsewhere."""
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"cleaned_points", "stay_points", "chunked_documents", "line_sections", "louvain_communities"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"cleaned_points", "stay_points", "chunked_documents", "line_sections", "louvain_communities", "warped_trips", "built_tracks"}
