@@ -31,8 +31,8 @@ def condition_matches(df: DataFrame, key: str, conditions: dict[str, tuple[str,
     """match_<name> for each {name: (column, quantile)}: the value is at least that quantile of its column (null: false); and how many match."""
     flags = df
     names = []
-    for n, (c, q) in conditions.items():
-        (limit,) = ranks.quantiles(df, c, [q])
+    limits = ranks.quantile_table(df, [c for c, _ in conditions.values()], [[q] for _, q in conditions.values()])
+    for (n, (c, _)), (limit,) in zip(conditions.items(), limits):
         flags = flags.withColumn(f"match_{n}", F.coalesce(F.col(c) >= F.round(F.lit(limit).cast("double"), 6), F.lit(False)))
         names.append(f"match_{n}")
     return flags.select(key, *names).withColumn("hits", sum(F.col(n).cast("int") for n in names))

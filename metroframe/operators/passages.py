@@ -2,33 +2,46 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_id
+from ..sources.tables import cut
 
-ENDS = ("。", "！", "？", "\n", ". ", "; ")
+#: What ends a sentence; a full stop or semicolon with the blank behind it.
+MARK = re.compile("[。！？\n]|[.;] ")
 BLANK = " \t\r\n"
 #: What starts a chapter, and lines that are one by themselves.
 HEADING = "|".join((r"^#\s+[^#]+$", r"^#{1,3}\s*第[一二三四五六七八九十百千万\d]+章", r"^第[一二三四五六七八九十百千万\d]+章", r"^(Chapter|CHAPTER)\s+\d+\b"))
 HEADING_LINES = ("前言", "总则", "附则", "附件")
 
 
+def sentence_ends(text: str) -> tuple[list[int], list[int]]:
+    """Where sentences end, in order: how far the text must be seen to know it, and the end itself, behind the mark but before the blank that some need."""
+    marks = list(MARK.finditer(text))
+    return [m.end() for m in marks], [m.start() + 1 for m in marks]
+
+
 def pieces(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
     """Spans of at most size characters, ending behind the last sentence end of their second half (of all behind the first 80 characters, if the half is shorter);
-    each starts overlap characters before the last one's end, and always later than that one."""
-    spans, start = [], 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        if end < len(text):
-            least = start + max(size // 2, 80)
-            last = max(text.rfind(m, least, end) for m in ENDS)
-            end = last + 1 if last >= least else end
-        spans.append((start, end))
-        if end == len(text):
-            break
-        start = max(end - overlap, start + 1)
+    each starts overlap characters before the last one's end, and always later than that one. The ends are found once and looked up for each span."""
+    seen, ends = sentence_ends(text)
+
+    def stop(start: int) -> int:
+        if start + size >= len(text):
+            return len(text)
+        last = bisect.bisect_right(seen, start + size) - 1
+        return ends[last] if last >= 0 and ends[last] > start + max(size // 2, 80) else start + size
+
+    spans = [(0, stop(0))] if text else []
+    while spans and spans[-1][1] < len(text):
+        start = max(spans[-1][1] - overlap, spans[-1][0] + 1)
+        spans.append((start, stop(start)))
     return spans
 
 
@@ -51,23 +64,16 @@ def chunks(documents: DataFrame, key: str, text: str, size: int, overlap: int) -
 
 
 def line_groups(lengths: list[int], most: int, overlap: int, least: int) -> list[tuple[int, int]]:
-    """Groups of following lines (first, last + 1) of at most `most` characters; the next group starts with as many of the last lines as make `overlap` characters; groups below `least` go."""
-    found, first, total = [], 0, 0
-    for i, n in enumerate(lengths):
-        if i > first and total + n > most:
-            if total >= least:
-                found.append((first, i))
-            start, kept = i, 0
-            while start > first:
-                start -= 1
-                kept += lengths[start]
-                if kept >= overlap:
-                    break
-            first, total = start, kept
-        total += n
-    if lengths and total >= least:
-        found.append((first, len(lengths)))
-    return found
+    """Groups of following lines (first, last + 1) of at most `most` characters; the next group starts with as many of the last lines as make `overlap` characters; groups below `least` go.
+
+    Both ends are looked up in the running sums of the lengths. A group always has a line that the one before didn't."""
+    sums = [0, *itertools.accumulate(lengths)]
+    groups, first, done = [], 0, 0
+    while done < len(lengths):
+        done = max(done + 1, bisect.bisect_right(sums, sums[first] + most) - 1)
+        groups.append((first, done))
+        first = max(first, min(done, bisect.bisect_right(sums, sums[done] - overlap)) - 1)
+    return [(a, b) for a, b in groups if sums[b] - sums[a] >= least]
 
 
 def sections(documents: DataFrame, key: str, text: str, most: int, overlap: int, least: int) -> DataFrame:
@@ -107,18 +113,22 @@ def chapters(documents: DataFrame, key: str, text: str) -> DataFrame:
 def search(documents: DataFrame, key: str, fields: dict[str, float], query: list[str], k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The k best documents for the query's terms: a field's BM25 times its boost, and the best field counts. Ties go by key; documents without a term are none of them.
 
-    Two scans, no shuffle of words: each row gives its fields' lengths and its count of each term, one row of totals goes out to all."""
+    One scan, no shuffle of words: each row's fields' lengths and counts of terms are written, one row of totals goes out to all."""
     terms = sorted({t.lower() for t in query})
     if not terms:
         raise ValueError("no terms")
-    words = {f: F.filter(F.split(F.lower(F.coalesce(F.col(f), F.lit(""))), "[^a-z0-9一-鿿]+"), lambda w: w != "") for f in fields}
+    words = {f: F.split(F.lower(F.coalesce(F.col(f), F.lit(""))), "[^a-z0-9一-鿿]+") for f in fields}
     times = lambda found, term: F.size(F.filter(found, lambda w: w == term))
+    # each text is split once; of its words only the asked ones are counted one by one
+    split = documents.select(F.col(key), *(words[f].alias(f"_w{i}") for i, f in enumerate(fields)))
+    blanks = lambda w: F.size(F.filter(w, lambda x: x == ""))
+    cut_down = split.select(key, *(c for i in range(len(fields)) for c in ((F.size(f"_w{i}") - blanks(f"_w{i}")).alias(f"_l{i}"), F.filter(f"_w{i}", lambda w: w.isin(terms)).alias(f"_h{i}"))))
     columns, totals = [F.col(key)], [F.count("*").cast("double").alias("_n")]
-    for i, f in enumerate(fields):
-        columns.append(F.size(words[f]).alias(f"_l{i}"))
-        columns += [times(words[f], t).alias(f"_f{i}_{j}") for j, t in enumerate(terms)]
+    for i in range(len(fields)):
+        columns.append(F.col(f"_l{i}"))
+        columns += [times(F.col(f"_h{i}"), t).alias(f"_f{i}_{j}") for j, t in enumerate(terms)]
         totals += [F.avg(f"_l{i}").alias(f"_m{i}")] + [F.count_if(F.col(f"_f{i}_{j}") > 0).alias(f"_d{i}_{j}") for j in range(len(terms))]
-    counted = documents.select(*columns)
+    counted = cut(documents.sparkSession, cut_down.select(*columns))
 
     def part(i, j):
         idf = F.log(1 + (F.col("_n") - F.col(f"_d{i}_{j}") + 0.5) / (F.col(f"_d{i}_{j}") + 0.5))

@@ -99,7 +99,8 @@ def bare_soil(blue: Column, red: Column, nir: Column, swir: Column) -> Column:
 CHLOROPHYLL = (0.283, -2.753, 1.457, 0.659, -1.403)
 AP, CP, BP = 355.85, 1.74, 0.19563
 CLEAR, TURBID = 228.1, 3078.9
-OXYGEN = {"red over blue": 0.5, "red": 0.3, "ndwi": 0.2}
+#: What counts for the proxy of oxygen demand.
+OXYGEN = {"red over blue": 0.5, "red over green": 0.3, "ndwi drop": 0.2}
 
 
 def chlorophyll(blue: Column, green: Column, red: Column) -> Column:
@@ -120,6 +121,13 @@ def turbidity(red: Column) -> Column:
     return F.when(_low(red) < 0.05, CLEAR * _low(red)).otherwise(TURBID * _low(red) / (1 - _low(red) + 1e-6))
 
 
+def oxygen_demand(blue: Column, green: Column, red: Column, ndwi: Column) -> Column:
+    """The proxy of biological oxygen demand: red over blue and over green, each up to 3, and how far the water index is below 0, up to 1."""
+    within = lambda c, most: F.greatest(F.lit(0.0), F.least(F.lit(most), c))
+    parts = {"red over blue": within(red / (blue + 1e-6), 3.0), "red over green": within(red / (green + 1e-6), 3.0), "ndwi drop": within(-ndwi, 1.0)}
+    return sum((w * parts[n] for n, w in OXYGEN.items()), F.lit(0.0))
+
+
 def expansion(areas: DataFrame, key: str, year: str, area: str, high: float = 1.92, medium: float = 0.59) -> DataFrame:
     """Growth in percent a year from each year of a key to its next one (intensity), with a level: fast, medium, slow or none."""
     from pyspark.sql import Window

@@ -20,9 +20,10 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     }
     order = ("n", "mean", "deviation", "least", "q25", "median", "q75", "most", "nulls")
     rows = []
-    for c in columns:
+    quarters = ranks.quantile_table(df, columns, [[0.25, 0.5, 0.75]] * len(columns))
+    for c, own in zip(columns, quarters):
         made = {m: F.round(f(c), 6) for m, f in measures.items()}
-        made |= {m: F.round(F.lit(v).cast("double"), 6) for m, v in zip(("q25", "median", "q75"), ranks.quantiles(df, c, [0.25, 0.5, 0.75]))}
+        made |= {m: F.round(F.lit(v).cast("double"), 6) for m, v in zip(("q25", "median", "q75"), own)}
         rows.append(F.struct(F.lit(c).alias("column_name"), *(made[m].alias(m) for m in order)).alias(c))
     return df.agg(*rows).select(F.explode(F.array(*(f"`{c}`" for c in columns))).alias("p")).select("p.*")
 

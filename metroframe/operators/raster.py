@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
 #: Thermal constants of the sensor's band (K1, K2), emissivity, wavelength over h * c / k in 1 / K.
 K1, K2, EMISSIVITY, PER_KELVIN = 774.8853, 1321.0789, 0.97, 10.895e-6 / 1.438e-2
 
@@ -33,9 +35,8 @@ def surface_kelvin(radiance: Column) -> Column:
 def change_magnitude(pixels: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """Adds magnitude, the length of the change over the pairs of bands, as a share of the longest."""
     length = F.sqrt(sum((F.pow(F.col(b).cast("double") - F.col(a), F.lit(2)) for a, b in pairs), F.lit(0.0)))
-    long = pixels.withColumn("length", length)
-    most = long.agg(F.max("length").alias("most"))  # one row
-    return long.join(F.broadcast(most)).withColumn("magnitude", F.col("length") / F.expr("nullif(most, 0)")).drop("length", "most")
+    most = pixels.agg(F.max(length)).first()[0]
+    return pixels.withColumn("magnitude", length / most if most else F.lit(None).cast("double"))
 
 
 def transitions(pixels: DataFrame, before: str, after: str) -> DataFrame:
@@ -54,13 +55,15 @@ def directions(pixels: DataFrame, x: str, y: str) -> DataFrame:
 
 def weighted_risk(pixels: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Adds risk: the weighted sum of the columns, each scaled to 0..1 by its least and largest value (0 where they are equal)."""
-    bounds = pixels.agg(*(f(c).cast("double").alias(f"{c}_{n}") for c in weights for f, n in ((F.min, "low"), (F.max, "high"))))  # one row
-    scaled = sum((w * F.coalesce((F.col(c) - F.col(f"{c}_low")) / F.expr(f"nullif({c}_high - {c}_low, 0)"), F.lit(0.0)) for c, w in weights.items()), F.lit(0.0))
-    return pixels.join(F.broadcast(bounds)).withColumn("risk", scaled).drop(*bounds.columns)
+    bounds = pixels.agg(*(f(c).cast("double") for c in weights for f in (F.min, F.max))).first()  # one row
+    scaled = F.lit(0.0)
+    for i, (c, w) in enumerate(weights.items()):
+        low, high = bounds[2 * i], bounds[2 * i + 1]
+        scaled = scaled + (w * F.coalesce((F.col(c) - low) / (high - low), F.lit(0.0)) if low is not None and high > low else F.lit(0.0))
+    return pixels.withColumn("risk", scaled)
 
 
 def levels(pixels: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """Adds level, the number of the shares' percentiles of value that it reaches."""
-    cuts = pixels.agg(F.percentile(value, F.array(*map(F.lit, shares))).alias("cuts"))  # one row
-    reached = sum(((F.col(value) >= F.col("cuts")[i]).cast("int") for i in range(len(shares))), F.lit(0))
-    return pixels.join(F.broadcast(cuts)).withColumn("level", reached).drop("cuts")
+    """Adds level, the number of the shares' percentiles of value that it reaches; null without a value."""
+    cuts = ranks.quantiles(pixels, value, shares)
+    return pixels.withColumn("level", sum(((F.col(value) >= F.lit(c).cast("double")).cast("int") for c in cuts), F.lit(0)))

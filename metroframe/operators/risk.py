@@ -26,6 +26,8 @@ WEIGHTS = {
     ("call_only", "device_priority"): (0.10, 0.45, 0.35, 0.05, 0.03, 0.02),
     ("device_only", "device_priority"): (0.10, 0.00, 0.00, 0.15, 0.40, 0.35),
 }
+#: Users of a device that is a pool.
+POOL = 3
 LEVELS = ((75, "very_high"), (55, "high"), (35, "medium"))
 BUCKETS = ((0.95, "top_5_percent"), (0.90, "top_10_percent"), (0.75, "top_25_percent"), (0.50, "middle_upper"))
 
@@ -46,17 +48,17 @@ def device_edges(calls: DataFrame) -> DataFrame:
 
 
 def features(calls: DataFrame, subjects: DataFrame) -> DataFrame:
-    """Of every subject, also one without calls: records, different counterparts, nights, mean duration, devices, those shared, peers on them, and the device with most users (the least of ties)."""
+    """Of every subject, also one without calls: records, different counterparts, nights, mean duration, devices, those shared, peers on them, pools (devices of at least POOL users), and the device with most users (the least of ties)."""
     own = calls.groupBy("src").agg(
         F.count("*").alias("call_records"), F.count_distinct("dst").alias("counterparties"), F.count_if(is_night(F.col("ts"))).alias("night_calls"), F.round(F.avg("duration"), 4).alias("mean_duration")
     )
     used = device_edges(calls).groupBy("src").agg(
-        F.count("*").alias("devices"), F.count_if(F.col("users") > 1).alias("shared_devices"), F.sum(F.col("users") - 1).alias("shared_peers"),
+        F.count("*").alias("devices"), F.count_if(F.col("users") > 1).alias("shared_devices"), F.sum(F.col("users") - 1).alias("shared_peers"), F.count_if(F.col("users") >= POOL).alias("pools"),
         F.min(F.struct((-F.col("users")).alias("n"), "device")).alias("b"),
     )
-    used = used.select("src", "devices", "shared_devices", "shared_peers", F.col("b.device").alias("strongest_device"), (-F.col("b.n") - 1).alias("strongest_peers"))
+    used = used.select("src", "devices", "shared_devices", "shared_peers", "pools", F.col("b.device").alias("strongest_device"), (-F.col("b.n") - 1).alias("strongest_peers"))
     known = subjects.join(own, F.col("id") == own["src"], "left").drop("src").join(used, F.col("id") == used["src"], "left").drop("src")
-    counts = ("call_records", "counterparties", "night_calls", "devices", "shared_devices", "shared_peers", "strongest_peers")
+    counts = ("call_records", "counterparties", "night_calls", "devices", "shared_devices", "shared_peers", "pools", "strongest_peers")
     known = known.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
     return known.withColumn("night_ratio", F.round(F.coalesce(F.try_divide(F.col("night_calls"), F.col("call_records")), F.lit(0.0)), 6))
 
@@ -66,22 +68,26 @@ def with_ranks(feats: DataFrame) -> DataFrame:
     return ranks.percent_ranks(feats, {c: f"{c}_rank" for c in COMPONENTS[1:]})
 
 
-def weighted(ranked: DataFrame, risk: Column, mode: str, view: str) -> DataFrame:
-    """risk_score: 100 times the weighted sum of ranks and label; driver: what the greatest component is about. Views leave out labelled subjects, or those without shared devices."""
-    if view == "unlabeled_only":
-        ranked = ranked.where(~risk)
-    elif view == "device_priority":
-        ranked = ranked.where("shared_devices > 0 OR shared_peers > 0")
+def weighted(ranked: DataFrame, risk: Column, *asked: tuple[str, str]) -> DataFrame:
+    """Each subject once for each (mode, view) asked that it belongs to, with risk_score, 100 times the weighted sum of ranks and label, and driver: what the greatest component is about.
+
+    Views leave out labelled subjects, or those without shared devices. All modes and views come from the same rows, which meet nothing."""
+    numbers = lambda w: F.array(*(F.lit(float(x)) for x in w))
+    made = F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(v).alias("view"), numbers(WEIGHTS[m, v]).alias("w")) for m, v in asked))
+    in_view = lambda x: F.when(x["view"] == "unlabeled_only", ~risk).when(x["view"] == "device_priority", (F.col("shared_devices") > 0) | (F.col("shared_peers") > 0)).otherwise(True)
+    one = ranked.select("*", F.explode(F.filter(made, in_view)).alias("_asked"))
     values = [risk.cast("double"), *(F.col(f"{c}_rank") for c in COMPONENTS[1:])]
-    parts = [F.round(100.0 * w * v, 6) for w, v in zip(WEIGHTS[mode, view], values)]
+    weights = [F.col("_asked.w")[i] for i in range(len(values))]
+    parts = [F.round(100.0 * w * v, 6) for w, v in zip(weights, values)]
     order = F.sort_array(F.array(*(F.struct(p.alias("v"), F.lit(-i).alias("o")) for i, p in enumerate(parts))), asc=False)
-    top, second = -order[0]["o"], -order[1]["o"]
+    scored = one.withColumns({"_order": order, "mode": F.col("_asked.mode"), "view": F.col("_asked.view"), "risk_score": F.round(sum(100.0 * w * v for w, v in zip(weights, values)), 6)})
+    top, second = -F.col("_order")[0]["o"], -F.col("_order")[1]["o"]
     driver = (
-        F.when(order[0]["v"] <= 0, "weak")
+        F.when(F.col("_order")[0]["v"] <= 0, "weak")
         .when((top == 0) & (second >= 3), "label_and_devices").when((top == 0) & (second >= 1), "label_and_calls").when(top == 0, "label")
         .when(top >= 3, "devices").when(top == 2, "contacts").otherwise("calls")
     )
-    return ranked.withColumns({"mode": F.lit(mode), "view": F.lit(view), "risk_score": F.round(sum(100.0 * w * v for w, v in zip(WEIGHTS[mode, view], values)), 6), "driver": driver})
+    return scored.withColumn("driver", driver).drop("_asked", "_order")
 
 
 def top_of_view(scored: DataFrame, view: str, k: int) -> DataFrame:
@@ -191,7 +197,8 @@ def member_signals(pairs: DataFrame, feats: DataFrame) -> DataFrame:
 
 def core_scores(feats: DataFrame, internal: DataFrame, floors: dict[str, float]) -> DataFrame:
     """Flags of a group's members against the upper quartile of the group (at least the floors), and group_core_score."""
-    limits = {c: max(f, ranks.quantiles(feats, c, [0.75])[0] or 0.0) for c, f in floors.items()}
+    found = ranks.quantile_table(feats, list(floors), [[0.75]] * len(floors))
+    limits = {c: max(f, q[0] or 0.0) for (c, f), q in zip(floors.items(), found)}
     flags = {
         "flag_calls": F.col("call_records") >= limits["call_records"],
         "flag_contacts": F.col("counterparties") >= limits["counterparties"],
@@ -202,7 +209,7 @@ def core_scores(feats: DataFrame, internal: DataFrame, floors: dict[str, float])
     joined = feats.join(internal, "id", "left").withColumn("internal_neighbours", F.coalesce("internal_neighbours", F.lit(0)))
     score = (
         signals * 20 + F.least(F.col("shared_peers"), F.lit(200)) * 0.4 + F.least(F.col("call_records"), F.lit(500)) * 0.03 + F.least(F.col("counterparties"), F.lit(500)) * 0.05
-        + F.least(F.col("strongest_peers"), F.lit(20)) * 3 + F.least(F.col("internal_neighbours"), F.lit(20)) * 2 + F.coalesce((F.col("label") == 1).cast("int"), F.lit(0)) * 8
+        + F.least(F.col("pools"), F.lit(20)) * 3 + F.least(F.col("internal_neighbours"), F.lit(20)) * 2 + F.coalesce((F.col("label") == 1).cast("int"), F.lit(0)) * 8
     )
     return joined.select("id", *(f.alias(n) for n, f in flags.items()), signals.alias("signal_count"), "internal_neighbours", F.round(score, 4).alias("group_core_score"))
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import calendar, geo
+from . import ranks
 
 
 def record_text(columns: list[str]) -> Column:
@@ -78,9 +81,9 @@ def audit(matches: DataFrame, names: list[str], mode: str) -> DataFrame:
 
 
 def upper_threshold(df: DataFrame, column: str, quantile: float, floor: float) -> DataFrame:
-    """The quantile rounded up, but at least floor: one row. From counts per value, so that equal values are one row."""
-    counted = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    return counted.agg(F.greatest(F.lit(floor), F.coalesce(F.ceil(F.percentile("v", F.lit(quantile), F.col("n"))).cast("double"), F.lit(floor))).alias("threshold"))
+    """The quantile rounded up, but at least floor: one row; floor without values."""
+    (found,) = ranks.quantiles(df, column, [quantile])
+    return df.sparkSession.range(1).select(F.greatest(F.lit(float(floor)), F.lit(float(floor if found is None else math.ceil(found)))).alias("threshold"))
 
 
 def faceted(df: DataFrame, words: str, weights: dict[str, float], terms: dict[str, str], dates: tuple[str, str, str], newest: str, key: str, page: int, size: int) -> DataFrame:
@@ -107,10 +110,12 @@ def visible(df: DataFrame, workspace: str) -> DataFrame:
 
 def with_landmarks(df: DataFrame, landmarks: DataFrame, city: str, cell: str, prefix: int) -> DataFrame:
     """A landmark by city and cell; where there is none, the first one by name of those in the same city whose cell begins alike. The gazetteer may have any size."""
-    known = landmarks.select(F.col(city), F.col(cell), F.col("landmark").alias("_exact"))
-    near = landmarks.groupBy(F.col(city), F.substring(cell, 1, prefix).alias("_prefix")).agg(F.min("landmark").alias("_near"))
-    found = df.join(known, [city, cell], "left").withColumn("_prefix", F.substring(cell, 1, prefix)).join(near, [city, "_prefix"], "left")
-    return found.withColumn("landmark", F.coalesce("_exact", "_near")).select(*df.columns, "landmark")
+    one, two = df.alias("one"), uuid.uuid4().hex[:8]
+    known = landmarks.select(F.col(city).alias(f"{two}_a"), F.col(cell).alias(f"{two}_b"), F.col("landmark").alias(f"{two}_exact"))
+    near = landmarks.groupBy(F.col(city).alias(f"{two}_c"), F.substring(cell, 1, prefix).alias(f"{two}_d")).agg(F.min("landmark").alias(f"{two}_near"))
+    found = one.join(known, (F.col(f"one.{city}") == F.col(f"{two}_a")) & (F.col(f"one.{cell}") == F.col(f"{two}_b")), "left")
+    found = found.join(near, (F.col(f"one.{city}") == F.col(f"{two}_c")) & (F.substring(F.col(f"one.{cell}"), 1, prefix) == F.col(f"{two}_d")), "left")
+    return found.select(*(F.col(f"one.{c}") for c in df.columns), F.coalesce(f"{two}_exact", f"{two}_near").alias("landmark"))
 
 
 def compact(df: DataFrame, vectors: list[str], text: int = 300, items: int = 20) -> DataFrame:

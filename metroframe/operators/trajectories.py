@@ -230,17 +230,18 @@ def meeting_summary(found: DataFrame) -> DataFrame:
 
 
 def fused(evidence: DataFrame, region: str, ts: str, score: str, source: str, label: str, width: str) -> DataFrame:
-    """Evidence of each region and time: sum of log1p(score), greatest score, rows, sources with their counts, and the three most frequent labels."""
+    """Evidence of each region and time: sum of log1p(score), greatest score, rows, all sources with their counts, and the three most frequent labels."""
     rows = evidence.select(F.col(region).alias("region"), calendar.bucket(F.col(ts), width).alias("bucket"), F.col(score).alias("s"), F.col(source).alias("f"), F.col(label).alias("l"))
     keys = ["region", "bucket"]
 
-    def tops(c: str, k: int) -> DataFrame:
+    def tops(c: str, k: int | None) -> DataFrame:
         counted = rows.groupBy(*keys, c).agg(F.count("*").alias("n"))
-        order = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col(c).cast("string").alias("v")))), 1, k)
+        order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col(c).cast("string").alias("v"))))
+        order = order if k is None else F.slice(order, 1, k)
         return counted.groupBy(*keys).agg(F.array_join(F.transform(order, lambda x: F.concat(x["v"], F.lit("="), (-x["n"]).cast("string"))), ",").alias(f"{c}_counts"))
 
     sums = rows.groupBy(*keys).agg(F.round(F.sum(F.log1p(F.greatest("s", F.lit(0.0)))), 4).alias("fused"), F.max("s").alias("top"), F.count("*").alias("n"))
-    return sums.join(tops("f", 1000), keys).join(tops("l", 3), keys)
+    return sums.join(tops("f", None), keys).join(tops("l", 3), keys)
 
 
 def movement_state(points: DataFrame, user: str, ts: str, lat: str, lon: str, order: str, cell: str) -> DataFrame:

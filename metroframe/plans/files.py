@@ -79,8 +79,9 @@ def flat_records(spark, folder):
 @query("SELECT p_partkey::VARCHAR AS id, translate(p_name, 'abcdefgh', '中文城市数据分析') AS name FROM part")
 def foreign_csv(spark, folder):
     path = f"{scratch(spark, 'csv')}/gbk.csv"
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    load(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.translate("p_name", "abcdefgh", "中文城市数据分析").alias("name")).write.csv(path, header=True, encoding="GBK")
+    names = load(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.translate("p_name", "abcdefgh", "中文城市数据分析").alias("name"))
+    with files.foreign_encodings(spark):
+        names.write.csv(path, header=True, encoding="GBK")
     return files.read_foreign_csv(spark, path)
 
 

@@ -65,10 +65,11 @@ _RATIO = f"log10(greatest(greatest({_B}, {_G}) / ({_R} + 1e-6::DOUBLE), 1e-6::DO
 
 
 @query(f"""SELECT p_partkey, round(10::DOUBLE ** ({' + '.join(f'{c}::DOUBLE * {_RATIO} ** {i}' for i, c in enumerate(patches.CHLOROPHYLL))}), 5) AS chlorophyll, round({patches.AP}::DOUBLE * {_LOW} / (1 - {_LOW} / {patches.CP}::DOUBLE + 1e-6::DOUBLE) + {patches.BP}::DOUBLE, 5) AS suspended,
-    round(CASE WHEN {_LOW} < 0.05::DOUBLE THEN {patches.CLEAR}::DOUBLE * {_LOW} ELSE {patches.TURBID}::DOUBLE * {_LOW} / (1 - {_LOW} + 1e-6::DOUBLE) END, 5) AS turbidity FROM ({PIXELS})""")
+    round(CASE WHEN {_LOW} < 0.05::DOUBLE THEN {patches.CLEAR}::DOUBLE * {_LOW} ELSE {patches.TURBID}::DOUBLE * {_LOW} / (1 - {_LOW} + 1e-6::DOUBLE) END, 5) AS turbidity,
+    round(0.5::DOUBLE * least(3, red / 250.0::DOUBLE / (blue / 250.0::DOUBLE + 1e-6::DOUBLE)) + 0.3::DOUBLE * least(3, red / 250.0::DOUBLE / (green / 250.0::DOUBLE + 1e-6::DOUBLE)) + 0.2::DOUBLE * greatest(0, least(1, (nir - green) / (green + nir)::DOUBLE)), 5) AS oxygen FROM ({PIXELS})""")
 def water_quality(spark, folder):
     r, g, b = (F.col(c) / 250.0 for c in ("red", "green", "blue"))
-    found = {"chlorophyll": patches.chlorophyll(b, g, r), "suspended": patches.suspended_matter(r), "turbidity": patches.turbidity(r)}
+    found = {"chlorophyll": patches.chlorophyll(b, g, r), "suspended": patches.suspended_matter(r), "turbidity": patches.turbidity(r), "oxygen": patches.oxygen_demand(b, g, r, raster.normalised_difference(F.col("green"), F.col("nir")))}
     return pixels(spark, folder).select("p_partkey", *(F.round(v, 5).alias(n) for n, v in found.items()))
 
 

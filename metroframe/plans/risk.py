@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import risk
 from ..operators.graph import connected_components
-from ..sources.tables import load
+from ..sources.tables import cut, load
 from .registry import registry
 
 QUERIES, ORACLE_SQL, query = registry()
@@ -18,9 +18,9 @@ MEMBERS = "members AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 10
 RISK = "(label = 1 OR sub_label IN ('machinery'))"
 FEATURES = f"""{CALLS}, {SUBJECTS}, de AS (SELECT src, device, count(*) OVER (PARTITION BY device) AS users FROM (SELECT DISTINCT src, device FROM calls)),
     own AS (SELECT src, count(*) AS call_records, count(DISTINCT dst) AS counterparties, count(*) FILTER (hour(ts) >= 22 OR hour(ts) < 6) AS night_calls, round(avg(duration), 4) AS mean_duration FROM calls GROUP BY 1),
-    used AS (SELECT src, count(*) AS devices, count(*) FILTER (users > 1) AS shared_devices, sum(users - 1)::BIGINT AS shared_peers, arg_min(device, (-users, device)) AS strongest_device, max(users) - 1 AS strongest_peers FROM de GROUP BY 1),
+    used AS (SELECT src, count(*) AS devices, count(*) FILTER (users > 1) AS shared_devices, sum(users - 1)::BIGINT AS shared_peers, count(*) FILTER (users >= 3) AS pools, arg_min(device, (-users, device)) AS strongest_device, max(users) - 1 AS strongest_peers FROM de GROUP BY 1),
     features AS (SELECT id, province, label, sub_label, coalesce(call_records, 0) AS call_records, coalesce(counterparties, 0) AS counterparties, coalesce(night_calls, 0) AS night_calls, mean_duration, coalesce(devices, 0) AS devices,
-        coalesce(shared_devices, 0) AS shared_devices, coalesce(shared_peers, 0) AS shared_peers, strongest_device, coalesce(strongest_peers, 0) AS strongest_peers, round(coalesce(night_calls / nullif(call_records, 0)::DOUBLE, 0), 6) AS night_ratio
+        coalesce(shared_devices, 0) AS shared_devices, coalesce(shared_peers, 0) AS shared_peers, coalesce(pools, 0) AS pools, strongest_device, coalesce(strongest_peers, 0) AS strongest_peers, round(coalesce(night_calls / nullif(call_records, 0)::DOUBLE, 0), 6) AS night_ratio
         FROM subjects LEFT JOIN own ON own.src = id LEFT JOIN used ON used.src = id)"""
 PCT = "(CASE WHEN max({0}) OVER () = min({0}) OVER () THEN 0 ELSE (rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0) / count(*) OVER () END)::DOUBLE"
 RANKED = f"{FEATURES}, ranked AS (SELECT *, {', '.join(PCT.format(c) + f' AS {c}_rank' for c in risk.COMPONENTS[1:])} FROM features)"
@@ -83,12 +83,8 @@ def feature_ranks(spark, folder):
 
 @query(f"WITH {SCORED} SELECT id, mode, view, round(risk_score, 4) AS risk_score, driver FROM scored")
 def risk_scores(spark, folder):
-    ranked = risk.with_ranks(_features(spark, folder))
-    made = [risk.weighted(ranked, _risk(), m, v).select("id", "mode", "view", F.round("risk_score", 4).alias("risk_score"), "driver") for m, v in risk.WEIGHTS]
-    out = made[0]
-    for m in made[1:]:
-        out = out.union(m)
-    return out
+    scored = risk.weighted(risk.with_ranks(_features(spark, folder)), _risk(), *risk.WEIGHTS)
+    return scored.select("id", "mode", "view", F.round("risk_score", 4).alias("risk_score"), "driver")
 
 
 @query(f"""WITH {SCORED}, t AS (SELECT *, round({PCT.format('risk_score').replace('OVER ()', 'OVER (PARTITION BY view)').replace('OVER (ORDER', 'OVER (PARTITION BY view ORDER').replace('PARTITION BY risk_score', 'PARTITION BY view, risk_score')}, 6) AS percentile FROM scored WHERE mode = 'mixed'),
@@ -97,8 +93,9 @@ def risk_scores(spark, folder):
     SELECT id, view, level, bucket, round(risk_score, 4) AS risk_score FROM n QUALIFY row_number() OVER (PARTITION BY view ORDER BY risk_score DESC, CASE WHEN view = 'device_priority' THEN shared_peers ELSE counterparties END DESC,
     CASE WHEN view = 'device_priority' THEN shared_devices ELSE call_records END DESC, CASE WHEN view = 'device_priority' THEN devices ELSE shared_peers END DESC, id) <= 10""")
 def risk_tops(spark, folder):
-    ranked = risk.with_ranks(_features(spark, folder))
-    made = [risk.top_of_view(risk.weighted(ranked, _risk(), "mixed", v), v, 10).select("id", "view", "level", "bucket", F.round("risk_score", 4).alias("risk_score")) for v in ("overall", "unlabeled_only", "device_priority")]
+    views = ("overall", "unlabeled_only", "device_priority")
+    scored = cut(spark, risk.weighted(risk.with_ranks(_features(spark, folder)), _risk(), *(("mixed", v) for v in views)))
+    made = [risk.top_of_view(scored.where(F.col("view") == v), v, 10).select("id", "view", "level", "bucket", F.round("risk_score", 4).alias("risk_score")) for v in views]
     return made[0].union(made[1]).union(made[2])
 
 
@@ -192,7 +189,7 @@ def member_signals(spark, folder):
 @query(f"""WITH {PAIRS}, f AS (SELECT * FROM features JOIN members USING (id)), q AS (SELECT greatest(30, quantile_cont(call_records, 0.75)) AS qc, greatest(20, quantile_cont(counterparties, 0.75)) AS qp, greatest(3, quantile_cont(shared_peers, 0.75)) AS qs FROM f),
     i AS (SELECT id, count(*) AS internal_neighbours FROM (SELECT unnest([a, b]) AS id FROM ip) GROUP BY 1), g AS (SELECT f.*, coalesce(internal_neighbours, 0) AS internal_neighbours, call_records >= qc AS flag_calls, counterparties >= qp AS flag_contacts, shared_devices >= 1 OR shared_peers >= qs AS flag_devices,
     night_calls >= 3 AND night_ratio >= 0.3 AS flag_nights FROM f LEFT JOIN i USING (id), q), h AS (SELECT *, flag_calls::INT + flag_contacts::INT + flag_devices::INT + flag_nights::INT AS signal_count FROM g)
-    SELECT id, flag_calls, flag_contacts, flag_devices, flag_nights, signal_count, internal_neighbours, round(signal_count * 20 + least(shared_peers, 200) * 0.4 + least(call_records, 500) * 0.03 + least(counterparties, 500) * 0.05 + least(strongest_peers, 20) * 3 + least(internal_neighbours, 20) * 2 + (label = 1)::INT * 8, 4)::DOUBLE AS group_core_score FROM h""")
+    SELECT id, flag_calls, flag_contacts, flag_devices, flag_nights, signal_count, internal_neighbours, round(signal_count * 20 + least(shared_peers, 200) * 0.4 + least(call_records, 500) * 0.03 + least(counterparties, 500) * 0.05 + least(pools, 20) * 3 + least(internal_neighbours, 20) * 2 + (label = 1)::INT * 8, 4)::DOUBLE AS group_core_score FROM h""")
 def group_core_scores(spark, folder):
     rows, group = calls(spark, folder), members(spark, folder)
     internal = risk.direct_pairs(rows, group).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("internal_neighbours"))

@@ -5,12 +5,16 @@ The driver sees names of files, schemas and at most one line of a file."""
 
 from __future__ import annotations
 
+import contextlib
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import cut
+
 SUFFIXES = ("csv", "tsv", "json", "jsonl", "parquet")
 #: Names under which a JSON object may hold its list of records.
 WRAPPERS = ("data", "records", "rows", "items", "result", "results")
@@ -41,22 +45,40 @@ def sniffed(line: str) -> str:
     return max(",\t;|", key=line.count)
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None, text: bool = False, encoding: str = "UTF-8") -> DataFrame:
-    """A table with a header. sep: None finds it in the first line. text: all columns stay text, so ids keep their zeros."""
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, text: bool = False, encoding: str = "UTF-8", multiline: bool | None = None) -> DataFrame:
+    """A table with a header. sep: None finds it in the first line. text: all columns stay text, so ids keep their zeros.
+
+    multiline: whether values in quotes may hold line breaks; files are then read whole, a task each. None looks for a line with an
+    odd number of quotes first, so that files without any are read in parts."""
     sep = sniffed(first_line(spark, path)) if sep is None else sep
-    return spark.read.csv(path, header=True, sep=sep, inferSchema=not text, encoding=encoding, multiLine=False, escape='"', ignoreLeadingWhiteSpace=False)
+    if multiline is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multiline = not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
+    return spark.read.csv(path, header=True, sep=sep, inferSchema=not text, encoding=encoding, multiLine=multiline, escape='"', ignoreLeadingWhiteSpace=False)
+
+
+@contextlib.contextmanager
+def foreign_encodings(spark: SparkSession):
+    """Inside, Spark reads and writes encodings beyond its own; the session's setting is as before afterwards."""
+    name = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def read_foreign_csv(spark: SparkSession, path: str, encodings: tuple[str, ...] = ("UTF-8", "GBK")) -> DataFrame:
     """All columns as text, in the first encoding in which the file has no character that can't be read; else in the last.
 
-    Spark reads such encodings only with spark.sql.legacy.javaCharsets, which is set for the session."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    for encoding in encodings:
-        df = read_csv(spark, path, ",", text=True, encoding=encoding)
-        broken = F.concat_ws("", *df.columns).contains("\ufffd")
-        if encoding == encodings[-1] or df.where(broken).limit(1).isEmpty():
-            return df
+    The rows are written anew as a table, as the encoding needs a setting that isn't left on for the session."""
+    with foreign_encodings(spark):
+        for encoding in encodings:
+            df = read_csv(spark, path, ",", text=True, encoding=encoding)
+            broken = F.concat_ws("", *df.columns).contains("\ufffd")
+            if encoding == encodings[-1] or df.where(broken).limit(1).isEmpty():
+                return cut(spark, df)
     raise ValueError("no encodings")
 
 
@@ -225,19 +247,43 @@ def write_result(df: DataFrame, folder: str, name: str) -> None:
 
 
 def publish(df: DataFrame, table: str, dataset: str, version: str) -> None:
-    """A version of a dataset in a table in folders by dataset and version: what the same version had is replaced, others stay as they are."""
-    rows = df.withColumns({"dataset_id": F.lit(dataset), "version_id": F.lit(version)})
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset_id", "version_id").parquet(f"{table}/rows")
-    state = rows.sparkSession.createDataFrame([(version,)], "current string")
-    state.withColumns({"dataset_id": F.lit(dataset), "at": F.unix_micros(F.current_timestamp())}).write.mode("append").partitionBy("dataset_id").parquet(f"{table}/current")
+    """A version of a dataset in a table: what the same version had is replaced, by nothing if there are no rows; others stay as they are.
+
+    Rows go to a folder of their own first; the row of state that names it is one small write, so a publication that fails leaves what was there."""
+    spark, publication = df.sparkSession, uuid.uuid4().hex
+    df.withColumns({"dataset_id": F.lit(dataset), "version_id": F.lit(version)}).write.parquet(f"{table}/rows/publication={publication}")
+    _state(spark, table, dataset, version, publication)
+
+
+def retire(spark: SparkSession, table: str, dataset: str, version: str) -> None:
+    """Take one exact version away; the one published last of those left is current."""
+    _state(spark, table, dataset, version, None)
+
+
+def _state(spark: SparkSession, table: str, dataset: str, version: str, publication: str | None) -> None:
+    state = spark.createDataFrame([(dataset, version, publication)], "dataset_id string, version_id string, publication string")
+    state.withColumn("at", F.unix_micros(F.current_timestamp())).coalesce(1).write.mode("append").parquet(f"{table}/state")
 
 
 def published(spark: SparkSession, table: str) -> DataFrame:
-    """All versions; is_current: it is the one published last. Only that one changes hands when a version is published, no row is written again."""
-    last = spark.read.parquet(f"{table}/current").groupBy("dataset_id").agg(F.max_by("current", "at").alias("_current"))
-    rows = spark.read.parquet(f"{table}/rows").withColumns({c: F.col(c).cast("string") for c in ("dataset_id", "version_id")})
-    last = last.withColumns({c: F.col(c).cast("string") for c in ("dataset_id", "_current")})
-    return rows.join(F.broadcast(last), "dataset_id").withColumn("is_current", F.col("version_id") == F.col("_current")).drop("_current")
+    """The rows of all versions; is_current: the version is the one published last of its dataset, with or without rows."""
+    latest = spark.read.parquet(f"{table}/state").groupBy("dataset_id", "version_id").agg(F.max("at").alias("_at"), F.max_by("publication", "at").alias("publication")).where("publication IS NOT NULL")
+    last = latest.groupBy("dataset_id").agg(F.max_by("version_id", "_at").alias("_current"))
+    state = latest.join(last, "dataset_id").select("publication", (F.col("version_id") == F.col("_current")).alias("is_current"))
+    rows = spark.read.option("mergeSchema", "true").parquet(f"{table}/rows").withColumn("publication", F.col("publication").cast("string"))
+    return rows.join(F.broadcast(state), "publication").drop("publication")  # a row for each version
+
+
+def clean(spark: SparkSession, table: str) -> int:
+    """Delete the rows of publications that were replaced or taken away, and say how many; not while one is being published."""
+    latest = spark.read.parquet(f"{table}/state").groupBy("dataset_id", "version_id").agg(F.max_by("publication", "at").alias("p")).where("p IS NOT NULL")
+    used = {r["p"] for r in latest.collect()}  # one for each version
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/rows")
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = [f.getPath() for f in files.listStatus(at) if f.getPath().getName().startswith("publication=") and f.getPath().getName().partition("=")[2] not in used]
+    for path in gone:
+        files.delete(path, True)
+    return len(gone)
 
 
 def described(df: DataFrame) -> DataFrame:
