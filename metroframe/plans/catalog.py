@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import mobility, profiling, relations, retrieval, series
 from ..sources.tables import load
-from . import activity, business, detectors, files, graphs, models, overviews, passages, patches, risk, scalars, scenes, searches, streams, trajectories
+from . import activity, business, detectors, files, graphs, models, overviews, people, passages, patches, risk, scalars, scenes, searches, streams, trajectories
 
 
 def _events(spark, folder):
@@ -105,7 +105,7 @@ QUERIES = {
         shared_partners, hops, subject_metrics, screening_score, daily_series, rolling_anomalies, seasonal_forecast, nearest_centroid, rank_fusion,
     )
 }
-FAMILIES = (activity, business, scenes, streams, scalars, files, searches, risk, overviews, trajectories, graphs, detectors, patches, passages, models)
+FAMILIES = (activity, business, scenes, streams, scalars, files, searches, risk, overviews, trajectories, graphs, detectors, patches, passages, models, people)
 for _family in FAMILIES:
     QUERIES |= _family.QUERIES
 
