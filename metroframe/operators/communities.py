@@ -47,7 +47,7 @@ def modularity(links: DataFrame, members: DataFrame, resolution: float = 1.0) ->
 
 def _look(state: DataFrame, both: DataFrame, total: float, resolution: float) -> DataFrame:
     """state (node, k, loop, c) with what each node has inside its community, where it would rather be, and what it gains (node, k, loop, c, inside, to, gain)."""
-    there = both.join(state.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v").groupBy("u", "cv").agg(F.sum("w").alias("w"))
+    there = both.join(state.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v").select("u", "cv", "w")
     own = state.select(F.col("node").alias("u"), F.col("c").alias("cv"), F.lit(0.0).alias("w"))
     towards = there.unionByName(own).groupBy("u", "cv").agg(F.sum("w").alias("w"))
     sums = state.groupBy(F.col("c").alias("cv")).agg(F.sum("k").alias("sum"))

@@ -18,18 +18,27 @@ def contact_pairs(edges: DataFrame, src: str, dst: str) -> DataFrame:
 BLOCK = 2048
 
 
+def met(left: DataFrame, right: DataFrame, item: str) -> DataFrame:
+    """left and right joined on item, which both have beside columns of their own.
+
+    A popular item's rows are dealt into blocks of about BLOCK on either side, and each pair of blocks is a key of its own, so its pairs are made in
+    many tasks. Every pair is made: a of the left and b of the right make a * b."""
+    size = lambda df, name: df.groupBy(item).agg(F.ceil(F.count("*") / BLOCK).alias(name)).where(F.col(name) > 1)
+    popular = size(left, "_left").join(size(right, "_right"), item, "full")
+    dealt = lambda df: df.join(popular, item, "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("_left", "_right")})
+    own = lambda df, n: F.pmod(F.xxhash64(*(c for c in df.columns if c != item)), n)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    one = dealt(left).select(*left.columns, own(left, F.col("_left")).alias("_i"), all_of("_right").alias("_j"))
+    two = dealt(right).select(*right.columns, all_of("_left").alias("_i"), own(right, F.col("_right")).alias("_j"))
+    return one.join(two, [item, "_i", "_j"]).drop("_i", "_j")
+
+
 def shared_partners(edges: DataFrame, member: str, partner: str, least: int) -> DataFrame:
     """Pairs of members with at least so many partners in common. Edges are made distinct before they meet.
 
-    A partner's members are dealt into blocks of about BLOCK, and each pair of blocks is a key of its own, so a popular partner is spread over many tasks.
-    Every pair that the question asks for is made, k * (k - 1) / 2 of them for a partner of k members; they are added up before they are dealt by pair."""
+    Every pair that the question asks for is made, k * (k - 1) / 2 of them for a partner of k members, in blocks; they are added up before they are dealt by pair."""
     one = edges.where(F.col(partner).isNotNull() & F.col(member).isNotNull()).select(F.col(partner).alias("p"), F.col(member).alias("a")).distinct()
-    blocks = one.groupBy("p").agg(F.ceil(F.count("*") / BLOCK).alias("_blocks")).where("_blocks > 1")
-    dealt = one.join(blocks, "p", "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("a"), "_blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
-    left = dealt.select("p", "a", F.col("_own").alias("_i"), other.alias("_j"))
-    right = dealt.select("p", F.col("a").alias("b"), other.alias("_i"), F.col("_own").alias("_j"))
-    pairs = left.join(right, ["p", "_i", "_j"]).where("a < b")
+    pairs = met(one, one.withColumnRenamed("a", "b"), "p").where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 

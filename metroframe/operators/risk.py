@@ -1,7 +1,7 @@
 """Risk of subjects that call others and use devices: features, weighted scores, evidence, groups and their relations.
 
 Calls are rows (src, dst, device, ts, duration), subjects (id, province, label, sub_label). A device that very many use is counted, its
-pairs are made only within the group that is asked about, whose members are a table of any size."""
+pairs are made only within the group that is asked about, whose members are a table of any size, and in blocks."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import is_night
 from . import ranks
+from .relations import met
 
 # Weights of the components by mode and view, in the order of COMPONENTS.
 COMPONENTS = ("label_risk", "call_records", "counterparties", "devices", "shared_devices", "shared_peers")
@@ -111,14 +112,14 @@ def overlap_peers(calls: DataFrame, members: DataFrame) -> DataFrame:
     """For each member (id) and every other subject: counterparts in common. Only the members' counterparts are joined."""
     one = calls.select("src", "dst").distinct()
     own = one.join(members.select(F.col("id").alias("src")), "src", "left_semi").withColumnRenamed("src", "id")
-    return own.join(one.withColumnRenamed("src", "peer"), "dst").where("id != peer").groupBy("id", "peer").agg(F.count("*").alias("common"))
+    return met(own, one.withColumnRenamed("src", "peer"), "dst").where("id != peer").groupBy("id", "peer").agg(F.count("*").alias("common"))
 
 
 def shared_peers(calls: DataFrame, members: DataFrame) -> DataFrame:
     """For each member and every other subject: devices in common."""
     one = calls.select("src", "device").distinct()
     own = one.join(members.select(F.col("id").alias("src")), "src", "left_semi").withColumnRenamed("src", "id")
-    return own.join(one.withColumnRenamed("src", "peer"), "device").where("id != peer").groupBy("id", "peer").agg(F.count("*").alias("devices_shared"))
+    return met(own, one.withColumnRenamed("src", "peer"), "device").where("id != peer").groupBy("id", "peer").agg(F.count("*").alias("devices_shared"))
 
 
 def evidence(feats: DataFrame, common: Column, volume: Column, risk: Column, trusted: Column) -> DataFrame:
@@ -138,7 +139,7 @@ def evidence(feats: DataFrame, common: Column, volume: Column, risk: Column, tru
 def _pairs(edges: DataFrame, members: DataFrame, item: str) -> DataFrame:
     """Pairs of members (a < b) that have an item in common, with the item."""
     one = edges.select(F.col("src").alias("a"), item).distinct().join(members.select(F.col("id").alias("a")), "a", "left_semi")
-    return one.join(one.withColumnRenamed("a", "b"), item).where("a < b")
+    return met(one, one.withColumnRenamed("a", "b"), item).where("a < b")
 
 
 def device_pairs(calls: DataFrame, members: DataFrame) -> DataFrame:
@@ -158,7 +159,7 @@ def counterpart_pairs(calls: DataFrame, members: DataFrame, least: int) -> DataF
     """Pairs of members with at least max(2, least) counterparts in common: how many, and the calls of both to them."""
     weights = calls.groupBy("src", "dst").agg(F.count("*").alias("n")).join(members.select(F.col("id").alias("src")), "src", "left_semi")
     one, two = weights.select(F.col("src").alias("a"), "dst", F.col("n").alias("n1")), weights.select(F.col("src").alias("b"), "dst", F.col("n").alias("n2"))
-    pairs = one.join(two, "dst").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common_counterparts"), F.sum(F.col("n1") + F.col("n2")).alias("common_calls"))
+    pairs = met(one, two, "dst").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common_counterparts"), F.sum(F.col("n1") + F.col("n2")).alias("common_calls"))
     return pairs.where(F.col("common_counterparts") >= max(2, least))
 
 
@@ -245,3 +246,47 @@ def common_item_scores(calls: DataFrame, one, two) -> tuple[DataFrame, DataFrame
     held = used.where(F.col("src").isin(one, two)).groupBy("device").agg(F.count("*").alias("k")).where("k = 2").select("device")
     devices = used.join(held, "device", "left_semi").groupBy("device").agg(F.count("*").alias("users")).withColumn("score", F.round(F.log1p("users") * 5, 6))
     return counterparts, devices
+
+
+# Members that share a device or a counterpart from which it shapes a cluster, the mean score of its pairs that is dense, and the names of shapes.
+SHAPING, DENSE = 3, 15.0
+SHAPES = ("shared_devices_and_counterparts", "shared_devices", "common_counterparts", "weakly_coupled", "loose_candidates")
+
+
+def cluster_shapes(calls: DataFrame, clusters: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What holds each cluster (node, cluster) together: the most members on one device and with one counterpart, the mean score of its pairs (a, b, relation_score), and the shape that follows."""
+    of = clusters.select(F.col("node").alias("src"), "cluster")
+    inside = calls.join(of, "src")
+
+    def most(item: str, name: str) -> DataFrame:
+        each = inside.where(F.col(item).isNotNull()).select("cluster", item, "src").distinct().groupBy("cluster", item).agg(F.count("*").alias("n"))
+        return each.groupBy("cluster").agg(F.max("n").alias(name))
+
+    scores = pairs.join(clusters.select(F.col("node").alias("a"), "cluster"), "a").groupBy("cluster").agg(F.avg("relation_score").alias("mean_score"))
+    rows = clusters.groupBy("cluster").agg(F.count("*").alias("size")).join(most("device", "on_device"), "cluster", "left").join(most("dst", "with_counterpart"), "cluster", "left").join(scores, "cluster", "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("on_device", "with_counterpart", "mean_score")})
+    device, counterpart, dense = F.col("on_device") >= SHAPING, F.col("with_counterpart") >= SHAPING, F.col("mean_score") >= DENSE
+    shape = F.when(device & counterpart, SHAPES[0]).when(device, SHAPES[1]).when(counterpart, SHAPES[2]).when(dense, SHAPES[3]).otherwise(SHAPES[4])
+    return rows.select("cluster", "size", "on_device", "with_counterpart", F.round("mean_score", 4).alias("mean_score"), shape.alias("shape"))
+
+
+def group_assessment(calls: DataFrame, group: DataFrame, feats: DataFrame, matrix: DataFrame, components: DataFrame, patterns: list[str]) -> DataFrame:
+    """One row about a group: members, density of calls within it, its parts of two or more (of components, node and component), how complete the evidence is, and how sure one may be.
+
+    feats: the members' features with a flag for each of patterns, which is one of the group's if at least half of the members have it. matrix: their pairs, with what each rests on. Confidence adds a fifth for each pattern, for pairs with devices over members (up to one), for
+    counterparts that two members or more have (up to five), for the evidence, and for parts. An empty group has 0 in all."""
+    n = F.col("members")
+    flags = feats.agg(F.count("*").alias("members"), *(F.count_if(p).alias(f"_{p}") for p in patterns), F.count_if(F.col("province").isNotNull() | F.col("sub_label").isNotNull()).alias("_profiles"))
+    pairs = matrix.agg(F.count("*").alias("pairs"), F.count_if(F.col("internal_calls") > 0).alias("calling_pairs"), F.count_if(F.col("shared_devices") > 0).alias("device_pairs"))
+    parts = components.groupBy("component").agg(F.count("*").alias("k")).agg(F.count_if(F.col("k") >= 2).alias("parts"), F.coalesce(F.max("k"), F.lit(0)).alias("largest_part"))
+    own = calls.join(group.select(F.col("id").alias("src")), "src", "left_semi")
+    timed = own.agg(F.count("ts").alias("_timed"), F.count("device").alias("_devices"))
+    shared = own.select("dst", "src").distinct().groupBy("dst").agg(F.count("*").alias("k")).agg(F.count_if(F.col("k") >= 2).alias("shared_counterparts"))
+    row = flags.crossJoin(pairs).crossJoin(parts).crossJoin(timed).crossJoin(shared)  # one row each
+    major = sum((F.when(n > 0, 2 * F.col(f"_{p}") >= n).otherwise(False).cast("int") for p in patterns), F.lit(0))
+    known = [F.col("_profiles") > 0, F.col("_timed") > 0, F.col("_devices") > 0, F.col("pairs") > 0, F.col("shared_counterparts") > 0, F.col("parts") > 0]
+    evidence = F.round(sum(k.cast("int") for k in known) / 6.0, 3)
+    within = lambda x: F.least(F.lit(1.0), x)
+    sure = within(0.2 * major + 0.2 * within(F.col("device_pairs") / F.greatest(n, F.lit(1))) + 0.2 * within(F.col("shared_counterparts") / 5.0) + 0.2 * evidence + 0.2 * (F.col("parts") > 0).cast("int"))
+    density = F.coalesce(F.try_divide(F.col("calling_pairs"), n * (n - 1) / 2), F.lit(0.0))
+    return row.select("members", "pairs", "calling_pairs", "device_pairs", "parts", "largest_part", "shared_counterparts", F.round(density, 6).alias("call_density"), major.alias("patterns"), evidence.alias("completeness"), F.round(sure, 3).alias("confidence"))

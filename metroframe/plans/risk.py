@@ -174,7 +174,7 @@ def gang_pairs(spark, folder):
     s AS (SELECT cluster, count(*) AS size FROM c GROUP BY 1), k AS (SELECT cluster, count(*) AS pairs FROM gang JOIN c ON id = a GROUP BY 1) SELECT cluster, size, pairs, round(2.0::DOUBLE * pairs / (size * (size - 1)), 6) AS density FROM s JOIN k USING (cluster)""")
 def gang_clusters(spark, folder):
     """Groups that kept pairs connect, with the share of their pairs that were kept."""
-    pairs = _gang(spark, folder)
+    pairs = cut(spark, _gang(spark, folder))
     found = connected_components(spark, pairs, "a", "b").withColumnRenamed("component", "cluster")
     sizes, kept = found.groupBy("cluster").agg(F.count("*").alias("size")), pairs.join(found, F.col("a") == F.col("node")).groupBy("cluster").agg(F.count("*").alias("pairs"))
     return sizes.join(kept, "cluster").withColumn("density", F.round(2.0 * F.col("pairs") / (F.col("size") * (F.col("size") - 1)), 6))
@@ -222,3 +222,28 @@ _ENDS = "e AS (SELECT src AS node, dst AS other FROM calls UNION ALL SELECT dst,
 def common_item_scores(spark, folder):
     counterparts, devices = risk.common_item_scores(calls(spark, folder), 10, 20)
     return counterparts.select(F.lit("counterpart").alias("kind"), "node", "score").union(devices.select(F.lit("device"), "device", "score"))
+
+
+@query(f"""WITH RECURSIVE {GANG.format(LEAST)}, e AS MATERIALIZED (SELECT a AS u, b AS v FROM gang UNION SELECT b, a FROM gang), r(u, v) AS (SELECT u, u FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u), c AS MATERIALIZED (SELECT u AS id, min(v) AS cluster FROM r GROUP BY 1),
+    i AS (SELECT DISTINCT cluster, src, dst, device FROM calls JOIN c ON src = id), d AS (SELECT cluster, max(n) AS on_device FROM (SELECT cluster, device, count(DISTINCT src) AS n FROM i GROUP BY 1, 2) GROUP BY 1), o AS (SELECT cluster, max(n) AS with_counterpart FROM (SELECT cluster, dst, count(DISTINCT src) AS n FROM i GROUP BY 1, 2) GROUP BY 1),
+    m AS (SELECT cluster, avg(relation_score) AS mean_score FROM gang JOIN c ON id = a GROUP BY 1) SELECT cluster, count(*) AS size, max(on_device) AS on_device, max(with_counterpart) AS with_counterpart, round(max(mean_score), 4) AS mean_score,
+    CASE WHEN max(on_device) >= 3 AND max(with_counterpart) >= 3 THEN 'shared_devices_and_counterparts' WHEN max(on_device) >= 3 THEN 'shared_devices' WHEN max(with_counterpart) >= 3 THEN 'common_counterparts' WHEN max(mean_score) >= 15 THEN 'weakly_coupled' ELSE 'loose_candidates' END AS shape FROM c JOIN d USING (cluster) JOIN o USING (cluster) JOIN m USING (cluster) GROUP BY 1""")
+def cluster_shapes(spark, folder):
+    pairs = cut(spark, _gang(spark, folder))
+    found = connected_components(spark, pairs, "a", "b").withColumnRenamed("component", "cluster")
+    return risk.cluster_shapes(calls(spark, folder), found, pairs)
+
+
+@query(f"""WITH RECURSIVE {MATRIX}, e AS MATERIALIZED (SELECT a AS u, b AS v FROM matrix UNION SELECT b, a FROM matrix), r(u, v) AS (SELECT u, u FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u), c AS (SELECT component, count(*) AS k FROM (SELECT u, min(v) AS component FROM r GROUP BY 1) GROUP BY 1),
+    f AS (SELECT count(*) AS members, (count(*) > 0 AND 2 * count(*) FILTER (call_records >= 30) >= count(*))::INT + (count(*) > 0 AND 2 * count(*) FILTER (shared_devices >= 1) >= count(*))::INT + (count(*) > 0 AND 2 * count(*) FILTER (night_ratio >= 0.3) >= count(*))::INT AS patterns FROM features JOIN members USING (id)),
+    p AS (SELECT count(*) AS pairs, count(*) FILTER (internal_calls > 0) AS calling_pairs, count(*) FILTER (shared_devices > 0) AS device_pairs FROM matrix), s AS (SELECT count(*) FILTER (k >= 2) AS shared_counterparts FROM (SELECT dst, count(DISTINCT src) AS k FROM calls WHERE src IN (FROM members) GROUP BY 1)),
+    g AS (SELECT count(*) FILTER (k >= 2) AS parts, coalesce(max(k), 0) AS largest_part FROM c), j AS (SELECT *, round((1 + 1 + 1 + (pairs > 0)::INT + (shared_counterparts > 0)::INT + (parts > 0)::INT) / 6.0::DOUBLE, 3) AS completeness FROM f, p, s, g)
+    SELECT members, pairs, calling_pairs, device_pairs, parts, largest_part, shared_counterparts, round(calling_pairs / (members * (members - 1) / 2.0::DOUBLE), 6) AS call_density, patterns, completeness,
+    round(least(1, 0.2::DOUBLE * patterns + 0.2::DOUBLE * least(1, device_pairs / members::DOUBLE) + 0.2::DOUBLE * least(1, shared_counterparts / 5.0::DOUBLE) + 0.2::DOUBLE * completeness + 0.2::DOUBLE * (parts > 0)::INT), 3)::DOUBLE AS confidence FROM j""")
+def group_assessment(spark, folder):
+    """How closely the members of a group go together, and how sure one may be of it."""
+    rows, group = calls(spark, folder), members(spark, folder)
+    matrix = cut(spark, risk.relation_matrix(rows, group))
+    feats = risk.features(rows, subjects(spark, folder).join(group, "id", "left_semi"))
+    feats = feats.withColumns({"busy": F.col("call_records") >= 30, "sharing": F.col("shared_devices") >= 1, "nightly": F.col("night_ratio") >= 0.3})
+    return risk.group_assessment(rows, group, feats, matrix, connected_components(spark, matrix, "a", "b"), ["busy", "sharing", "nightly"])
