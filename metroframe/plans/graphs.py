@@ -146,7 +146,7 @@ def partition_modularity(spark, folder):
 def louvain_communities(spark, folder):
     """Communities of buyers and what they order from, by Louvain's method, with the links inside and outside of each."""
     rows = edges(spark, folder)
-    found = communities.louvain(rows, seed=1, steps=20, tolerance=1e-3)
+    found = communities.louvain(rows, seed=1, steps=10, tolerance=1e-3)
     return communities.statistics(communities.undirected_links(rows), found)
 
 
