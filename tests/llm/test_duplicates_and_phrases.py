@@ -171,3 +171,60 @@ def test_scores_beyond_64_bits(spark):
     assert got["a b"] == (big, big + 1, score(big - 1, big, big + 1)) and got["a b c"] == min(
         ((big, big, score(big - 2, big, big)), (big - 1, big, score(big - 2, big - 1, big))), key=lambda x: x[2]
     )
+
+
+def plain_packing(texts, idf, window):
+    """(document, ids before, length) in the order in which they are packed: a seed, its best unused neighbours, and again from the last one when they are used up."""
+    from metroframe.llm import packing
+
+    index, free, placed, filled, waiting, rest, last = packing.Inverted(texts, idf), set(range(len(texts))), [], 0, [], None, None
+
+    def near(d):
+        score = index.scores(d)
+        return sorted((x for x in free if score[x] > 0), key=lambda x: (-score[x], -x))
+
+    while free or rest:
+        if rest is None:
+            waiting = [x for x in waiting if x in free] if filled else []
+            if filled and not waiting:
+                waiting = near(last)
+            d = waiting.pop(0) if waiting else min(free)
+            free.remove(d)
+            rest = (d, 0)
+        d, before = rest
+        if not filled:
+            waiting = near(d)
+        last = d
+        length = min(window - filled, len(texts[d]) - before)
+        placed.append((d, before, length))
+        filled = (filled + length) % window
+        rest = (d, before + length) if before + length < len(texts[d]) else None
+    return placed
+
+
+def merged(pieces):
+    out = []
+    for d, start, length in pieces:
+        if out and out[-1][0] == d and out[-1][1] + out[-1][2] == start:
+            out[-1] = (d, out[-1][1], out[-1][2] + length)
+        else:
+            out.append((d, start, length))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_fills_with_unused_neighbours(seed):
+    from metroframe.llm import packing
+
+    chance = np.random.default_rng(seed)
+    texts = [np.append(chance.integers(10 * (i % 4), 10 * (i % 4) + 14, chance.integers(0, 40)), 99).astype("<u2") for i in range(50)]
+    df = np.bincount(np.concatenate([np.unique(t) for t in texts]), minlength=100)
+    idf = np.log(1 + (50 - df + 0.5) / (df + 0.5))
+    pieces = packing.pack_shard(list(range(50)), texts, idf, 64)
+    assert merged([p[:3] for p in pieces]) == merged(plain_packing(texts, idf, 64))
+    sizes = Counter()
+    for _, _, length, sequence, offset in pieces:
+        assert offset == sizes[sequence]
+        sizes[sequence] += length
+    total = sum(map(len, texts))
+    assert [sizes[s] for s in range(len(sizes))] == [64] * (total // 64) + [1 << k for k in range(5, -1, -1) if total % 64 >> k & 1]
