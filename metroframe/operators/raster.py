@@ -67,3 +67,17 @@ def levels(pixels: DataFrame, value: str, shares: list[float]) -> DataFrame:
     """Adds level, the number of the shares' percentiles of value that it reaches; null without a value."""
     cuts = ranks.quantiles(pixels, value, shares)
     return pixels.withColumn("level", sum(((F.col(value) >= F.lit(c).cast("double")).cast("int") for c in cuts), F.lit(0)))
+
+
+def z_anomalies(pixels: DataFrame, values: list[str], sigma: float = 2.0, references: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """Adds anomaly: whether a pixel lies more than sigma deviations from the mean, by all values' mean distance if there are several. references gives (mean, deviation) of earlier images, else the image's own count; a deviation of 0 is 1.
+
+    Pixels without any of the values are no anomalies; those without some go by the others."""
+    own = pixels.agg(*(f(c).cast("double") for c in values for f in (F.avg, F.stddev_pop))).first()  # one row
+    parts = []
+    for i, c in enumerate(values):
+        mean, deviation = (references or {}).get(c, (own[2 * i], own[2 * i + 1]))
+        parts.append(F.abs((F.col(c) - F.lit(mean)) / F.lit(deviation or 1.0)))
+    known = F.filter(F.array(*parts), lambda x: x.isNotNull())
+    mean = F.aggregate(known, F.lit(0.0), lambda s, x: s + x) / F.size(known)
+    return pixels.withColumn("anomaly", F.when(F.size(known) > 0, mean > sigma).otherwise(False))

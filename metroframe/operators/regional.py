@@ -76,3 +76,50 @@ def stage(recent: Column, baseline: Column, recent_night: Column, baseline_night
         .when((recent_night - baseline_night >= 0.15) & (recent >= baseline), "night_shift_rising")
         .when(percent <= -30, "cooling_down").when(anomaly_days >= 2, "volatile").otherwise("stable_or_mild")
     )
+
+
+def fused_regions(evidence: DataFrame, region: str, visits: str, users: str, anomaly: str, change: str, category: str, source: str, k: int = 5) -> DataFrame:
+    """Evidence of each region from several sources: sums of visits and users, rows, anomalies, the mean change, the k most frequent categories (the least of ties) and how many sources.
+
+    Nulls count for nothing, a region without changes has none; a null or empty region is left out."""
+    rows = evidence.where(F.col(region).isNotNull() & (F.col(region) != "")).select(
+        F.col(region).alias("region"), F.col(visits).cast("double").alias("v"), F.col(users).cast("double").alias("u"), F.col(anomaly).alias("a"), F.col(change).cast("double").alias("c"), categories(F.col(category)).alias("k"), F.col(source).alias("s")
+    )
+    zero = lambda c: F.round(F.coalesce(F.sum(c), F.lit(0.0)), 2)
+    sums = rows.groupBy("region").agg(zero("v").alias("visits"), zero("u").alias("users"), F.count("*").alias("n_evidence"), F.count_if(F.col("a")).alias("anomalies"), F.round(F.avg("c"), 2).alias("mean_change"), F.count_distinct("s").alias("n_sources"))
+    named = category_counts(rows, "region", "k")
+    order = Window.partitionBy("region").orderBy(F.desc("n"), "category")
+    top = named.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).groupBy("region").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "category"))), lambda x: x["category"]).alias("top_categories"))
+    return sums.join(top, "region", "left").withColumn("top_categories", F.coalesce("top_categories", F.array().cast("array<string>")))
+
+
+def category_counts(rows: DataFrame, region: str, parsed: str) -> DataFrame:
+    """(region, category, n) of rows with their categories parsed into an array."""
+    return rows.select(F.col(region).alias("region"), F.explode(parsed).alias("category")).groupBy("region", "category").agg(F.count("*").alias("n"))
+
+
+#: What a section's trend says, and what the state of the whole says if the sections are at odds.
+WORSE, BETTER = "加重", "缓解"
+STATES = {1: ("steady_free", "low"), 2: ("steady_slow", "medium"), 3: ("steady_jam", "medium"), 4: ("steady_jam", "medium")}
+
+
+def congestion_trend(sections: DataFrame, key: str, trend: str, status: DataFrame) -> DataFrame:
+    """(key, votes, sections, trend, confidence) of each key of status (key, status): sections that get worse less those that get better, and, where these are as many, what the state of the whole says.
+
+    A state of 2, 3 or 4 without any section has low confidence; an unknown one leaves the trend unknown."""
+    votes = sections.groupBy(key).agg(F.sum(F.when(F.col(trend) == WORSE, 1).when(F.col(trend) == BETTER, -1).otherwise(0)).alias("votes"), F.count("*").alias("sections"))
+    rows = status.select(key, "status").join(votes, key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("votes", "sections")})
+    named, sure = F.lit("unknown"), F.lit("low")
+    for state, (name, confidence) in STATES.items():
+        named = F.when(F.col("status") == state, name).otherwise(named)
+        sure = F.when((F.col("status") == state) & (F.col("sections") > 0), confidence).otherwise(sure)
+    moved = F.col("votes") != 0
+    return rows.select(key, "votes", "sections", F.when(F.col("votes") > 0, "worse").when(F.col("votes") < 0, "better").otherwise(named).alias("trend"), F.when(moved, "medium").otherwise(sure).alias("confidence"))
+
+
+def related_branches(items: DataFrame, key: str, path: str, name: str, asked, level: int = 3) -> DataFrame:
+    """(key, name, place) of the items on the same branch as the one asked about (a key): those with the same first levels of path (array), itself too, in order of name. An unknown key has no rows."""
+    branch = F.array_join(F.slice(path, 1, level), "\x1f")
+    own = items.where(F.col(key) == asked).select(branch.alias("_branch")).distinct()
+    rows = items.withColumn("_branch", branch).join(F.broadcast(own), "_branch", "left_semi")  # a row, unless the key repeats
+    return rows.select(key, name, F.row_number().over(Window.partitionBy("_branch").orderBy(name, key)).alias("place"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.calendar import SLOTS, day_slot
-from ..operators import models, near, patches, tracking, warping
+from ..operators import models, near, patches, raster, tracking, warping
 from ..sources.tables import load
 from .activity import POINTS, events, points
 from .patches import SIDE
@@ -152,3 +152,15 @@ def shelter_gaps(spark, folder):
     rows = pixels(spark, folder)
     found = near.shelter_gaps(rows.where("land >= 1"), rows.where("p_partkey % 97 = 0").select("x", "y"), 150.0, 30.0, 5)
     return found.withColumn("centre_x", F.round("centre_x", 6)).withColumn("centre_y", F.round("centre_y", 6))
+
+
+@query(f"""WITH p AS ({PIXELS}), s AS (SELECT avg(red) AS m, stddev_pop(red) AS d, avg(green) AS n, stddev_pop(green) AS e FROM p) SELECT p_partkey, (abs((red - m) / d) + abs((green - n) / e)) / 2 > 1.2 AS anomaly FROM p, s""")
+def pixel_anomalies(spark, folder):
+    return raster.z_anomalies(pixels(spark, folder), ["red", "green"], 1.2).select("p_partkey", "anomaly")
+
+
+@query(f"""WITH RECURSIVE a AS MATERIALIZED ({PIXELS}), m AS MATERIALIZED (SELECT x, y, y * {SIDE} + x AS id FROM a WHERE red > 120 OR green > 150), {_PATCHED} SELECT patch, count(*) AS n_pixels, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, round(avg(x), 6) AS centre_x, round(avg(y), 6) AS centre_y FROM p GROUP BY 1 HAVING count(*) >= 4""")
+def water_hotspots(spark, folder):
+    """Patches in which one of two measures is high."""
+    found = patches.outlines(patches.patches(pixels(spark, folder).where("red > 120 OR green > 150"), "x", "y"), 4)
+    return found.withColumn("centre_x", F.round("centre_x", 6)).withColumn("centre_y", F.round("centre_y", 6))

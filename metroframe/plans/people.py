@@ -182,3 +182,44 @@ def activity_stages(spark, folder):
     found = days.where(F.date_diff(F.lit(last), F.col("day")) < 28).join(usual, "user_id").groupBy("user_id").agg(
         (part("n", recent) / 7).alias("r"), (part("n", ~recent) / 21).alias("b"), share(recent).alias("rn"), share(~recent).alias("bn"), F.count_if(recent & (F.col("n") > F.col("m") + 1.5 * F.col("sd"))).alias("a"))
     return found.select("user_id", F.round("r", 6).alias("recent"), F.round("b", 6).alias("baseline"), F.col("a").alias("anomaly_days"), regional.stage(F.col("r"), F.col("b"), F.col("rn"), F.col("bn"), F.col("a")).alias("stage"))
+
+
+_EVIDENCE = f"SELECT cell, user_id, value, event_id % 40 = 0 AS odd, CASE WHEN event_id % 3 = 0 THEN (event_id % 21) - 10 END AS change, 's' || event_id % 4 AS source, {_KINDS} AS kind FROM ({CELLS})"
+_PARSED = "CASE WHEN kind LIKE '[%' THEN ['Shopping Mall', 'bank'] WHEN kind = 'museum; park' THEN ['museum', 'park'] WHEN kind = 'Metro|house' THEN ['Metro', 'house'] ELSE ['residential'] END"
+
+
+def _evidence(spark, folder):
+    kind = F.when(F.col("event_type") == "purchase", '["Shopping Mall", "bank"]').when(F.col("event_type") == "view", "museum; park").when(F.col("event_type") == "click", "Metro|house").otherwise("residential")
+    e = F.col("event_id")
+    return cells(spark, folder).select("cell", "user_id", "value", (e % 40 == 0).alias("odd"), F.when(e % 3 == 0, e % 21 - 10).alias("change"), F.concat(F.lit("s"), e % 4).alias("source"), kind.alias("kind"))
+
+
+@query(f"""WITH e AS ({_EVIDENCE}), c AS (SELECT cell, k, count(*) AS n FROM (SELECT cell, unnest({_PARSED}) AS k FROM e) GROUP BY 1, 2), t AS (SELECT cell, list(k ORDER BY n DESC, k)[1:5] AS top_categories FROM c GROUP BY 1)
+    SELECT e.cell AS region, round(sum(value), 2) AS visits, round(sum(user_id), 2)::DOUBLE AS users, count(*) AS n_evidence, count(*) FILTER (odd) AS anomalies, round(avg(change), 2) AS mean_change, count(DISTINCT source) AS n_sources, any_value(top_categories) AS top_categories FROM e JOIN t USING (cell) GROUP BY 1""")
+def fused_regions(spark, folder):
+    return regional.fused_regions(_evidence(spark, folder), "cell", "value", "user_id", "odd", "change", "kind", "source")
+
+
+@query(f"WITH e AS ({_EVIDENCE}) SELECT cell AS region, k AS category, count(*) AS n FROM (SELECT cell, unnest({_PARSED}) AS k FROM e) GROUP BY 1, 2")
+def region_categories(spark, folder):
+    rows = _evidence(spark, folder)
+    return regional.category_counts(rows.withColumn("parsed", regional.categories(F.col("kind"))), "cell", "parsed")
+
+
+@query("""WITH v AS (SELECT l_suppkey, sum(CASE l_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN 1 WHEN 3 THEN -1 ELSE 0 END)::BIGINT AS votes, count(*) AS sections FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1), s AS (SELECT s_suppkey, s_suppkey % 6 AS status FROM supplier), j AS (SELECT s_suppkey, status, coalesce(votes, 0) AS votes, coalesce(sections, 0) AS sections FROM s LEFT JOIN v ON l_suppkey = s_suppkey)
+    SELECT s_suppkey AS road, votes, sections, CASE WHEN votes > 0 THEN 'worse' WHEN votes < 0 THEN 'better' WHEN status IN (3, 4) THEN 'steady_jam' WHEN status = 2 THEN 'steady_slow' WHEN status = 1 THEN 'steady_free' ELSE 'unknown' END AS trend,
+    CASE WHEN votes != 0 THEN 'medium' WHEN status IN (2, 3, 4) AND sections > 0 THEN 'medium' ELSE 'low' END AS confidence FROM j""")
+def congestion_trends(spark, folder):
+    """Suppliers as roads, their lines as sections."""
+    part = F.col("l_partkey") % 5
+    trend = F.when(part.isin(0, 2), regional.WORSE).when(part.isin(1, 3), regional.BETTER)
+    sections = load(spark, folder, "lineitem").where("l_linenumber <= 2").select(F.col("l_suppkey").alias("road"), trend.alias("trend"))
+    status = load(spark, folder, "supplier").select(F.col("s_suppkey").alias("road"), (F.col("s_suppkey") % 6).alias("status"))
+    return regional.congestion_trend(sections, "road", "trend", status)
+
+
+@query("WITH o AS (SELECT p_type FROM part ORDER BY p_partkey LIMIT 1) SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name, p_partkey)::INT AS place FROM part WHERE string_split(p_type, ' ')[1:3] = (SELECT string_split(p_type, ' ')[1:3] FROM o)")
+def related_branches(spark, folder):
+    """Parts of the same type as the first one."""
+    rows = load(spark, folder, "part").withColumn("path", F.split("p_type", " "))
+    return regional.related_branches(rows, "p_partkey", "path", "p_name", rows.agg(F.min("p_partkey")).first()[0])

@@ -120,3 +120,23 @@ def test_stages(spark):
     rows = [(15.0, 10.0, 0.0, 0.0, 1), (15.0, 10.0, 0.0, 0.0, 0), (10.0, 10.0, 0.4, 0.2, 0), (7.0, 10.0, 0.9, 0.1, 5), (9.0, 10.0, 0.0, 0.0, 2), (5.0, 0.0, 0.0, 0.0, 3), (1.0, 0.0, 0.5, 0.0, 0)]
     found = spark.createDataFrame(rows, "r double, b double, rn double, bn double, a int").select(regional.stage(F.col("r"), F.col("b"), F.col("rn"), F.col("bn"), F.col("a")).alias("s")).collect()
     assert [r["s"] for r in found] == ["spike_rising", "stable_or_mild", "night_shift_rising", "cooling_down", "volatile", "volatile", "night_shift_rising"]
+
+
+def test_fused_regions(spark):
+    rows = [("r", 1.0, 2, True, 10.0, "a|b", "s"), ("r", None, None, None, None, "b", "s"), ("r", 2.0, 1, False, -4.0, None, "t"), ("q", 0.5, 1, False, None, None, "s"), (None, 9.0, 9, True, 1.0, "x", "s"), ("", 9.0, 9, True, 1.0, "x", "s")]
+    df = spark.createDataFrame(rows, "region string, v double, u int, a boolean, c double, k string, s string")
+    found = {r["region"]: tuple(r)[1:] for r in regional.fused_regions(df, "region", "v", "u", "a", "c", "k", "s").collect()}
+    assert found == {"r": (3.0, 3.0, 3, 1, 3.0, 2, ["b", "a"]), "q": (0.5, 1.0, 1, 0, None, 1, [])}
+
+
+def test_congestion(spark):
+    sections = spark.createDataFrame([(1, "加重"), (1, "加重"), (1, "缓解"), (2, "缓解"), (3, None), (4, "加重"), (4, "缓解"), (None, "加重")], "k int, t string")
+    status = spark.createDataFrame([(1, 1), (2, 3), (3, 2), (4, None), (5, 4), (6, 1)], "k int, status int")
+    found = {r["k"]: (r["votes"], r["trend"], r["confidence"]) for r in regional.congestion_trend(sections, "k", "t", status).collect()}
+    assert found == {1: (1, "worse", "medium"), 2: (-1, "better", "medium"), 3: (0, "steady_slow", "medium"), 4: (0, "unknown", "low"), 5: (0, "steady_jam", "low"), 6: (0, "steady_free", "low")}
+
+
+def test_branches(spark):
+    rows = spark.createDataFrame([(1, ["a", "b", "c", "x"], "n2"), (2, ["a", "b", "c"], "n1"), (3, ["a", "b"], "n0"), (4, None, "n9"), (5, ["a", "b", "c", "y"], "n1")], "k int, p array<string>, n string")
+    assert [(r["k"], r["place"]) for r in regional.related_branches(rows, "k", "p", "n", 1).orderBy("place").collect()] == [(2, 1), (5, 2), (1, 3)]
+    assert regional.related_branches(rows, "k", "p", "n", 99).collect() == [] and regional.related_branches(rows, "k", "p", "n", 4).collect() == []
