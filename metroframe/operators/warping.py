@@ -31,12 +31,11 @@ def lower_bound(target: np.ndarray, trip: np.ndarray, band: int) -> float:
     """No more than the mean step of warping one trip on the other: each point costs at least its way to the box around the points that it may be matched with."""
     n, m = len(target), len(trip)
     w = max(band, abs(n - m))
-    at = np.arange(m)
-    low, high = np.maximum(at - w, 0), np.minimum(at + w + 1, n)
-    keep = low < high
-    if not keep.all():
-        return 0.0
-    boxes = np.array([[*target[a:b].min(axis=0), *target[a:b].max(axis=0)] for a, b in zip(low, high)])
+    # a point of the trip meets those of the target whose places differ by w at most; there is always one
+    wide = np.full((max(n, m) + 2 * w, 2), np.nan)
+    wide[w : w + n] = target
+    windows = np.lib.stride_tricks.sliding_window_view(wide, 2 * w + 1, axis=0)[:m]
+    boxes = np.concatenate([np.fmin.reduce(windows, axis=2), np.fmax.reduce(windows, axis=2)], axis=1)
     up = np.maximum(np.maximum(boxes[:, 0] - trip[:, 0], trip[:, 0] - boxes[:, 2]), 0)
     near = np.maximum(np.maximum(boxes[:, 1] - trip[:, 1], trip[:, 1] - boxes[:, 3]), 0)
     far = np.maximum(np.abs(boxes[:, 1] - trip[:, 1]), np.abs(trip[:, 1] - boxes[:, 3]))
