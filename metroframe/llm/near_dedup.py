@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, cut, forget, read_bytes, trimmed
+from .common import Tables, cut, forget, read_bytes, sieve, trimmed
 from .winnow import grams, word_units
 
 SHINGLE = 5
@@ -33,8 +33,8 @@ SLACK = 0.14
 ROUNDS = 2
 #: Leaders that a document is confirmed with in a round, the most similar of those of its buckets.
 LEADERS = 2
-#: Parts that a group's common shingles are dealt in, so that one large group is joined in many tasks.
-SALTS = 32
+#: Parts that a group is dealt in, at most and for each so many documents, so that a large one is joined in many tasks; each part has a copy of its common shingles.
+SALTS, SALTED = 32, 64
 SIGNED = "doc_id long, key long, n long, digest binary, bands array<long>, signature array<long>"
 
 
@@ -162,6 +162,20 @@ def _counted(docs: DataFrame) -> DataFrame:
     return partial.groupBy("group", "shingle").agg(F.sum("count").alias("count"))
 
 
+def _parts() -> Column:
+    return F.least(F.lit(SALTS), 1 + F.floor(F.col("total") / SALTED)).cast("int")
+
+
+def _salts() -> Column:
+    """The parts of a group of total documents."""
+    return F.sequence(F.lit(0), _parts() - 1)
+
+
+def _salt() -> Column:
+    """The part of document id in its group of total documents."""
+    return F.pmod(F.xxhash64("id"), _parts()).cast("int")
+
+
 def _residual_pairs(apart: DataFrame, sets: DataFrame, percent: int, slack: float, tables: Tables) -> DataFrame:
     """Pairs (a, b) to confirm among documents of open bands (band, id, component, n, signature) that are apart.
 
@@ -181,23 +195,23 @@ def _residual_pairs(apart: DataFrame, sets: DataFrame, percent: int, slack: floa
     first = apart.groupBy("band").agg(F.min("id").alias("b"))
     group = components(apart.join(tables.cut(first, "near-firsts"), "band").select(F.col("id").alias("a"), "b").distinct())
     tables.held.append(group)
+    sizes = tables.cut(group.groupBy(F.col("component").alias("group")).agg(F.count("*").alias("total")), "near-sizes")
     heads = apart.select("id", "component", "n", "signature").dropDuplicates(["id"])
-    heads = heads.join(group.select("id", F.col("component").alias("group")), "id").join(sets, "id")
+    heads = heads.join(group.select("id", F.col("component").alias("group")), "id").join(sizes, "group").join(sets, "id")
     heads = tables.cut(heads, "near-heads")
-    sizes = heads.groupBy("group").agg(F.count("*").alias("total"))
     counts = tables.cut(_counted(heads.select("group", "found")).join(sizes, "group"), "near-counts")
     common = F.col("count") * 2 > F.col("total")
-    core = counts.where(common).groupBy("group").agg(F.collect_list("shingle").alias("core"))
-    core = core.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = heads.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(tables.cut(core, "near-cores"), ["group", "salt"], "left")
+    core = counts.where(common).groupBy("group").agg(F.collect_list("shingle").alias("core"), F.max("total").alias("total"))
+    core = core.withColumn("salt", F.explode(_salts())).drop("total")
+    own = heads.withColumn("salt", _salt()).join(tables.cut(core, "near-cores"), ["group", "salt"], "left")
     core = F.coalesce("core", F.array().cast("array<long>"))
     own = own.withColumn("residual", F.concat(F.array_except("found", core), F.array_except(core, "found")))
     own = own.withColumn("w", more * F.size("residual") - less * F.col("n"))
-    own = tables.cut(own.select("group", "id", "component", "n", F.col("signature").alias("s"), "w", "residual"), "near-residuals")
+    own = tables.cut(own.select("group", "total", "id", "component", "n", F.col("signature").alias("s"), "w", "residual"), "near-residuals")
 
-    least = own.groupBy("group").agg(F.min(F.struct("w", F.col("id").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("s").alias("t"))).alias("x"))
-    least = tables.cut(least.select("group", "x.b", "x.c", "x.m", "x.t").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "near-least")
-    salted = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    least = own.groupBy("group", "total").agg(F.min(F.struct("w", F.col("id").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("s").alias("t"))).alias("x"))
+    least = tables.cut(least.select("group", "x.b", "x.c", "x.m", "x.t", F.explode(_salts()).alias("salt")), "near-least")
+    salted = own.withColumn("salt", _salt())
     central = salted.join(least, ["group", "salt"]).where("component != c").where(_near(percent / 100, slack)).select(F.col("id").alias("a"), "b")
 
     rarity = counts.select("group", F.col("shingle").alias("place"), F.when(common, F.col("total") - F.col("count")).otherwise(F.col("count")).alias("rarity"))
@@ -206,7 +220,7 @@ def _residual_pairs(apart: DataFrame, sets: DataFrame, percent: int, slack: floa
     # Places of one document alone count in the order and meet none.
     reach = F.floor(less * F.col("n") / percent).cast("int") + 1  # q * (n + m) is at most less * n / percent
     ends = places.groupBy("group", "id", "n").agg(order.alias("order")).select("group", "id", F.posexplode(F.slice("order", 1, reach)).alias("rank", "x")).where("x.rarity > 1")
-    ends = tables.cut(ends.select("group", "id", "rank", F.col("x.place").alias("place")).join(own.drop("residual", "group"), "id"), "near-ends")
+    ends = tables.cut(ends.select("group", "id", "rank", F.col("x.place").alias("place")).join(own.drop("residual", "group", "total"), "id"), "near-ends")
     few = ends.where(more * F.col("rank") <= less * F.col("n"))
     few = few.select("group", "place", F.col("id").alias("b"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("s").alias("t"), F.col("w").alias("v"), F.col("rank").alias("at"))
     met = ends.join(few, ["group", "place"]).where((F.col("component") != F.col("c")) & (F.struct("v", "b") < F.struct("w", "id")))
@@ -231,9 +245,10 @@ def classes(docs: DataFrame, percent: int = 85, bands: int = BANDS, slack: float
     firsts = own.join(grouped.select(F.col("id").alias("doc_id"), "key", "digest"), ["doc_id", "key", "digest"], "left_semi")
     banded = firsts.select(F.col("doc_id").alias("id"), "key", "n", "signature", F.explode("bands").alias("band"))
     shared = cut(banded.groupBy("band").count().where("count > 1").select("band"), "near-bands")
-    members = cut(banded.join(shared, "band", "left_semi"), "near-members")
+    members = cut(banded.where(sieve(shared)("band")).join(shared, "band", "left_semi"), "near-members")
     wanted = cut(members.select(F.col("id").alias("doc_id"), "key").distinct(), "near-wanted")  # written, so that its size is known to the join
-    texts = keyed.join(wanted, ["doc_id", "key"], "left_semi")
+    row = F.xxhash64("doc_id", "key")
+    texts = keyed.where(sieve(wanted.select(row))(row)).join(wanted, ["doc_id", "key"], "left_semi")
     sets = cut(_sets(texts.select("doc_id", "text")).dropDuplicates(["id"]), "near-sets")
 
     same_id = signed.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("doc_id is not null and low != high")

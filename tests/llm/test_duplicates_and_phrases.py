@@ -228,3 +228,47 @@ def test_packing_fills_with_unused_neighbours(seed):
         sizes[sequence] += length
     total = sum(map(len, texts))
     assert [sizes[s] for s in range(len(sizes))] == [64] * (total // 64) + [1 << k for k in range(5, -1, -1) if total % 64 >> k & 1]
+
+
+def test_sieve(spark):
+    from pyspark.sql import functions as F
+
+    from metroframe.llm.common import sieve
+
+    rows = spark.range(20000).select(F.xxhash64("id").alias("h"))
+    wanted = rows.where("h % 50 = 0").cache()
+    found = rows.where(sieve(wanted)("h"))
+    assert wanted.join(found, "h", "left_anti").isEmpty() and found.count() < wanted.count() + 1500
+    assert rows.where(sieve(wanted, 64)("h")).count() >= found.count()
+    assert rows.where(sieve(wanted.limit(0))("h")).isEmpty()
+
+
+def test_small_groups_have_their_common_shingles_once(spark, monkeypatch):
+    """And only documents that share a band are shuffled with their texts."""
+    from metroframe.llm import common, near_dedup
+
+    rng, held, cut = random.Random(8), {}, common.cut
+
+    def kept(df, label, *more):
+        out = cut(df, label, *more)
+        if label in ("near-cores", "near-residuals"):
+            held[label] = out.select("group").collect()
+        return out
+
+    monkeypatch.setattr(common, "cut", kept)
+    texts = []
+    for g in range(3):
+        words = ["g%dw%d" % (g, i) for i in range(200)]
+        for k in range(12):
+            own = list(words)
+            for at in rng.sample(range(200), 6):
+                own[at] = "e%d" % rng.randrange(10**6)
+            texts.append(" ".join(own))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.classes(docs).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    least = list(range(len(texts)))
+    for _ in texts:
+        least = [min(least[j] for j in range(len(texts)) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])) for i in range(len(texts))]
+    assert [got[i] for i in range(len(texts))] == least
+    assert held["near-residuals"] and len(held["near-cores"]) == len(set(held["near-cores"]))
