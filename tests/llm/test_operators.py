@@ -610,3 +610,20 @@ def test_every_query_on_the_smallest_tables(spark):
     from metroframe.llm.queries import QUERIES
 
     assert all(f(spark, "/root/testdata/sf0.001").count() >= 200 for f in QUERIES.values())
+
+
+@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_words_are_encoded_once_whatever_marks_follow(name, spaced):
+    """By the model alone where they are of ASCII letters, with the library's ids."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng, made = random.Random(4), token_ids.Encoder(token_ids.vocabulary(name), spaced)
+    words = ["".join(rng.choice("abcdefgXYZé") for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["s", "t", "ll", "İ", "ǆ", "a'", "'s", "x\ny", "ß", "Ⅷ", "n2"]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", ".", ",", "?!", "...", ":;"]) for _ in range(rng.randint(1, 300))) for _ in range(40)]
+    texts += [".", " .", "a.", "a .b", "a. .", "a.  b.", "<|endoftext|>. a.", "a.<|endoftext|>", "İ. a", "a. b.", "́a. b́."]
+    ids, offsets = made.encode(pa.array(texts), 1)
+    library = Tokenizer.from_file(token_ids.vocabulary(name))
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    plain = {k for k in made.known if re.fullmatch("[a-zA-Z]+[.,;:!?]+", k)}
+    assert not plain and made.bare is not None
