@@ -394,6 +394,46 @@ def test_mixing_follows_copies(spark):
     assert got[held[0]] > 0.3 * got[train[0]] and got[held[0]] > 0.3 * got[held[1]]
 
 
+def test_mixing_takes_what_follows_shared_contexts_alone(spark, monkeypatch):
+    """What follows a context that one text alone has is neither written nor shuffled; texts with a shared passage have their matches as before."""
+    from metroframe.llm import common
+
+    rng, rows = random.Random(5), {}
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shared = prose(400)
+    texts = [(i, prose(400) + (" " + shared if i < 3 else "")) for i in range(60)]
+
+    def counted(df, label, codec="zstd"):
+        out = cut(df, label, codec)
+        rows[label] = out.count()
+        return out
+
+    cut = common.cut
+    monkeypatch.setattr(common, "cut", counted)
+    monkeypatch.setattr(mixing, "cut", counted)
+    mixing.score(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    tokens, offsets, _ = mixing.tokens_of([shared.encode()])
+    at = np.flatnonzero(mixing.grams(tokens, 4) % np.uint64(mixing.SPACING) == 0)
+    common_contexts = int((at + 4 < len(tokens)).sum())
+    assert common_contexts > 3 and rows["mixing-matches"] == 3
+    assert 3 * (common_contexts - 1) <= rows["mixing-anchors"] <= 3 * (common_contexts + 1) + 60
+
+
+def test_mixing_words():
+    """Words are told apart whatever their length and bytes, and equal words are equal wherever they stand."""
+    words = [b"a", b"a\0", b"\0a", b"\0", b"abcdefgh", b"abcdefgh\0", b"x" * 63, b"x" * 64, b"x" * 65, b"x" * 66, b"x" * 5000, b"y" + b"x" * 4999, "\u00e9".encode(), b"\xc2\xa0"]
+    rng = random.Random(6)
+    texts = [None, b"", b" \n", *(b" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(50)), b"A B", b"a b", b"\ta\x0bb\r"]
+    tokens, offsets, (raw, starts, ends) = mixing.tokens_of(texts)
+    plain = [[*re.findall(rb"[^\x20\x09-\x0D]+", (t or b"").lower()), None] for t in texts]
+    assert np.diff(offsets).tolist() == list(map(len, plain))
+    flat = [w for p in plain for w in p]
+    assert len(set(zip(flat, tokens.tolist()))) == len(set(flat)) == len(set(tokens.tolist()))
+    assert [bytes(raw[a:b]) for a, b in zip(starts, ends)] == [w for w in flat if w is not None] and (tokens[offsets[1:] - 1] == 0).all()
+    empty = mixing.tokens_of([])
+    assert len(empty[0]) == 0 and empty[1].tolist() == [0]
+
+
 def test_mixing_against_plain_loops():
     rng = np.random.default_rng(1)
     offsets = np.array([0, 3, 3, 40, 60])
