@@ -475,6 +475,18 @@ def test_mixing_code_is_a_probability():
     assert math.isclose(sum(2.0 ** -int(n) for n in code.length), 1)
 
 
+def test_mixing_of_deep_decisions():
+    """A symbol's decisions are those that are mixed and those below, each of which has the prediction of its own counts."""
+    code = mixing.Code(np.arange(1, 19, dtype=np.uint64), [2**i for i in range(20)])  # a chain
+    first = np.random.default_rng(3).uniform(0.1, 0.9, mixing.SLOTS).astype(np.float32)
+    symbols, offsets, most = np.arange(20), np.array([0, 20]), max(mixing.DEPTHS)
+    (slots, *_), bits, depth, _ = code.decisions(symbols, offsets)
+    _, few, shallow, begins = code.decisions(symbols, offsets, most=most)
+    assert begins[-1] == len(few) == (depth < most).sum() and shallow.max() == most - 1 and (few == bits[depth < most]).all() and code.length.max() > most
+    p = np.where(bits > 0, first[slots], 1 - first[slots])[depth >= most]
+    assert math.isclose(code.deep(first).sum(), -np.log2(p.astype(np.float64)).sum(), rel_tol=1e-6) and (code.deep(first)[code.length <= most] == 0).all()
+
+
 def test_pfor_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 255, 256, 257, 1000):
