@@ -74,7 +74,7 @@ def orders(df: np.ndarray, n_docs: int) -> np.ndarray:
     """A token's place in each of MINIMA orders. Early places are the likelier the rarer a token is; tokens of one document alone and common ones come last."""
     weight = np.where((df > 1) & (COMMON * df <= n_docs), np.log(max(n_docs, 1) / np.maximum(df, 1)), 0)
     late = np.random.default_rng(1).exponential(size=(MINIMA, len(df))) / np.maximum(weight, 1e-9)
-    return np.argsort(np.argsort(late, axis=1, kind="stable"), axis=1)
+    return np.argsort(np.argsort(late, axis=1, kind="stable"), axis=1).astype(np.int32)
 
 
 def keyed(rows: DataFrame, order: np.ndarray, width: str) -> DataFrame:
@@ -89,7 +89,7 @@ def keyed(rows: DataFrame, order: np.ndarray, width: str) -> DataFrame:
             key = np.zeros(len(texts), np.int64)
             if texts:
                 starts = np.cumsum([0, *map(len, texts[:-1])])  # no text is without its end id
-                ids = np.concatenate(texts)
+                ids = np.concatenate(texts).astype(np.intp)
                 for places in order:
                     key = (key << bits) | np.minimum.reduceat(places[ids], starts)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(key), batch["ids"]], names=["doc_id", "key", "ids"])

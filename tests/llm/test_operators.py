@@ -679,3 +679,22 @@ def test_words_are_encoded_once_whatever_marks_follow(name, spaced):
     assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
     plain = {k for k in made.known if re.fullmatch("[a-zA-Z]+[.,;:!?]+", k)}
     assert not plain and made.bare is not None
+
+
+@pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_words_are_encoded_once_whatever_line_they_are_on(name, spaced):
+    """Words at the ends of lines and before any of the marks are looked up as others are, with the library's ids."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng, made = random.Random(7), token_ids.Encoder(token_ids.vocabulary(name), spaced)
+    words = ["".join(rng.choice("abcdefgXYZ\u00e9") for _ in range(rng.randint(1, 9))) for _ in range(30)] + ["s", "\u0130", "n2", "\u00d7", "'t", "\u0301x", "x\u0301", ""]
+    ends = ["", ".", "$$$", ".%%%", "&", ",&&&", "*#", "#\u20e3", "%\u0301", "<|", "-", "\r"]
+    texts = ["".join(rng.choice(words) + rng.choice(ends) + rng.choice([" ", " ", "\n", "\n\n", " \n", "\n ", "\t"]) for _ in range(rng.randint(1, 60))) for _ in range(600)]
+    texts += [f"{a}{m}\n{b}{n}" for a in ("ab", "", "\u00e9") for b in ("cd", "", "\u00c9") for m in ("", ".", "$.") for n in ("", "!", "\n")]
+    ids, offsets = made.encode(pa.array(texts), 1)
+    library = Tokenizer.from_file(token_ids.vocabulary(name))
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    made.known.clear()
+    made.encode(pa.array(["ab cd$$$ ef.%%%\nGh&&& ij.\nKl mn\nop, qr" + m + " st" for m in ("#", "*")]), 1)
+    assert all(re.fullmatch("[a-zA-Z]+|[^a-zA-Z\\s]+", k) for k in made.known)
