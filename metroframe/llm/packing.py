@@ -80,6 +80,7 @@ def orders(df: np.ndarray, n_docs: int) -> np.ndarray:
 def keyed(rows: DataFrame, order: np.ndarray, width: str) -> DataFrame:
     """rows (doc_id, ids) with their key: the least places of a document's tokens, one order after the other."""
     bits = int(order.shape[1]).bit_length()
+    order = order.astype(np.uint16 if order.shape[1] <= 65536 else np.int32)
 
     def run(batches):
         import pyarrow as pa
@@ -91,7 +92,7 @@ def keyed(rows: DataFrame, order: np.ndarray, width: str) -> DataFrame:
                 starts = np.cumsum([0, *map(len, texts[:-1])])  # no text is without its end id
                 ids = np.concatenate(texts).astype(np.intp)
                 for places in order:
-                    key = (key << bits) | np.minimum.reduceat(places[ids], starts)
+                    key = (key << bits) | np.minimum.reduceat(places.take(ids), starts)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(key), batch["ids"]], names=["doc_id", "key", "ids"])
 
     return rows.select("doc_id", "ids").mapInArrow(trimmed(run), "doc_id long, key long, ids binary")
@@ -108,11 +109,12 @@ class Inverted:
         n = len(texts)
         self.n, self.idf = n, idf
         self.sizes = np.fromiter(map(len, texts), np.int64, n)
-        key, tf = np.unique(np.concatenate(texts).astype(np.int64) * n + np.repeat(np.arange(n), self.sizes), return_counts=True)
-        self.token, self.doc = key // n, key % n
+        kind = np.uint32 if len(idf) * n < 2**32 else np.int64  # shorter keys are sorted and divided faster
+        key, tf = np.unique(np.concatenate(texts).astype(kind) * kind(n) + np.repeat(np.arange(n, dtype=kind), self.sizes), return_counts=True)
+        self.token, self.doc = (x.astype(np.intp) for x in np.divmod(key, kind(n)))
         self.weight = idf[self.token] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.sizes[self.doc] / self.sizes.mean()))
         self.first = np.searchsorted(self.token, np.arange(len(idf) + 1))  # postings of a token
-        self.by_doc = np.argsort(self.doc, kind="stable")
+        self.by_doc = np.argsort(self.doc.astype(np.uint16) if n <= 65536 else self.doc, kind="stable")
         self.doc_first = np.searchsorted(self.doc[self.by_doc], np.arange(n + 1))
 
     def scores(self, seed: int) -> np.ndarray:

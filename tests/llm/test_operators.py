@@ -698,3 +698,39 @@ def test_words_are_encoded_once_whatever_line_they_are_on(name, spaced):
     made.known.clear()
     made.encode(pa.array(["ab cd$$$ ef.%%%\nGh&&& ij.\nKl mn\nop, qr" + m + " st" for m in ("#", "*")]), 1)
     assert all(re.fullmatch("[a-zA-Z]+|[^a-zA-Z\\s]+", k) for k in made.known)
+
+
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_words_with_accents_are_encoded_by_the_bare_model(name, spaced):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library, made, asked = Tokenizer.from_file(token_ids.vocabulary(name)), token_ids.Encoder(token_ids.vocabulary(name), spaced), []
+
+    class Slow:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    made.tokenizer = Slow()
+    texts = ["grüße naïve café àáâÿ abc", "ción ñando"] + ["Zwei Étés Ångström"] * spaced
+    ids, offsets = made.encode(pa.array(texts), 1)
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert asked == [t.split()[0] for t in texts if spaced]
+
+
+@pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_known_pieces_are_few_bytes_and_bounded(name, spaced):
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    library, made, rng = Tokenizer.from_file(token_ids.vocabulary(name)), token_ids.Encoder(token_ids.vocabulary(name), spaced), random.Random(3)
+    made.known.most, made.joined.most = 60, 20
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choices("abéüKő", k=2)) + rng.choice(["", ".", "\n", "\nx!", "́", "7"]) for _ in range(rng.randrange(25))) for _ in range(2)]
+        ids, offsets = made.encode(pa.array(texts), 1)
+        assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+        assert len(made.known) <= 120 and len(set(made.known)) == len(made.known) == len(made.known.lengths) and made.known.lengths.sum() == len(made.known.flat)
+    assert made.known.pieces.nbytes + made.known.flat.nbytes + made.known.lengths.nbytes < 60 * len(made.known)
