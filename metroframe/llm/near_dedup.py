@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, cut, forget, read_bytes, sieve, trimmed
+from .common import Tables, by_bytes, cut, forget, read_bytes, sieve, trimmed
 from .winnow import grams, word_units
 
 SHINGLE = 5
@@ -68,7 +68,7 @@ def _signed(docs: DataFrame, n_bands: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in by_bytes(batches):
             n, digest, bands, signatures = [], [], [], []
             for raw in read_bytes(batch["text"]):
                 found = shingles(raw or b"")
@@ -138,7 +138,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in by_bytes(batches):
             found = [shingles(raw or b"").view(np.int64) for raw in read_bytes(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.list_(pa.int64()))], names=["id", "found"])
 
@@ -158,7 +158,7 @@ def _counted(docs: DataFrame) -> DataFrame:
             found = table.group_by(["group", "shingle"]).aggregate([([], "count_all")]).select(["group", "shingle", "count_all"])
             yield from found.rename_columns(["group", "shingle", "count"]).combine_chunks().to_batches()
 
-    partial = docs.mapInArrow(run, "group long, shingle long, count long")
+    partial = docs.mapInArrow(trimmed(run), "group long, shingle long, count long")
     return partial.groupBy("group", "shingle").agg(F.sum("count").alias("count"))
 
 

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, read_bytes, trimmed
+from .common import by_bytes, cut, read_bytes, trimmed
 from .winnow import covered, grams, word_units
 
 SYMBOLS = b"#*$%&|<>"
@@ -139,15 +139,15 @@ def keep(docs: DataFrame) -> DataFrame:
     def votes(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in by_bytes(batches):
             yield pa.RecordBatch.from_pydict({"votes": pa.array([measure(t or b"")[5] for t in read_bytes(batch["text"])], pa.int32())})
 
-    good = _verdicts(cut(docs.select("text").mapInArrow(votes, "votes int"), "quality-votes"))
+    good = _verdicts(cut(docs.select("text").mapInArrow(trimmed(votes), "votes int"), "quality-votes"))
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in by_bytes(batches):
             rows = [measure(t or b"") for t in read_bytes(batch["text"])]
             yield batch.filter(pa.array([r[0] >= 20 and 100 * r[4] <= 30 * r[0] and good[r[5]] >= 0.5 for r in rows], pa.bool_()))
 

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget, parallelism, read_bytes, trimmed
+from .common import by_bytes, cut, forget, parallelism, read_bytes, trimmed
 from .token_ids import runs as slices
 from .winnow import anchors, byte_units, covered, word_units
 
@@ -82,7 +82,7 @@ def _base(docs: DataFrame, kind: Kind) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in by_bytes(batches):
             groups, per_doc, places, per_group, sizes, digests = [], [], [], [], [], []
             for raw in read_bytes(batch["text"]):
                 units = kind.units(raw or b"")
@@ -265,7 +265,7 @@ def find(docs: DataFrame, kind: Kind, text: bool = False) -> tuple[DataFrame, Da
     def remove(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in by_bytes(batches):
             out = []
             for raw, spans in zip(read_bytes(batch["text"]), batch["spans"]):
                 units = raw.split() if kind.words else raw

@@ -734,3 +734,21 @@ def test_known_pieces_are_few_bytes_and_bounded(name, spaced):
         assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [library.encode(t, add_special_tokens=False).ids + [1] for t in texts]
         assert len(made.known) <= 120 and len(set(made.known)) == len(made.known) == len(made.known.lengths) and made.known.lengths.sum() == len(made.known.flat)
     assert made.known.pieces.nbytes + made.known.flat.nbytes + made.known.lengths.nbytes < 60 * len(made.known)
+
+
+def test_stages_hold_few_texts_at_a_time():
+    import pyarrow as pa
+
+    class Docs:
+        schema = None
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+
+    texts = [(w + " ") * 700_000 for w in "abcd"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": range(4), "key": range(4), "text": texts})
+    for make in (lambda d: near_dedup._signed(d, 16), near_dedup._sets, lambda d: repeats._base(d, suffix_dedup.kind())):
+        docs = Docs()
+        make(docs)
+        out = list(docs.run(iter([batch])))
+        assert [b.num_rows for b in out] == [2, 2] and [x for b in out for x in b[0].to_pylist()] == [0, 1, 2, 3]
