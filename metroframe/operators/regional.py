@@ -78,6 +78,15 @@ def stage(recent: Column, baseline: Column, recent_night: Column, baseline_night
     )
 
 
+def out_of_line(n: Column, days: Column, total: Column, squares: Column) -> Column:
+    """Whether a day's n lies more than one and a half population deviations above the mean, given the number of days, and the sums of n and of its square.
+
+    In whole numbers, so that a day right at that bound is never beyond it: deviations as doubles depend on the order in which rows are added up."""
+    wide = lambda c: c.cast("decimal(19,0)")
+    off = wide(wide(n) * wide(days) - wide(total))
+    return (off > 0) & (4 * (off * off) > 9 * (wide(days) * squares - wide(total) * wide(total)))
+
+
 def fused_regions(evidence: DataFrame, region: str, visits: str, users: str, anomaly: str, change: str, category: str, source: str, k: int = 5) -> DataFrame:
     """Evidence of each region from several sources: sums of visits and users, rows, anomalies, the mean change, the k most frequent categories (the least of ties) and how many sources.
 

@@ -175,12 +175,13 @@ def activity_stages(spark, folder):
     last = rows.agg(F.max(F.to_date("ts"))).first()[0]
     night = (F.hour("ts") >= 22) | (F.hour("ts") < 6)
     days = rows.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.count_if(night).alias("t"))
-    usual = days.groupBy("user_id").agg(F.avg("n").alias("m"), F.stddev_pop("n").alias("sd"))
+    n = F.col("n").cast("decimal(19,0)")
+    usual = days.groupBy("user_id").agg(F.count("*").alias("k"), F.sum("n").alias("s"), F.sum((n * n).cast("decimal(28,0)")).alias("q"))
     recent = F.date_diff(F.lit(last), F.col("day")) < 7
     part = lambda c, flag: F.coalesce(F.sum(F.when(flag, F.col(c))), F.lit(0))
     share = lambda flag: F.coalesce(F.try_divide(part("t", flag), part("n", flag)), F.lit(0.0))
     found = days.where(F.date_diff(F.lit(last), F.col("day")) < 28).join(usual, "user_id").groupBy("user_id").agg(
-        (part("n", recent) / 7).alias("r"), (part("n", ~recent) / 21).alias("b"), share(recent).alias("rn"), share(~recent).alias("bn"), F.count_if(recent & (F.col("n") > F.col("m") + 1.5 * F.col("sd"))).alias("a"))
+        (part("n", recent) / 7).alias("r"), (part("n", ~recent) / 21).alias("b"), share(recent).alias("rn"), share(~recent).alias("bn"), F.count_if(recent & regional.out_of_line(F.col("n"), F.col("k"), F.col("s"), F.col("q"))).alias("a"))
     return found.select("user_id", F.round("r", 6).alias("recent"), F.round("b", 6).alias("baseline"), F.col("a").alias("anomaly_days"), regional.stage(F.col("r"), F.col("b"), F.col("rn"), F.col("bn"), F.col("a")).alias("stage"))
 
 

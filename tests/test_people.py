@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from metroframe.operators import circles, onboarding, regional, scene_terms
+from metroframe.plans import people
 
 
 def test_values_and_ids(spark):
@@ -122,6 +123,20 @@ def test_stages(spark):
     assert [r["s"] for r in found] == ["spike_rising", "stable_or_mild", "night_shift_rising", "cooling_down", "volatile", "volatile", "night_shift_rising"]
 
 
+def test_days_at_the_bound_are_not_out_of_line(spark, tmp_path):
+    """Four is the mean and one and a half deviations of these days, whatever their order."""
+    counts = [2, 6, 3, 1, 3, 2, 1, 2, 3, 3, 1, 3, 1, 2, 4, 1, 2, 1, 1, 1, 3, 4, 2, 2, 1, 1]
+    rows = []
+    for user in range(300):
+        random.Random(user).shuffle(counts)
+        rows += [(user, d * 86400 + 30000 + i, "x") for d, n in enumerate(counts) for i in range(n)]
+    made = spark.createDataFrame(rows, "user_id long, s long, event_type string").selectExpr("user_id", "event_type", "timestamp_seconds(s) AS ts")
+    made.write.parquet(f"{tmp_path}/events.parquet")
+    last = {u: Counter(s // 86400 for v, s, _ in rows if v == u and s // 86400 >= 19) for u in range(300)}
+    found = {r["user_id"]: r["anomaly_days"] for r in people.activity_stages(spark, str(tmp_path)).collect()}
+    assert found == {u: sum(n > 4 for n in days.values()) for u, days in last.items()}
+
+
 def test_fused_regions(spark):
     rows = [("r", 1.0, 2, True, 10.0, "a|b", "s"), ("r", None, None, None, None, "b", "s"), ("r", 2.0, 1, False, -4.0, None, "t"), ("q", 0.5, 1, False, None, None, "s"), (None, 9.0, 9, True, 1.0, "x", "s"), ("", 9.0, 9, True, 1.0, "x", "s")]
     df = spark.createDataFrame(rows, "region string, v double, u int, a boolean, c double, k string, s string")
