@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import meetings
 from ..operators import trajectories as t
 from .activity import DAILY, POINTS, daily, events, points
 from .registry import registry
@@ -132,7 +133,7 @@ def _visits(spark, folder):
 @query(f"""WITH v AS ({_VISITS}), m AS (SELECT x.cell, x.user_id AS a, y.user_id AS b, greatest(x.s, y.s) AS s, least(x.e, y.e) AS e FROM v x JOIN v y ON x.cell = y.cell AND x.user_id < y.user_id AND x.s < y.e AND y.s < x.e), o AS (SELECT *, round((epoch_us(e) - epoch_us(s)) / 6e7, 2) AS minutes FROM m WHERE epoch_us(e) - epoch_us(s) >= 15 * 6e7)
     SELECT a, b, count(*) AS times, round(sum(minutes), 2) AS minutes, string_agg(DISTINCT cell, ',' ORDER BY cell) AS cells FROM o GROUP BY 1, 2""")
 def meeting_pairs(spark, folder):
-    return t.meeting_summary(t.meetings(_visits(spark, folder), "user_id", "cell", "s", "e", 15))
+    return meetings.meeting_pairs(_visits(spark, folder), "user_id", "cell", "s", "e", 15)
 
 
 @query(f"""WITH v AS (SELECT *, strftime(ts, '%Y-%m-%d') AS bucket, 'k' || event_id % 3 AS f FROM ({CELLS})), s AS (SELECT cell AS region, bucket, round(sum(ln(1 + greatest(value, 0))), 4) AS fused, max(value) AS top, count(*) AS n FROM v GROUP BY 1, 2),
