@@ -1,8 +1,7 @@
 """Who met whom: visits of the same cell at the same time, added up for each pair of users where they are found.
 
-There may be far more meetings than visits, so no meeting is shuffled or sorted on disk. Users are dealt into blocks, each pair of blocks is a group of its own that has
-both blocks' visits, packed, and a group makes and adds up the meetings between a few users of one block and all of the other at a time. What is shuffled
-are the visits, as often as there are blocks; a group holds two blocks' visits and a bounded number of meetings."""
+There may be far more meetings than visits, so no meeting is shuffled or sorted on disk. Users are dealt into blocks (see blocks.py), and where two blocks meet, the
+meetings between a few users of one and all of the other are made and added up at a time. A task holds two blocks' visits and a bounded number of meetings."""
 
 from __future__ import annotations
 
@@ -16,41 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import blocks
 from .trajectories import micros
 
-#: Visits of a block; blocks that there are at least, unless they would have fewer visits than FEW; visits packed at once; meetings made at once (of one user more, if it has more with a block).
-BLOCK, LEAST_BLOCKS, FEW, PACKED, AT_ONCE, ROWS = 500_000, 8, 20_000, 500_000, 1_000_000, 65_536
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (block, u, cell, s, e) as rows (block, visits): visits in order of cell and start, compressed."""
-
-    def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(held).sort_by([("block", "ascending"), ("cell", "ascending"), ("s", "ascending")])
-        block = table["block"].to_numpy()
-        table = table.select(["u", "s"]).append_column("long", pc.subtract(table["e"], table["s"])).append_column("cell", table["cell"].combine_chunks().dictionary_encode())
-        bounds = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
-        for start, end in zip(bounds, bounds[1:]):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(table.slice(start, end - start).combine_chunks())
-            yield pa.RecordBatch.from_arrays([pa.array([int(block[start])], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "visits"])
-
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= PACKED:
-            yield from packed(held)
-            held, n = [], 0
-    if n:
-        yield from packed(held)
-
-
-def _spread(counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each i, counts[i] times i, beside first[i], first[i] + 1 and so on."""
-    i = np.repeat(np.arange(len(counts)), counts)
-    return i, np.arange(len(i)) + np.repeat(first - np.cumsum(counts) + counts, counts)
+#: Visits of a block; meetings made at once (of one user more, if it has more with a block); rows of a batch.
+BLOCK, AT_ONCE, ROWS = 500_000, 1_000_000, 65_536
 
 
 class _Side:
@@ -66,9 +35,9 @@ class _Side:
 def _between(one: _Side, two: _Side) -> tuple[np.ndarray, ...]:
     """The meetings of visits of one with visits of two: place in one, place in two. A meeting begins with the later visit's start; all visits last long enough."""
     first = np.searchsorted(two.key, one.key, "left")
-    i, j = _spread(np.searchsorted(two.key, one.until, "right") - first, first)
+    i, j = blocks.spread(np.searchsorted(two.key, one.until, "right") - first, first)
     first = np.searchsorted(one.key, two.key, "right")
-    l, k = _spread(np.searchsorted(one.key, two.until, "right") - first, first)  # noqa: E741
+    l, k = blocks.spread(np.searchsorted(one.key, two.until, "right") - first, first)  # noqa: E741
     return np.concatenate([i, k]), np.concatenate([j, l])
 
 
@@ -111,28 +80,12 @@ def _met(one: _Side, two: _Side, users: pa.Array, cells: pa.Array, same: bool) -
 
 
 def _group(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
         """The pairs of two blocks' users, or of one's."""
-        tables: dict[int, list[pa.Table]] = {}
-        for batch in batches:
-            pair = batch.column("i")[0].as_py(), batch.column("j")[0].as_py()
-            for block, visits in zip(batch.column("block").to_pylist(), batch.column("visits")):
-                tables.setdefault(block, []).append(pa.ipc.open_stream(visits.as_buffer()).read_all())
-        if len(tables) < len(set(pair)):
-            return  # a block without visits
-        both = pa.concat_tables([t for b in sorted(tables) for t in tables[b]])
-        ends = np.cumsum([0, *(sum(len(t) for t in tables[b]) for b in sorted(tables))]).tolist()
-        del tables
-
-        def ranked(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
-            values = pc.unique(column)
-            values = values.take(pc.array_sort_indices(values))
-            return values, pc.index_in(column, values).combine_chunks().to_numpy().astype(np.int64)
-
-        users, u = ranked(both["u"])
-        cells, cell = ranked(pc.cast(both["cell"], pa.string()))
-        s, e = both["s"].to_numpy(), both["s"].to_numpy() + both["long"].to_numpy()
-        del both
+        both, ends = pa.concat_tables(tables), np.cumsum([0, *map(len, tables)]).tolist()
+        (users, u), (cells, cell) = blocks.ranked(both["u"]), blocks.ranked(both["cell"])
+        s = both["s"].to_numpy()
+        e = s + both["lasts"].to_numpy()
         times = np.unique(np.concatenate([s, e - least]))
         key, until = (cell * len(times) + np.searchsorted(times, t) for t in (s, e - least))
         rows = _Side(u, cell, s, e, key, until)
@@ -151,11 +104,7 @@ def _group(least: int):
 def meeting_pairs(visits: DataFrame, user: str, cell: str, start: str, end: str, least_minutes: float) -> DataFrame:
     """Pairs of users (a < b) that were in one cell at the same time for at least so long: how often, the minutes, each meeting's rounded to hundredths, and in which cells."""
     least = max(1, math.ceil(least_minutes * 6e7))
-    rows = visits.select(F.col(user).alias("u"), F.col(cell).cast("string").alias("cell"), micros(start).alias("s"), micros(end).alias("e")).where(F.col("u").isNotNull() & F.col("cell").isNotNull() & (F.col("e") - F.col("s") >= least))
-    n = rows.count()
-    blocks = max(1, -(-n // BLOCK), min(LEAST_BLOCKS, -(-n // FEW)))
-    packed = rows.withColumn("block", F.pmod(F.xxhash64("u"), F.lit(blocks)).cast("int")).select("block", "u", "cell", "s", "e").mapInArrow(_pack, "block int, visits binary")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = packed.withColumn("other", other).select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "visits")
-    out = T.StructType([T.StructField("a", rows.schema["u"].dataType), T.StructField("b", rows.schema["u"].dataType), *T._parse_datatype_string("times long, minutes double, cells string").fields])
-    return dealt.repartition(blocks * (blocks + 1) // 2, "i", "j").groupBy("i", "j").applyInArrow(_group(least), out)
+    rows = visits.select(F.col(user).alias("u"), F.col(cell).cast("string").alias("cell"), micros(start).alias("s"), (micros(end) - micros(start)).alias("lasts")).where(F.col("u").isNotNull() & F.col("cell").isNotNull() & (F.col("lasts") >= least))
+    ids = rows.schema["u"].dataType
+    out = T.StructType([T.StructField("a", ids), T.StructField("b", ids), *T._parse_datatype_string("times long, minutes double, cells string").fields])
+    return blocks.apply(rows, "u", ["cell", "s"], BLOCK, _group(least), out)

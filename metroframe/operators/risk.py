@@ -270,18 +270,26 @@ def cluster_shapes(calls: DataFrame, clusters: DataFrame, pairs: DataFrame) -> D
     return rows.select("cluster", "size", "on_device", "with_counterpart", F.round("mean_score", 4).alias("mean_score"), shape.alias("shape"))
 
 
-def group_assessment(calls: DataFrame, group: DataFrame, feats: DataFrame, matrix: DataFrame, components: DataFrame, patterns: list[str]) -> DataFrame:
+def group_signals(calls: DataFrame, own: DataFrame, subjects: DataFrame) -> DataFrame:
+    """Subjects with the call_records, night_ratio and whether shared_devices is above 0 that features has, from all calls and their own; devices are told by the first and last subject on each."""
+    counts = own.groupBy("src").agg(F.count("*").alias("call_records"), F.count_if(is_night(F.col("ts"))).alias("_nights"))
+    shared = calls.where("device is not null").groupBy("device").agg(F.min("src").alias("_a"), F.max("src").alias("_b")).where("_a != _b").select("device")
+    holders = own.select("src", "device").join(shared, "device", "left_semi").select("src").distinct().withColumn("sharing", F.lit(True))
+    known = subjects.join(counts, F.col("id") == counts["src"], "left").drop("src").join(holders, F.col("id") == holders["src"], "left").drop("src")
+    known = known.withColumns({"call_records": F.coalesce("call_records", F.lit(0)), "sharing": F.coalesce("sharing", F.lit(False))})
+    return known.withColumn("night_ratio", F.round(F.coalesce(F.try_divide(F.col("_nights"), F.col("call_records")), F.lit(0.0)), 6)).drop("_nights")
+
+
+def group_assessment(own: DataFrame, feats: DataFrame, pairs: DataFrame, components: DataFrame, patterns: list[str]) -> DataFrame:
     """One row about a group: members, density of calls within it, its parts of two or more (of components, node and component), how complete the evidence is, and how sure one may be.
 
-    feats: the members' features with a flag for each of patterns, which is one of the group's if at least half of the members have it. matrix: their pairs, with what each rests on. Confidence adds a fifth for each pattern, for pairs with devices over members (up to one), for
-    counterparts that two members or more have (up to five), for the evidence, and for parts. An empty group has 0 in all."""
+    own: the calls that members made. feats: the members' features with a flag for each of patterns, which is one of the group's if at least half of the members have it. pairs: one row with how many pairs of members there are (pairs), that call each other
+    (calling_pairs) and that share a device (device_pairs). Confidence adds a fifth for each pattern, for pairs with devices over members (up to one), for counterparts that two members or more have (up to five), for the evidence, and for parts. An empty group has 0 in all."""
     n = F.col("members")
     flags = feats.agg(F.count("*").alias("members"), *(F.count_if(p).alias(f"_{p}") for p in patterns), F.count_if(F.col("province").isNotNull() | F.col("sub_label").isNotNull()).alias("_profiles"))
-    pairs = matrix.agg(F.count("*").alias("pairs"), F.count_if(F.col("internal_calls") > 0).alias("calling_pairs"), F.count_if(F.col("shared_devices") > 0).alias("device_pairs"))
     parts = components.groupBy("component").agg(F.count("*").alias("k")).agg(F.count_if(F.col("k") >= 2).alias("parts"), F.coalesce(F.max("k"), F.lit(0)).alias("largest_part"))
-    own = calls.join(group.select(F.col("id").alias("src")), "src", "left_semi")
     timed = own.agg(F.count("ts").alias("_timed"), F.count("device").alias("_devices"))
-    shared = own.select("dst", "src").distinct().groupBy("dst").agg(F.count("*").alias("k")).agg(F.count_if(F.col("k") >= 2).alias("shared_counterparts"))
+    shared = own.groupBy("dst").agg(F.min("src").alias("a"), F.max("src").alias("b")).agg(F.count_if(F.col("a") != F.col("b")).alias("shared_counterparts"))
     row = flags.crossJoin(pairs).crossJoin(parts).crossJoin(timed).crossJoin(shared)  # one row each
     major = sum((F.when(n > 0, 2 * F.col(f"_{p}") >= n).otherwise(False).cast("int") for p in patterns), F.lit(0))
     known = [F.col("_profiles") > 0, F.col("_timed") > 0, F.col("_devices") > 0, F.col("pairs") > 0, F.col("shared_counterparts") > 0, F.col("parts") > 0]

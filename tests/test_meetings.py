@@ -8,7 +8,7 @@ from itertools import combinations
 import pyarrow as pa
 import pytest
 
-from metroframe.operators import meetings
+from metroframe.operators import blocks, meetings
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -47,14 +47,14 @@ def test_meetings(spark, monkeypatch, name, kind):
 def test_parts_of_a_group(monkeypatch, at_once):
     """The same rows, however few meetings are made at once."""
     monkeypatch.setattr(meetings, "AT_ONCE", at_once)
-    monkeypatch.setattr(meetings, "PACKED", 70)
+    monkeypatch.setattr(blocks, "PACKED", 70)
     rows = made(300, 30, 5, 4)
-    visits = pa.Table.from_pylist([{"block": u % 2, "u": u, "cell": c, "s": int(s * 1e6), "e": int(e * 1e6)} for u, c, s, e in rows if e - s >= 900])
-    packed = pa.Table.from_batches(meetings._pack(iter(visits.to_batches(max_chunksize=40)))).to_pylist()
+    visits = pa.Table.from_pylist([{"block": u % 2, "u": u, "cell": c, "s": int(s * 1e6), "lasts": int((e - s) * 1e6)} for u, c, s, e in rows if e - s >= 900])
+    packed = pa.Table.from_batches(blocks.pack(["cell", "s"])(iter(visits.to_batches(max_chunksize=40)))).to_pylist()
     found = {}
     for i, j in ((0, 0), (0, 1), (1, 1)):
         group = [pa.RecordBatch.from_pylist([{"i": i, "j": j, **r}]) for r in packed if r["block"] in (i, j)]
-        for r in (r for batch in meetings._group(900_000_000)(iter(group)) for r in batch.to_pylist()):
+        for r in (r for batch in meetings._group(900_000_000)(blocks.unpack(iter(group))) for r in batch.to_pylist()):
             assert (r["a"], r["b"]) not in found
             found[r["a"], r["b"]] = (r["times"], r["minutes"], r["cells"])
     assert found == plain(rows)
