@@ -1,7 +1,8 @@
 """Communities of a graph by modularity: Louvain's local moves and contractions as joins and groupings.
 
-Each step looks at every node's weight towards the communities of its neighbours in one join and one grouping, is written, and the
-step before it is deleted, so a lost executor costs one step and disk holds two. Many nodes move at once, so moves can undo each
+Each step looks at every node's weight towards the communities of its neighbours, is written, and the step before it is deleted, so a
+lost executor costs one step and disk holds two. Where nodes are whole numbers, links are packed once for each level, by blocks of nodes, and
+a step sends all nodes' communities, packed, to each block, so no step has a row for each link; other nodes' links meet their communities in joins. Many nodes move at once, so moves can undo each
 other. First a half of the nodes that want to move, drawn anew from a seed at each step, does; a step that doesn't raise modularity
 is taken back. Then only moves that share no community are made: their gains add up exactly, so modularity rises until no node
 gains by moving, or by less than a tolerance.
@@ -9,13 +10,20 @@ gains by moving, or by less than a tolerance.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import cut, forget
+from . import blocks
 
 #: A move gains more than this, in units of weight.
 LEAST_GAIN = 1e-9
+#: Links of a block of nodes, from either end, and nodes whose communities are unpacked at once; with fewer links than FEW a level is looked at by joins, which begin sooner.
+BLOCK, NODES, FEW = 3_000_000, 1_000_000, 1_000_000
 
 
 def undirected_links(edges: DataFrame, weight: str | None = None) -> DataFrame:
@@ -45,8 +53,83 @@ def modularity(links: DataFrame, members: DataFrame, resolution: float = 1.0) ->
     )
 
 
-def _look(state: DataFrame, both: DataFrame, total: float, resolution: float) -> DataFrame:
+class Packed:
+    """A level's links (u, v, w), from both ends: as packed rows (block, part, rows) by the block of u and the part of v. n_blocks and n_parts are numbers of these; state is the level's first, n the number of links."""
+
+    def __init__(self, both: DataFrame, state: DataFrame, n: int):
+        self.n_blocks = max(-(-n // BLOCK), min(blocks.LEAST_BLOCKS, -(-n // blocks.FEW)))
+        self.n_parts = max(1, -(-state.count() // NODES))
+        at = self.of("u", self.n_blocks) * self.n_parts + self.of("v", self.n_parts)
+        made = both.select(at.alias("block"), "u", "v", "w").mapInArrow(blocks.pack(["v"]), "block int, rows binary")
+        self.rows = cut(both.sparkSession, made.select(F.floor(F.col("block") / self.n_parts).cast("int").alias("block"), (F.col("block") % self.n_parts).alias("part"), "rows"))
+
+    @staticmethod
+    def of(node: str, n: int):
+        return F.pmod(F.xxhash64(node), F.lit(n)).cast("int")
+
+
+def _opened(parts: list) -> dict[str, np.ndarray]:
+    """Packed rows as columns, in order of nodes if they are nodes."""
+    table = pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in parts])
+    table = table.sort_by("node") if "node" in table.column_names else table
+    return {c: table[c].to_numpy() for c in table.column_names}
+
+
+def _moves(total: float, resolution: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What the nodes of a block look at: its links and nodes, and all nodes part by part."""
+        links, nodes, own = {}, {}, []
+        for batch in batches:
+            for kind, part, rows in zip(batch.column("kind").to_pylist(), batch.column("part").to_pylist(), batch.column("rows")):
+                (own if kind == 2 else (links, nodes)[kind].setdefault(part, [])).append(rows.as_buffer())
+        if not own:
+            return
+        mine = _opened(own)
+        n = len(mine["node"])
+        u, cv, w, sums = [np.arange(n)], [mine["c"]], [np.zeros(n)], [mine["sum"]]
+        for part in sorted(links):
+            e, there = _opened(links.pop(part)), _opened(nodes.pop(part))
+            at = np.searchsorted(there["node"], e["v"])
+            for x, y in ((u, np.searchsorted(mine["node"], e["u"])), (cv, there["c"][at]), (w, e["w"]), (sums, there["sum"][at])):
+                x.append(y)
+        u, cv, w, sums = (np.concatenate(x) for x in (u, cv, w, sums))
+        low, span = int(cv.min()), int(cv.max()) - int(cv.min()) + 1
+        order = np.argsort(u * span + (cv - low)) if span * n < 2**62 else np.lexsort((cv, u))
+        u, cv = u[order], cv[order]
+        first = np.ones(len(u), bool)
+        first[1:] = (u[1:] != u[:-1]) | (cv[1:] != cv[:-1])
+        starts = np.flatnonzero(first)
+        w, sums = np.add.reduceat(w[order], starts), sums[order[starts]]
+        u, cv = u[starts], cv[starts]
+        stays, k = cv == mine["c"][u], mine["k"][u]
+        worth = w - resolution * k * (sums - np.where(stays, k, 0.0)) / total
+        of = np.searchsorted(u, np.arange(n))  # each has its own community at least
+        most = np.maximum.reduceat(worth, of)
+        to = cv[np.maximum.reduceat(np.where(worth == most[u], np.arange(len(u)), -1), of)]
+        gain = most - worth[stays]
+        none = ~(gain > LEAST_GAIN)
+        columns = [mine["node"], mine["k"], mine["loop"], mine["c"], w[stays]]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(to, mask=none), pa.array(gain, mask=none)], ["node", "k", "loop", "c", "inside", "to", "gain"])
+
+    return run
+
+
+def _look(state: DataFrame, both: DataFrame | Packed, total: float, resolution: float) -> DataFrame:
     """state (node, k, loop, c) with what each node has inside its community, where it would rather be, and what it gains (node, k, loop, c, inside, to, gain)."""
+    if not isinstance(both, Packed):
+        return _look_by_joins(state, both, total, resolution)
+    sums = state.groupBy("c").agg(F.sum("k").alias("sum"))
+    at = F.explode(F.array(both.of("node", both.n_blocks), F.lit(both.n_blocks) + both.of("node", both.n_parts)))
+    packed = state.join(sums, "c").select(at.alias("block"), "node", "k", "loop", "c", "sum").mapInArrow(blocks.pack(["node"]), "block int, rows binary")
+    own = F.col("block") < both.n_blocks
+    to = F.when(own, F.array("block")).otherwise(F.sequence(F.lit(0), F.lit(both.n_blocks - 1)))
+    sent = packed.select(F.explode(to).alias("to"), F.when(own, 2).otherwise(1).alias("kind"), (F.col("block") - both.n_blocks).alias("part"), "rows")
+    rows = both.rows.select(F.col("block").alias("to"), F.lit(0).alias("kind"), "part", "rows").union(sent)
+    return rows.repartition(both.n_blocks, "to").groupBy("to").applyInArrow(_moves(total, resolution), "node long, k double, loop double, c long, inside double, to long, gain double")
+
+
+def _look_by_joins(state: DataFrame, both: DataFrame, total: float, resolution: float) -> DataFrame:
+    """The same from rows of links."""
     there = both.join(state.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v").select("u", "cv", "w")
     own = state.select(F.col("node").alias("u"), F.col("c").alias("cv"), F.lit(0.0).alias("w"))
     towards = there.unionByName(own).groupBy("u", "cv").agg(F.sum("w").alias("w"))
@@ -75,7 +158,7 @@ def _apart(looked: DataFrame) -> DataFrame:
     return left.where("claim = one AND claim = two").select("node", "to")
 
 
-def _settle(state: DataFrame, both: DataFrame, total: float, resolution: float, seed: int, steps: int, tolerance: float) -> tuple[DataFrame, float]:
+def _settle(state: DataFrame, both: DataFrame | Packed, total: float, resolution: float, seed: int, steps: int, tolerance: float) -> tuple[DataFrame, float]:
     """The nodes as they were looked at last, with their communities, and the modularity; state is deleted."""
     spark = state.sparkSession
     kept = cut(spark, _look(state, both, total, resolution))
@@ -120,7 +203,11 @@ def louvain(edges: DataFrame, weight: str | None = None, resolution: float = 1.0
     members = cut(spark, state.select("node", F.col("node").alias("community")))
     value = None
     while total:
-        settled, new = _settle(state, both, total, resolution, seed, steps, tolerance)
+        n = both.count() if both.schema["u"].dataType.typeName() == "long" else 0
+        packed = Packed(both, state, n) if n >= FEW else None
+        settled, new = _settle(state, packed or both, total, resolution, seed, steps, tolerance)
+        if packed:
+            forget(packed.rows)
         if value is not None and new <= value + tolerance:
             break
         value = new

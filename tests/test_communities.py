@@ -99,3 +99,25 @@ def test_no_edges(spark):
     none = spark.createDataFrame([], "src long, dst long")
     assert communities.louvain(none).collect() == []
     assert communities.modularity(communities.undirected_links(none), spark.createDataFrame([], "node long, community long")).first()["modularity"] == 0.0
+
+
+def test_packed_links_give_the_same_moves(spark, monkeypatch):
+    """Nodes look at the same from packed blocks as from joins, also in later levels (loops, whole weights, nodes without links), and communities are the same."""
+    monkeypatch.setattr(communities, "BLOCK", 40)
+    monkeypatch.setattr(communities, "NODES", 11)
+    chance = random.Random(8)
+    links = {(chance.randrange(30) - 5, chance.randrange(30) - 5): float(chance.randrange(1, 4)) for _ in range(120)}
+    ends = [(a, b, w) for (a, b), w in links.items() if a < b]
+    both = spark.createDataFrame(ends + [(b, a, w) for a, b, w in ends], "u long, v long, w double")
+    state = spark.createDataFrame([(n, sum((w for a, b, w in ends if n in (a, b)), 0.0) + n % 3, float(n % 3), n // 4 * 4) for n in range(-5, 27)], "node long, k double, loop double, c long")
+    total = sum(2 * w for _, _, w in ends) + 30
+    packed = communities.Packed(both, state, 2 * len(ends))
+    assert packed.n_blocks > 2 and packed.n_parts > 2
+    found = [sorted(map(tuple, communities._look(state, x, total, 0.9).collect())) for x in (packed, both)]
+    assert found[0] == found[1] and any(r[5] is not None for r in found[0]) and any(r[5] is None for r in found[0])
+    edges = spark.createDataFrame(planted(3, 8, 0.7, 0.05, 2), "src long, dst long")
+    ways = []
+    for few in (1, 10**9):
+        monkeypatch.setattr(communities, "FEW", few)
+        ways.append(sorted(map(tuple, communities.louvain(edges, seed=3).collect())))
+    assert ways[0] == ways[1]
